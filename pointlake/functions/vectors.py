@@ -72,7 +72,6 @@ def usable(a: Column, dimension: Column | int) -> Column:
     return F.coalesce((F.size(a) == dim) & (F.size(a) > 0) & finite & F.exists(a, lambda x: x != 0), F.lit(False))
 
 
-@F.arrow_udf("string")
 def _nfc(ids: pa.Array) -> pa.Array:
     if pc.all(pc.string_is_ascii(ids), min_count=0).as_py() is not False:
         return ids
@@ -82,7 +81,7 @@ def _nfc(ids: pa.Array) -> pa.Array:
 
 def nfc(a: Column) -> Column:
     """Ids that are canonically equivalent become equal strings. Each different id of an Arrow batch is normalised once, ASCII batches not at all."""
-    return _nfc(a)
+    return F.arrow_udf(_nfc, "string")(a)
 
 
 def crc32(a: Column) -> Column:
