@@ -4,8 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pointlake.llm import residue, tokens
+from pointlake.llm import mixing, residue, tokens
 from pointlake.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +41,15 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("p8_found")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find(table(spark, d, "documents"))
+
+
+@query("p7_mix")
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query("p7_shares")
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    total = tokens.count(docs).agg(F.sum("n_tokens").alias("total"))
+    return mixing.shares(mixing.mix(docs, targets), total, targets)

@@ -192,7 +192,7 @@ def find(docs: DataFrame, min_docs: int = 3, min_sources: int = 2) -> DataFrame:
     """
     m = messages(docs)
     doubtful = m.where(F.col("verdict") == DOUBTFUL).select("doc_id", "source", "key")
-    wide = doubtful.groupBy("key").agg(F.approx_count_distinct("doc_id", 0.02).alias("docs"), F.size(F.collect_set(F.coalesce("source", F.lit("")))).alias("sources"))
+    wide = doubtful.groupBy("key").agg(F.approx_count_distinct("doc_id", 0.02).alias("docs"), F.approx_count_distinct(F.coalesce("source", F.lit("")), 0.02).alias("sources"))
     wide = wide.where((F.col("docs") >= min_docs) & (F.col("sources") >= min_sources)).select("key")
     sure = m.where(F.col("verdict") == RESIDUE).select("doc_id")
     return sure.unionByName(doubtful.join(wide, "key", "left_semi").select("doc_id")).distinct()
