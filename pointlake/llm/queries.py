@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.llm import mixing, residue, tokens
+from pointlake.llm import mixing, neighbors, residue, tokens
 from pointlake.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,17 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
     total = tokens.count(docs).agg(F.sum("n_tokens").alias("total"))
     return mixing.shares(mixing.mix(docs, targets), total, targets)
+
+
+# Distances up to which two points are near in the stated cases.
+NEAR = {"cosine": 0.015, "innerProduct": -0.985, "l2": 0.173, "l2Squared": 0.03}
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbors.near_pairs(table(spark, d, "points"), table(spark, d, "collection_configs"), NEAR)
+
+
+@query("p3_neighbors")
+def p3_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    return neighbors.neighbors(table(spark, d, "points"), table(spark, d, "collection_configs"))

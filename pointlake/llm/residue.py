@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointlake.llm.sources import source_key
+from pointlake.session import stage
 
 RESIDUE, DOUBTFUL = 2, 1
 
@@ -190,7 +191,7 @@ def find(docs: DataFrame, min_docs: int = 3, min_sources: int = 2) -> DataFrame:
     doc_id count once; an empty table gives none. Every text is read whole. The one hash that a third of all documents may
     share is pre-aggregated before the shuffle by (key, doc_id) counts, and documents with a certain verdict don't wait for it.
     """
-    m = messages(docs)
+    m = stage(messages(docs), "messages")
     doubtful = m.where(F.col("verdict") == DOUBTFUL).select("doc_id", "source", "key")
     wide = doubtful.groupBy("key").agg(F.approx_count_distinct("doc_id", 0.02).alias("docs"), F.approx_count_distinct(F.coalesce("source", F.lit("")), 0.02).alias("sources"))
     wide = wide.where((F.col("docs") >= min_docs) & (F.col("sources") >= min_sources)).select("key")
