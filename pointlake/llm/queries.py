@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.llm import mixing, neighbors, residue, tokens
+from pointlake.llm import clusters, mixing, neighbors, residue, tokens
 from pointlake.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p3_neighbors")
 def p3_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.neighbors(table(spark, d, "points"), table(spark, d, "collection_configs"))
+
+
+# Distances within which two points of a cluster are in the stated cases.
+TOGETHER = {"cosine": 0.15, "innerProduct": -0.85, "l2": 0.5477, "l2Squared": 0.3}
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.isolated(table(spark, d, "points"), table(spark, d, "collection_configs"), TOGETHER)
+
+
+@query("p4_components")
+def p4_components(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.describe(table(spark, d, "points"), table(spark, d, "collection_configs"), TOGETHER)
