@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.llm import clusters, mixing, neighbors, residue, tokens
+from pointlake.llm import clusters, diversity, mixing, neighbors, residue, tokens
 from pointlake.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p4_components")
 def p4_components(spark: SparkSession, d: str) -> DataFrame:
     return clusters.describe(table(spark, d, "points"), table(spark, d, "collection_configs"), TOGETHER)
+
+
+@query("p2_subset")
+def p2_subset(spark: SparkSession, d: str) -> DataFrame:
+    return diversity.varied(table(spark, d, "points"), table(spark, d, "collection_configs"), table(spark, d, "subset_requests"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointlake.session import stage
@@ -47,11 +47,12 @@ def matrix(blobs: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(blobs.to_pylist()), dtype="<f4").reshape(-1, dim)
 
 
-def usable(points: DataFrame, known: dict[str, Shape]) -> DataFrame:
+def usable(points: DataFrame, known: dict[str, Shape], carry: Column | None = None, kind: str = "boolean") -> DataFrame:
     """collection, id, vec (little-endian float32), h1, h2 (128 bits of its hash), norm: staged, one row an id.
 
     Of repeated ids the latest load with a usable vector counts; vectors that are null, empty, of another length than the
     dimension, all zero, or hold null, NaN or infinity, and rows without id or of an unknown collection are left out.
+    carry, of the SQL type kind, comes along as the column carry.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -66,12 +67,12 @@ def usable(points: DataFrame, known: dict[str, Shape]) -> DataFrame:
                 blobs = [r.tobytes() for r in m]
                 h = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in blobs), dtype="<i8").reshape(-1, 2)
                 t = pa.array(at)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(t), b.column(1).take(t), b.column(3).take(t), pa.array(blobs, pa.binary()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.linalg.norm(m.astype(np.float64), axis=1))], names=["collection", "id", "loaded_at", "vec", "h1", "h2", "norm"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(t), b.column(1).take(t), b.column(3).take(t), b.column(4).take(t), pa.array(blobs, pa.binary()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.linalg.norm(m.astype(np.float64), axis=1))], names=["collection", "id", "loaded_at", "carry", "vec", "h1", "h2", "norm"])
 
-    p = points.where("id is not null and collection is not null").select("collection", "id", "vector", F.coalesce(F.col("loaded_at").cast("timestamp"), F.lit(0).cast("timestamp")).cast("long").alias("loaded_at"))
-    p = p.mapInArrow(run, "collection string, id string, loaded_at long, vec binary, h1 long, h2 long, norm double")
-    p = p.groupBy("collection", "id").agg(F.max(F.struct("loaded_at", "vec", "h1", "h2", "norm")).alias("m"))
-    return stage(p.select("collection", "id", "m.vec", "m.h1", "m.h2", "m.norm"), "usable")
+    p = points.where("id is not null and collection is not null").select("collection", "id", "vector", F.coalesce(F.col("loaded_at").cast("timestamp"), F.lit(0).cast("timestamp")).cast("long").alias("loaded_at"), (F.lit(None) if carry is None else carry).cast(kind).alias("carry"))
+    p = p.mapInArrow(run, f"collection string, id string, loaded_at long, carry {kind}, vec binary, h1 long, h2 long, norm double")
+    p = p.groupBy("collection", "id").agg(F.max(F.struct("loaded_at", "vec", "h1", "h2", "norm", "carry")).alias("m"))
+    return stage(p.select("collection", "id", "m.vec", "m.h1", "m.h2", "m.norm", *([] if carry is None else ["m.carry"])), "usable")
 
 
 def copies(points: DataFrame) -> DataFrame:
