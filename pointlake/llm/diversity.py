@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pointlake.llm.vectors import Shape, matrix, shapes, usable
 
 HASHED = 32  # features that the values of a payload field are hashed to
+VALUE_WEIGHT = 0.5  # length of a row's value indicators, against that of its vector
 FAN = 8
 MAX_REQUESTS = 10_000
 EPS = 1e-6
@@ -36,13 +37,13 @@ class Request:
 
 
 def features(x: np.ndarray, metric: str, values: list[list[str] | None] | None) -> np.ndarray:
-    """Vectors (of unit length, but for Euclidean metrics, where all are scaled by one constant) and value indicators of length one."""
+    """Vectors (of unit length, but for Euclidean metrics, where all are scaled by one constant) and value indicators."""
     x = x.astype(np.float64)
     if metric in ("cosine", "innerProduct"):
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
     if values is None:
         return x
-    scale = 1.0 if metric in ("cosine", "innerProduct") else float(np.sqrt((x * x).sum(1).mean())) if len(x) else 1.0
+    scale = VALUE_WEIGHT * (1.0 if metric in ("cosine", "innerProduct") else float(np.sqrt((x * x).sum(1).mean())) if len(x) else 1.0)
     v = np.zeros((len(x), HASHED))
     for i, names in enumerate(values):
         for name in names or ():
@@ -51,12 +52,13 @@ def features(x: np.ndarray, metric: str, values: list[list[str] | None] | None)
     return np.concatenate([x, scale * v / np.where(n > 0, n, 1)], axis=1)
 
 
-def deflated(a: np.ndarray, taken: np.ndarray) -> np.ndarray:
-    """Rows scaled by their distance to the nearest taken row, relative to both lengths."""
+def deflated(a: np.ndarray, taken: np.ndarray, dim: int) -> np.ndarray:
+    """Rows scaled by the distance of their vector (the first dim features) to the nearest taken one, relative to both lengths."""
     if not len(taken):
         return a
-    sq = (a * a).sum(1)[:, None] + (taken * taken).sum(1)[None, :]
-    near = np.maximum(sq - 2 * (a @ taken.T), 0) / np.maximum(sq, 1e-30)
+    x, t = a[:, :dim], taken[:, :dim]
+    sq = (x * x).sum(1)[:, None] + (t * t).sum(1)[None, :]
+    near = np.maximum(sq - 2 * (x @ t.T), 0) / np.maximum(sq, 1e-30)
     return a * np.sqrt(near.min(axis=1))[:, None]
 
 
@@ -102,7 +104,7 @@ class _Pool:
 
     def add(self, rows: list[tuple[str, bytes, list | None]]) -> None:
         self.rows += [r for r in rows if r[0] not in self.gone]
-        a = deflated(self._features([r[1] for r in self.rows], [r[2] for r in self.rows]), self.taken)
+        a = deflated(self._features([r[1] for r in self.rows], [r[2] for r in self.rows]), self.taken, self.shape.dim)
         self.rows = [self.rows[i] for i in pivots(a, np.array([r[0] for r in self.rows], dtype=object), self.most)]
 
 
