@@ -27,7 +27,7 @@ VARIANCE, MAX_FEATURES = 0.8, 48
 LEAF_ROWS = 6144  # most rows a local fit gets
 WANTED_ROWS = 1024  # rows of a leaf, about
 MAX_COMPONENTS = 256  # of one coarse mixture
-COARSE_ROUNDS, MAX_LEVELS = 4, 6
+COARSE_ROUNDS, MAX_LEVELS = 3, 6
 LEAST = 3.0  # weight that a density peak needs within reach
 QUERY_BLOCK = 32_768  # representatives asked at once
 CHUNK = 8192  # members compared with as many hits by one task
@@ -116,40 +116,40 @@ def _summed(df: DataFrame, per_batch: object) -> dict[str, np.ndarray]:
     return {r["key"]: np.frombuffer(r["sums"], dtype="<f8") for r in rows}
 
 
-def plant(reps: DataFrame, known: dict[str, Shape]) -> dict[str, Tree]:
-    """The trees of coarse mixtures. Only sums of statistics, one array a node, come to the driver."""
-    rows = reps.select("collection", "vec", "n", "h1")
+def plant(reps: DataFrame, known: dict[str, Shape], within: dict[str, float]) -> tuple[dict[str, Tree], dict[tuple[str, str], int]]:
+    """The trees of coarse mixtures, and into how many pieces leaves are to be cut that are still too large.
+
+    Only sums of statistics, one array a node, come to the driver. A node is divided while it has more than LEAF_ROWS rows and is
+    not dense all over: a component no wider than the reach holds one group of near rows, which may be cut anywhere.
+    """
+    rows = reps.select("collection", "vec", "h1")
 
     def moments(c: str, part: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
         x = metric_rows(matrix(part.column(1), known[c].dim), known[c].metric).astype(np.float64)
         yield c, np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
 
-    trees, sizes = {}, {}
+    trees, large, pieces = {}, {}, {}
     for c, s in _summed(rows, moments).items():
         d = known[c].dim
         trees[c] = Tree(known[c], G.reduction(s[0], s[1 : d + 1], s[d + 1 :].reshape(d, d), VARIANCE, MAX_FEATURES), Node(None, {}))
-        sizes[c] = {"": s[0]}
+        if s[0] > WANTED_ROWS:
+            large[c, ""] = float(s[0])
     spark = reps.sparkSession
-    for _ in range(MAX_LEVELS):
-        large = {(c, path): n for c, paths in sizes.items() for path, n in paths.items() if n > LEAF_ROWS / 2}
+    for level in range(MAX_LEVELS):
         if not large:
             break
         wanted = {key: int(min(MAX_COMPONENTS, max(2, -(-n // WANTED_ROWS)))) for key, n in large.items()}
         shared = spark.sparkContext.broadcast(trees)
+        involved = rows.where(F.col("collection").isin(sorted({c for c, _ in large})))
 
-        # start from rows with the smallest hashes: about four a component
+        # start from rows with the smallest hashes: about eight a component
         odds = {key: min(1.0, 8 * wanted[key] / n) for key, n in large.items()}
+        some = involved.where((F.col("h1").bitwiseAND((1 << 30) - 1)) < int(max(odds.values()) * (1 << 30)))
 
         def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for c, part in by_collection(b):
-                    if not any(k[0] == c for k in odds):
-                        continue
-                    u = (part.column(3).to_numpy() & ((1 << 30) - 1)) / (1 << 30)
-                    most = max(p for k, p in odds.items() if k[0] == c)
-                    part, u = part.filter(pa.array(u < most)), u[u < most]
-                    if not part.num_rows:
-                        continue
+                    u = (part.column(2).to_numpy() & ((1 << 30) - 1)) / (1 << 30)
                     z = shared.value[c].features(matrix(part.column(1), known[c].dim))
                     path = shared.value[c].leaves(z)
                     ok = [i for i in range(len(z)) if u[i] < odds.get((c, path[i]), 0)]
@@ -157,7 +157,7 @@ def plant(reps: DataFrame, known: dict[str, Shape]) -> dict[str, Tree]:
                         yield pa.RecordBatch.from_arrays([pa.array([c] * len(ok)), pa.array([path[i] for i in ok]), pa.array([z[i].astype("<f4").tobytes() for i in ok], pa.binary())], names=["collection", "path", "z"])
 
         seeds: dict[tuple[str, str], list[np.ndarray]] = {}
-        for r in rows.mapInArrow(starts, "collection string, path string, z binary").collect():
+        for r in some.mapInArrow(starts, "collection string, path string, z binary").collect():
             seeds.setdefault((r["collection"], r["path"]), []).append(np.frombuffer(r["z"], dtype="<f4"))
         mixtures: dict[tuple[str, str], dict[int, G.Mixture]] = {}
         for key, z in seeds.items():
@@ -166,55 +166,39 @@ def plant(reps: DataFrame, known: dict[str, Shape]) -> dict[str, Tree]:
             for k in {wanted[key], max(2, wanted[key] // 2)}:
                 k = min(k, len(z))
                 mixtures.setdefault(key, {})[k] = G.Mixture(np.full(k, 1 / k), z[:k].copy(), np.ones((k, z.shape[1])))
-        likelihood: dict[tuple[str, str], dict[int, float]] = {}
-        for _ in range(COARSE_ROUNDS + 1):
+        for _ in range(COARSE_ROUNDS):
             now = spark.sparkContext.broadcast(mixtures)
 
             def step(c: str, part: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
-                mine = {path: ms for (coll, path), ms in now.value.items() if coll == c}
-                if not mine:
-                    return
                 z = shared.value[c].features(matrix(part.column(1), known[c].dim))
                 path = shared.value[c].leaves(z)
-                for p, ms in mine.items():
-                    at = path == p
-                    if at.any():
+                for (coll, p), ms in now.value.items():
+                    if coll == c and (at := path == p).any():
                         for k, m in ms.items():
                             yield f"{c}\n{p}\n{k}", G.statistics(m, z[at], np.ones(int(at.sum())))
 
-            fitted: dict[tuple[str, str], dict[int, G.Mixture]] = {}
-            for key, s in _summed(rows, step).items():
+            mixtures, likelihood, counts = {}, {}, {}
+            for key, s in _summed(involved, step).items():
                 c, p, k = key.split("\n")
-                m, ll = G.maximised(s, int(k))
-                fitted.setdefault((c, p), {})[int(k)] = m
-                likelihood.setdefault((c, p), {})[int(k)] = ll
-            mixtures, before = fitted, mixtures
-            now.unpersist()
-        for (c, p), ms in before.items():
-            best = min(ms, key=lambda k: G.bic(likelihood[c, p][k], ms[k], large[c, p]))
-            node, steps = trees[c].root, [int(x) for x in p.split(".")[1:]]
-            for k in steps:
-                node = node.children.setdefault(k, Node(None, {}))
+                mixtures.setdefault((c, p), {})[int(k)], likelihood[c, p, int(k)] = G.maximised(s, int(k))
+                counts[c, p, int(k)] = s[: int(k)]
+        next_large = {}
+        for (c, p), ms in mixtures.items():
+            best = min(ms, key=lambda k: G.bic(likelihood[c, p, k], ms[k], large[c, p]))
+            node = trees[c].root
+            for k in p.split(".")[1:]:
+                node = node.children.setdefault(int(k), Node(None, {}))
             node.mixture = ms[best]
-
-        again = spark.sparkContext.broadcast(trees)
-
-        def count(c: str, part: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
-            t = again.value[c]
-            path, n = np.unique(t.leaves(t.features(matrix(part.column(1), known[c].dim))).astype(str), return_counts=True)
-            for p, m in zip(path, n):
-                yield f"{c}\n{p}", np.array([float(m)])
-
-        sizes = {}
-        for key, n in _summed(rows, count).items():
-            c, p = key.split("\n")
-            sizes.setdefault(c, {})[p] = float(n[0])
-        # a component that no longer comes apart is dense all over: leaves may cut it anywhere
-        for (c, p), n in large.items():
-            for q in list(sizes.get(c, {})):
-                if q.startswith(p + ".") and sizes[c][q] > 0.8 * n:
-                    sizes[c][q] = -1.0
-    return trees
+            reach = trees[c].reduction.spread(squared_reach(within[known[c].metric], known[c].metric))
+            for k, n in enumerate(counts[c, p, best]):
+                if n > 0.8 * LEAF_ROWS:
+                    dense = ms[best].var[k].sum() <= 0.75 * reach + G.FLOOR * ms[best].var.shape[1]
+                    if dense or level == MAX_LEVELS - 1 or n > 0.8 * large[c, p]:
+                        pieces[c, f"{p}.{k}"] = int(-(-n // (LEAF_ROWS / 2)))
+                    else:
+                        next_large[c, f"{p}.{k}"] = float(n)
+        large = next_large
+    return trees, pieces
 
 
 _COMPONENT = "collection string, leaf string, component int, rows long, size long, typical array<string>, id string, vec binary"
@@ -226,19 +210,22 @@ def components(reps: DataFrame, known: dict[str, Shape], within: dict[str, float
     reps: collection, id, n, vec, h1. Leaves larger than LEAF_ROWS, in which mixtures find nothing to divide, are cut by hash.
     The last component of a leaf is its background.
     """
-    trees = plant(reps, known)
-    shared = reps.sparkSession.sparkContext.broadcast(trees)
+    trees, pieces = plant(reps, known, within)
+    shared = reps.sparkSession.sparkContext.broadcast((trees, pieces))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, pieces = shared.value
         for b in batches:
             for c, part in by_collection(b):
-                t = shared.value[c]
+                t = trees[c]
                 path = t.leaves(t.features(matrix(part.column(2), known[c].dim)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(path, pa.string()), part.column(1), part.column(2), part.column(3), part.column(4)], names=["collection", "leaf", "id", "vec", "n", "h1"])
+                cut = np.array([pieces.get((c, p), 1) for p in path])
+                leaf = [f"{p}/{h}" for p, h in zip(path, (part.column(4).to_numpy() >> 8) % cut)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(leaf, pa.string()), part.column(1), part.column(2), part.column(3)], names=["collection", "leaf", "id", "vec", "n"])
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         c = key[0]
-        t = shared.value[c]
+        t = shared.value[0][c]
         pdf = pdf.sort_values("id")
         ids, n = pdf.id.to_numpy(), pdf.n.to_numpy(dtype=np.float64)
         z = t.features(np.frombuffer(b"".join(pdf.vec), dtype="<f4").reshape(-1, t.shape.dim))
@@ -251,11 +238,8 @@ def components(reps: DataFrame, known: dict[str, Shape], within: dict[str, float
                 out.append((c, key[1], k, len(rows), int(n[rows].sum()), list(ids[top[:typical]]), ids[top[0]], pdf.vec.iloc[top[0]]))
         return pd.DataFrame(out, columns=["collection", "leaf", "component", "rows", "size", "typical", "id", "vec"])
 
-    sent = stage(reps.select("collection", "id", "vec", "n", "h1").mapInArrow(send, "collection string, leaf string, id string, vec binary, n long, h1 long").select("collection", "leaf", "id", "n", "h1", "vec"), "leaves")
-    large = small(sent.groupBy("collection", "leaf").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > LEAF_ROWS), "large")
-    sent = sent.join(large, ["collection", "leaf"], "left")
-    part = F.pmod("h1", F.coalesce(F.ceil(F.col("rows") / (LEAF_ROWS / 2)), F.lit(1)))
-    return sent.withColumn("leaf", F.concat_ws("/", "leaf", part.cast("string"))).select("collection", "leaf", "id", "n", "vec").groupBy("collection", "leaf").applyInPandas(fit, _COMPONENT)
+    sent = reps.select("collection", "id", "vec", "n", "h1").mapInArrow(send, "collection string, leaf string, id string, vec binary, n long")
+    return sent.groupBy("collection", "leaf").applyInPandas(fit, _COMPONENT)
 
 
 def hits(rows: DataFrame, asking: list[tuple[str, str, bytes]], known: dict[str, Shape], within: dict[str, float], outer: dict[str, float] | None = None) -> DataFrame:
