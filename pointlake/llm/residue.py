@@ -25,7 +25,7 @@ RESIDUE, DOUBTFUL = 2, 1
 
 # ---- what only shows text
 _I = re.I | re.M
-CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)|^(?: {4}|\t).*$|`[^`\n]+`|^[ \t]*>.*$", re.S | _I)
+CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b[^<>]*>(?!\s*\d{3}\s*</code>).*?(?:</code>|\Z)|^(?: {4}|\t).*$|`[^`\n]+`|^[ \t]*>.*$", re.S | _I)
 QUOTE = re.compile(r"""(?<![\w])"(?:[^"\n]|\n(?!\s*\n))*"|“(?:[^”\n]|\n(?!\s*\n))*”|«[^«»]*»|„[^“”„]*[“”]|「[^」]*」|『[^』]*』|‘[^’\n]*’(?!\w)|(?<![\w'])'(?=\S)[^'\n]*(?:'(?=\w)[^'\n]*)*'(?!\w)""")
 MATH = re.compile(r"\$\$.*?\$\$|\$[^$\n]*[\\^<>=][^$\n]*\$|\$\w_?\{?[\w,]*\}?\$", re.S)
 LINK = re.compile(r"!?\[[^\[\]\n]*\]\s*\([^()\n]*\)?|https?://\S+|www\.\S+")
@@ -39,19 +39,20 @@ _FIELD = "(?:" + "|".join(sorted((f.replace("_", "[_. ]") for f in FIELDS), key=
 PLACEHOLDER = re.compile("|".join([
     r"\{\{\{?\s*[^{}\n]{1,48}?\s*\}?\}\}", r"\{%[^%\n]{1,60}%\}", r"<%[^%\n]{1,60}%>", rf"%%\s*{_WORD}\s*%%", r"\*\|[^|\n]{1,48}\|\*", r"\{![^!\n]{1,48}!\}",
     r"\#\{[^{}\n]{1,48}\}", rf"\$\{{\s*{_WORD}\s*\}}", rf"@@\s*{_WORD}\s*@@", r"(?<!\w)__(?-i:[A-Z][A-Z_. ]+[A-Z])__(?!\w)", rf"\[\[\s*{_WORD}\s*\]\]", rf"<<\s*{_WORD}\s*>>",
-    r"(?<![\w\\])(?-i:\$[A-Z][A-Z_.]{2,}\$?)(?!\w)", r"\[(?:your|insert|enter|ihre?n?|votre|insérez|su|tu|inserte|seu|sua|insira|ваш\w*|вставьте)\b[^\[\]\n]{1,60}\]", r"<(?:your|insert|enter)\b[^<>\n]{1,48}>",
+    r"(?<![\w\\])(?-i:\$[A-Z][A-Z_.]{2,}\$?)(?!\w)", r"\[(?:your|insert|enter|ihre?n?|votre|insérez|su|tu|inserte|seu|sua|insira|ваш\w*|вставьте)\b[^\[\]\n]{1,60}\]", r"<(?:your|insert|enter|ihre?n?|votre|su|tu|seu|sua|ваш\w*)\b[^<>\n]{1,48}>", r"\[[^\[\]\n]{0,24}(?:入力|記入|\b(?:einfügen|ergänzen|eintragen|ausfüllen|compléter|remplir|completar|rellenar|preencher|inserir|escriba|escreva|écrivez|вставить|заполнить|дополнить|укажите|введите))[^\[\]\n]{0,24}\]",
     rf"%\({_WORD}\)s", r"(?-i:\[[A-Z][A-Z_. ]{2,}\])", rf"\[{_FIELD}\]", r"<[A-Za-z]+(?:[_.][A-Za-z]+)+>", r"(?-i:<(?!DOCTYPE)[A-Z_]{4,}>)", rf"<{_FIELD}>", rf"\{{{_FIELD}\}}",
     r"(?<![\w\\$}])\{[0-9]\}", r"〇〇様?", r"\[object object\]",
 ]), re.I)
 # Sentences that speak of fields instead of leaving them unfilled.
 ABOUT = re.compile(r"\bescapes?\b|\bformat string\b|\bplaceholders?\b.*\b(?:syntax|means?)\b|\bexport <f>|\bdelimiter|\bbraces\b|\bsyntax\b|\bset <f> to\b|\bvariables? <f>(?! in )")
 PROMPT = re.compile(r"\(?describe your problem in this box|delete this line before posting|^todo: (?:describe the problem|add steps|expected result)|^answer template$|^answer template (?:1|0)\b")
-UNFILLED = re.compile(r"^(?:title|tags|body|hi|hello|dear|hallo|hola|bonjour|olá|здравствуйте|привет|best|posted (?:by|under)|filed in|more on this at|\d*0\. (?:what was tried|what happened|versions)|thanks for your question about)\b:?.{0,60}\b(?:undefined|null|nan)\b|^(?:undefined|null|nan)[.,]?$|\bnull null null\b|\bhas undefined answers\b|\bundefined votes\b|^warning: undefined variable .{0,60} on line|^fatal error: call to .{0,60} on null in |^template\\w*error: .{0,80} line 0|^exception in renderer .{0,60}(?:of|on) null")
+UNFILLED = re.compile(r"^(?:title|tags|body|hi|hello|dear|hallo|hola|bonjour|olá|здравствуйте|привет|best|posted (?:by|under)|filed in|more on this at|\d*0\. (?:what was tried|what happened|versions)|thanks for your question about)\b:?.{0,60}\b(?:undefined|null|nan)\b|^(?:undefined|null|nan)[.,]?$|\bnull null null\b|\bhas undefined answers\b|\bundefined votes\b|^warning: undefined variable .{0,60} on line|^fatal error: call to .{0,60} on null in |^template\w*error: .{0,80} line 0|^exception in renderer .{0,60}(?:of|on) null")
+_UNFILLED_HINTS = ("undefined", "null", "nan", "error")
 
 # ---- filler
 # Words of the usual dummy Latin.
 LATIN = set("lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore magna aliqua rebus trabes tantem ornat morina ulla veltum pulvim fustin limen carpio nivem calore sedet aciem quasi solvit duront ordo pellis quorat vespro".split())
-FILLER = re.compile(r"^(?:text goes here|placeholder paragraph to show|content coming soon|some words to fill the box|this is dummy (?:copy|text)\\b|dummy text|your text here|sample text|this is (?:a )?(?:dummy|placeholder|sample) text|insert text here|platzhaltertext|(?:dies|hier) (?:ist|steht) (?:ein )?blindtext|texto de (?:prueba|ejemplo|exemplo|relleno)|esto es texto de relleno|este é um texto provisório|faux texte|ceci est un texte de remplissage|здесь будет текст|это текст-заполнитель|ここはダミーの文章)")
+FILLER = re.compile(r"^(?:text goes here|placeholder paragraph to show|content coming soon|some words to fill the box|this is dummy (?:copy|text)\b|dummy text|your text here|sample text|this is (?:a )?(?:dummy|placeholder|sample) text|insert text here|platzhaltertext|(?:dies|hier) (?:ist|steht) (?:ein )?blindtext|texto de (?:prueba|ejemplo|exemplo|relleno)|esto es texto de relleno|este é um texto provisório|faux texte|ceci est un texte de remplissage|здесь будет текст|это текст-заполнитель|ここはダミーの文章)")
 _MASHED = re.compile(r"[bcdfghjklmnpqrstvwxz]{4}|^[bcdfghjklmnpqrstvwxz]{3,}$|q(?!u)|[jvxwz][bcdfgjkmnpqtvwxz]|[aeiou]{4}")
 
 # ---- scripts
@@ -68,7 +69,7 @@ SCRIPT_HINT = re.compile(rf"\b{_JS}\b.{{0,40}}\b(?:enable|enabled|required|disab
 
 # ---- error pages
 _STATUS = r"(?:bad gateway|not found|gateway time-?out|service (?:temporarily )?unavailable|forbidden|unauthorized|bad request|gone|too many requests|internal server error|request time-?out|method not allowed|not acceptable|conflict)"
-_TEXT = r"""(?:access denied|request blocked|token expired|upstream timed out|accès refusé|votre session a expiré|erreur interne du serveur|page introuvable|service en maintenance|délai dépassé pendant le chargement\b.*
+_TEXT = r"""(?:access denied|request blocked|l['’]adresse demandée n['’]existe pas ou plus|die gewünschte adresse gibt es hier nicht(?: \(mehr\))?|la dirección que busca no existe|estamos en mantenimiento|el servicio no responde|o endereço (?:procurado|que busca) não existe|estamos em manutenção|o serviço não responde|сеанс завершён|сервис не отвечает|le service ne répond pas|der dienst antwortet nicht|token expired|upstream timed out|accès refusé|votre session a expiré|erreur interne du serveur|page introuvable|service en maintenance|délai dépassé pendant le chargement\b.*
 |zugriff verweigert|interner serverfehler|ihre sitzung ist abgelaufen|seite nicht gefunden|der dienst ist gerade überlastet|zeitüberschreitung beim laden\b.*|wartungsarbeiten: .*
 |acceso denegado|su sesión ha caducado|error interno del servidor|página no encontrada|servicio en mantenimiento|tiempo de espera agotado\b.*|el servicio está saturado.*
 |acesso negado|sessão expirada|erro interno do servidor|página não encontrada|serviço em manutenção|tempo esgotado\b.*|o serviço está sobrecarregado.*
@@ -76,7 +77,7 @@ _TEXT = r"""(?:access denied|request blocked|token expired|upstream timed out|ac
 |アクセスが拒否されました|サーバーでエラーが発生しました|ページが見つかりません(?:でした)?|セッションの有効期限が切れました|メンテナンス中です.*|タイムアウトしました.*
 |not available in your region|this content is no longer available|this site is over its quota|too many requests from your network|your session has expired|you have been signed out|could not connect to the \w+ database|down for maintenance\b.*|the server is busy right now|the connection has timed out while waiting for .*|invalid \w+ specified|you are not allowed to see .*|we could not load .*)""".replace("\n", "")
 _THING = r"(?:the page you asked for|your request|the answer|the comments|this thread|that question|post 0|[\w ]{1,24})"
-_TAIL = r"(?:[.!。]?(?:\s+(?:\(.*\)|please .*|home \| search.*|contact .*|we have .*|incident .*|reference .*|back to .*|retour .*|veuillez .*|bitte .*|zurück .*|vorgang .*|inténtelo .*|volte .*|vuelva .*|tente .*|caso .*|código .*|código .*|код .*|повторите .*|попробуйте .*|вернуться .*|しばらく.*|トップ.*|content-length.*|continue without.*|\(?[\da-f\-]+\)?))*\s*)$"
+_TAIL = r"(?:[.!。]?(?:\s+(?:\(.*\)|please .*|home \| search.*|contact .*|we have .*|incident .*|reference .*|back to .*|retour .*|veuillez .*|bitte .*|zurück .*|vorgang .*|inténtelo .*|volver .*|dossier .*|вернитесь .*|volte .*|vuelva .*|tente .*|caso .*|código .*|código .*|код .*|повторите .*|попробуйте .*|вернуться .*|しばらく.*|トップ.*|content-length.*|continue without.*|\(?[\da-f\-]+\)?))*\s*)$"
 ERROR = re.compile("|".join([
     rf"^(?:http(?:/[\d.]+)?|error|fehler|erreur|erro|status:?|ошибка)?\s*\(?0\)?\s*[-:|–—]?\s*\(?(?:{_STATUS}|{_TEXT})\)?(?:\s+0\s+{_STATUS})?(?:\s+\w+)?{_TAIL}",
     rf"^(?:{_STATUS}|{_TEXT}){_TAIL}", rf"^{_STATUS}\s+\(?0\)?$", r"^error 0[.!]?$",
@@ -84,23 +85,28 @@ ERROR = re.compile("|".join([
     rf"^{_THING} (?:is no longer here|has been moved or taken down|could not be processed)[.!]?{_TAIL}", r"^(?:we can't find|something went wrong with|it took too long to fetch) \w[\w ]{1,24}[.!]?$",
     r"^home \| search \| help$", r"^content-length: 0$",
 ]))
-RAW_ERROR = re.compile(r'^\s*\{"status":\s*[45]\d\d,|^\s*<error><code>[45]\d\d</code>|<title>\s*[45]\d\d [a-z ]+</title>|^\s*<h1>\s*(?:[45]\d\d )?' + _STATUS + r"\s*</h1>|^<(?:html|!doctype)[^\n]*" + _STATUS, _I)
-MACHINE = re.compile(r"^(?:please try again in 0 seconds|reference #\S+|incident \S+|contact the administrator|request id)\b")
+RAW_ERROR = re.compile(r'^\s*\{\s*"(?:error|status)"\s*:\s*(?:\{|[45]\d\d\b)|^\s*<error><code>[45]\d\d</code>|^(?:\s|<html>|<head>|<!doctype[^<>]*>)*<title>\s*[45]\d\d [a-z ]+</title>|^\s*<h1>\s*(?:[45]\d\d )?' + _STATUS + r"\s*</h1>|^<(?:html|!doctype)[^\n]*" + _STATUS, _I)
+MACHINE = re.compile(r"^(?:please try again in 0 seconds|reference #\S+|incident \S+|contact the administrator|request id)\b|^(?:back to start|continue without signing in|retour à l['’]accueil|zurück zur startseite|volver al inicio|volte ao início|вернитесь на главную|トップへ戻る|home [|] search [|] help|inténtelo más tarde|veuillez réessayer plus tard|tente mais tarde|попробуйте позже|bitte versuchen sie es später noch einmal)[.。]?$")
 
 _DATE = re.compile(r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}(?:[ t]\d{1,2}:\d{2}(?::\d{2})?)?|\d{1,2}:\d{2}(?::\d{2})?")
 _NUMBER = re.compile(r"\d+")
 _HEX = re.compile(r"\b(?=[a-f\-]*\d)[\da-f]{5,}(?:-[\da-f]+)*\b")
 _TOKENS, _PROSE = re.compile(r"[\p{L}\p{N}]+"), re.compile(r"[^a-z ]|\b(?:the|a|is|and|of|to|in|it|for|der|die|das|und|le|la|et|el|que|de)\b")
-_SPACE, _WORDS, _SENTENCE = re.compile(r"\s+"), re.compile(r"\p{L}+"), re.compile(r"(?<=[.!?…。])\s+")
+_WORDS, _SENTENCE = re.compile(r"\p{L}+"), re.compile(r"(?<=[.!?…。])\s+")
+_TIGHT, _PARAGRAPH = re.compile(r" (?=[,.!?:;)])|(?<=\() "), re.compile(r"\n\s*\n")
 _HIDDEN = re.compile(r"[\u00ad\u200b-\u200d\u2060\ufeff]")
 
 
-def shown_only(text: str) -> str:
-    """text without code, math, links and quotations, entities and widths resolved, tags as line breaks."""
+def without_code(text: str) -> str:
+    """text without code and block quotes, entities and widths resolved."""
     x = CODE.sub("\n", text)
     if "&" in x:
         x = CODE.sub("\n", html.unescape(x))
-    x = _HIDDEN.sub("", unicodedata.normalize("NFKC", x))
+    return _HIDDEN.sub("", unicodedata.normalize("NFKC", x))
+
+
+def shown_only(x: str) -> str:
+    """Of a text without code: math, links and quotations are taken out too, tags are line breaks."""
     return BREAK.sub("\n", QUOTE.sub(" § ", LINK.sub(" § ", MATH.sub(" § ", x))))
 
 
@@ -108,18 +114,17 @@ def mask(unit: str) -> str:
     """The key of a unit: template fields, dates, addresses and numbers masked, case and spacing unified."""
     x = PLACEHOLDER.sub(" <f> ", unit)
     x = _NUMBER.sub("0", _DATE.sub("0:0", _HEX.sub("0", x.casefold())))
-    return re.sub(r" (?=[,.!?:;)])|(?<=\() ", "", _SPACE.sub(" ", x).strip())
+    return _TIGHT.sub("", " ".join(x.split()))
 
 
 def filler(key: str) -> bool:
     if FILLER.search(key):
         return True
     words = _WORDS.findall(key)
-    latin = sum(w in LATIN for w in words)
+    latin = 0 if LATIN.isdisjoint(words) else sum(w in LATIN for w in words)
     if latin and (latin >= 4 or latin == len(words)) and latin >= 0.6 * len(words):
         return True
-    tokens = _TOKENS.findall(key)
-    if len(tokens) >= 6 and len(set(tokens)) <= 2:
+    if len(set(words)) <= 2 and len(tokens := _TOKENS.findall(key)) >= 6 and len(set(tokens)) <= 2:
         return True
     if len(words) >= 5 and key.isascii() and not _PROSE.search(key):  # keys hit at random
         return sum(bool(_MASHED.search(w)) for w in words) >= max(3, 0.3 * len(words))
@@ -132,7 +137,7 @@ def verdict(key: str) -> int:
         return 0
     if "<f>" in key and not ABOUT.search(key):
         return RESIDUE
-    if PROMPT.search(key) or UNFILLED.search(key) or filler(key):
+    if PROMPT.search(key) or any(w in key for w in _UNFILLED_HINTS) and UNFILLED.search(key) or filler(key):
         return RESIDUE
     if SCRIPT.search(key) and not SCRIPT_TALK.search(key):
         return RESIDUE
@@ -143,11 +148,11 @@ def verdict(key: str) -> int:
     return 0
 
 
-def units(text: str) -> Iterator[str]:
-    for paragraph in re.split(r"\n\s*\n", shown_only(text)):
+def units(x: str) -> Iterator[str]:
+    for paragraph in _PARAGRAPH.split(shown_only(x)):
         lines = paragraph.split("\n")
         yield from lines
-        whole = _SPACE.sub(" ", paragraph).strip()
+        whole = " ".join(paragraph.split())
         if len(lines) > 1:
             yield whole
         parts = _SENTENCE.split(whole)
@@ -158,9 +163,10 @@ def units(text: str) -> Iterator[str]:
 def suspects(text: str) -> dict[str, int]:
     """The keys of a text that have a verdict."""
     out: dict[str, int] = {}
-    if RAW_ERROR.search(CODE.sub("\n", text)):
+    x = without_code(text)
+    if RAW_ERROR.search(x):
         out["<error page>"] = RESIDUE
-    for u in units(text):
+    for u in units(x):
         key = mask(u)
         if key not in out and (v := verdict(key)):
             out[key] = v
