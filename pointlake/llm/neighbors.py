@@ -27,6 +27,7 @@ PROBE_SHARE = 0.65  # of a collection's rows that a query is compared with by ta
 KEEP = 120  # candidates ranked by their vectors, of each block of rows
 GROUP_ROWS = 32_768
 BLOCK_ROWS = 65_536
+QUERY_ROWS = 192  # queries whose tables stay in the cache
 
 _RESULT = "collection string, id string, n long, nid array<string>, nd array<double>, nn array<long>"
 
@@ -64,7 +65,7 @@ class _Group:
             q[:, self.m.dim] = 0  # asks with its own direction only
         self.q = q
         cells, first = np.unique(cell, return_index=True)
-        self.blocks = [(c, slice(a, min(b, a + 1024))) for c, lo, hi in zip(cells, first, [*first[1:], len(cell)]) for a, b in [(s, hi) for s in range(lo, hi, 1024)]]
+        self.blocks = [(c, slice(a, min(hi, a + QUERY_ROWS))) for c, lo, hi in zip(cells, first, [*first[1:], len(cell)]) for a in range(lo, hi, QUERY_ROWS)]
         self.d = np.full((len(x), self.k), np.inf)
         self.nid = np.full((len(x), self.k), None, dtype=object)
         self.nn = np.zeros((len(x), self.k), dtype=np.int64)
