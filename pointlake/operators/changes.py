@@ -11,6 +11,9 @@ step as one patch a chunk. `apply_changes` composes the base as the oldest patch
 """
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,3 +148,29 @@ def count_with_tombstones(wal: DataFrame, segments: DataFrame, manifests: DataFr
     live = F.col("last") & (F.col("op") == "upsert")
     hit = (F.col("order.phase") == 1) & (F.col("op") == "delete") & (F.col("before") == "upsert")
     return ev.groupBy("db_id", "collection").agg((F.count_if(live) + F.count_if(hit)).alias("n")).where("n > 0")
+
+
+def verify_segments(segments: DataFrame) -> DataFrame:
+    """db_id, collection, segment_id, complete, ids_ok, tombstones_ok, vectors_ok: recorded CRC-32 values against the contents.
+
+    Ids and tombstones are summed joined by NUL bytes, vectors as little-endian float32; an empty list has the checksum 0.
+    A NULL array or checksum doesn't verify.
+    """
+    def of_list(a: str, crc: str) -> Column:
+        return F.coalesce(F.when(F.size(a) == 0, F.col(crc) == 0).otherwise(F.crc32(F.expr(f"array_join({a}, char(0))").cast("binary")) == F.col(crc)), F.lit(False))
+
+    crc = F.arrow_udf(_float_crc, "bigint")
+    vectors = F.coalesce(F.when(F.size("vectors") == 0, F.col("vectors_crc32") == 0).otherwise(crc("vectors") == F.col("vectors_crc32")), F.lit(False))
+    complete_ = F.coalesce((F.size("ids") == F.col("row_count")) & (F.size("payloads") == F.col("row_count")), F.lit(False))
+    return segments.select("db_id", "collection", "segment_id", complete_.alias("complete"), of_list("ids", "ids_crc32").alias("ids_ok"), of_list("tombstones", "tombstones_crc32").alias("tombstones_ok"), vectors.alias("vectors_ok"))
+
+
+def _float_crc(lists: pa.Array) -> pa.Array:
+    """CRC-32 of each list's float32 bytes; NULL for a NULL list or one with a NULL in it."""
+    values, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<f4", copy=False), lists.offsets.to_numpy()
+    holes = lists.values.null_count > 0
+    out = []
+    for i, ok in enumerate(lists.is_valid().to_pylist()):
+        lo, hi = offsets[i], offsets[i + 1]
+        out.append(zlib.crc32(values[lo:hi].tobytes()) if ok and not (holes and lists.values.slice(lo, hi - lo).null_count) else None)
+    return pa.array(out, pa.int64())

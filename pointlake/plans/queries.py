@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pointlake.functions import filters as P
 from pointlake.functions import vectors as V
 from pointlake.operators import changes, compaction, search
+from pointlake.plans.collection import Collection
 from pointlake.session import table
-from pointlake.types import Metric
+from pointlake.types import CollectionConfig, Metric, SearchRequest
 
 Query = Callable[[SparkSession, str], DataFrame]
 K = 10
@@ -336,3 +337,31 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("nfc_ids", "SELECT DISTINCT db_id, collection, nfc_normalize(id) AS id FROM wal_records WHERE id IS NOT NULL")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "wal_records").where("id is not null").select("db_id", "collection", V.nfc(F.col("id")).alias("id")).distinct()
+
+
+# ---- L1-L5, S4-S9 over the tables: a collection in use, and the checksums of segments
+
+@query("collection_search", f"""SELECT CAST(vec_id AS VARCHAR) AS id, {s_distance('cosine', 'v', 'q')} AS distance FROM
+    (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN list_transform(embedding, lambda x: (-x)::FLOAT) ELSE embedding END AS v FROM embeddings WHERE vec_id NOT IN (1, 2, 3)), {Q0} ORDER BY distance, id LIMIT 1000000""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = points(spark, d)
+    c = Collection(spark, CollectionConfig("c", 64, Metric.COSINE))
+    c.upsert(p)
+    c.upsert(p.where(F.col("id").cast("long") % 7 == 0).withColumn("vector", F.transform("vector", lambda x: -x)))
+    c.delete(["1", "2", "3", "nobody"])
+    return c.search_frame(SearchRequest(first_vector(spark, d), 1_000_000, with_payload=False))
+
+
+@query("segments_complete", "SELECT db_id, collection, segment_id, len(ids) = row_count AND len(payloads) = row_count AS complete FROM segments")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return changes.verify_segments(table(spark, d, "segments")).select("db_id", "collection", "segment_id", "complete")
+
+
+@query("segment_checksums")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return changes.verify_segments(table(spark, d, "segments"))
+
+
+@query("manifest_generations", "SELECT db_id, collection, max(generation) AS generation, arg_max(segment_ids, generation) AS segment_ids FROM manifests WHERE format_version = 1 GROUP BY ALL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return changes.current_manifests(table(spark, d, "manifests")).select("db_id", "collection", "generation", "segment_ids")

@@ -97,3 +97,16 @@ def test_pack_files(spark, tmp_path):
     packed = P.pack_files(spark, [src], out, target_bytes=1 << 20)
     assert packed.rows == 1005 and packed.files_before == 40 and packed.files_after <= 6
     assert P.checksum(spark.read.parquet(src)) == P.checksum(spark.read.parquet(out)) and spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
+def test_verify_segments(spark):
+    import zlib
+
+    import numpy as np
+
+    v, ids = [1.0, -2.5], ["a", "réponse"]
+    good = (zlib.crc32(np.array(v, dtype="<f4").tobytes()), zlib.crc32("\0".join(ids).encode()))
+    cols = "db_id string, collection string, segment_id bigint, row_count bigint, ids array<string>, vectors array<float>, payloads array<int>, tombstones array<string>, vectors_crc32 bigint, ids_crc32 bigint, tombstones_crc32 bigint"
+    df = spark.createDataFrame([("d", "c", 1, 2, ids, v, [1, 2], [], *good, 0), ("d", "c", 2, 3, ids, v, [1, 2], ["x"], 5, 6, zlib.crc32(b"x")), ("d", "c", 3, None, None, None, None, None, None, None, None), ("d", "c", 4, 0, [], [], [], [], 0, 0, 0), ("d", "c", 5, 1, ["a"], [None], [1], [], 0, 1, 0)], cols)
+    got = {r[2]: tuple(r)[3:] for r in C.verify_segments(df).collect()}
+    assert got == {1: (True,) * 4, 2: (False, False, True, False), 3: (False,) * 4, 4: (True,) * 4, 5: (True, False, True, False)}
