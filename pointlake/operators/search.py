@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointlake.functions import vectors as V
+from pointlake.session import stage
 from pointlake.types import InvalidArgument, Metric
 
 
@@ -41,7 +42,8 @@ def batch_topk(points: DataFrame, queries: DataFrame, k: int, metric: Metric | s
         raise InvalidArgument(f"k must be at least 1, got {k}")
     q = queries.select("qid", F.col("vector").alias("qvector"))
     n = q.count()
-    blocks = [q] if n <= max_queries else q.randomSplit([1.0] * -(-n // max_queries), seed=7)
+    parts = max(1, -(-n // max_queries))
+    blocks = [q.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i) for i in range(parts)]
     w = Window.partitionBy("qid").orderBy(F.col("distance").asc_nulls_last(), "id")
     out = None
     for block in blocks:
@@ -123,28 +125,101 @@ def usable_points(points: DataFrame, configs: DataFrame) -> DataFrame:
     return p.groupBy("collection", "id").agg(F.max_by(F.struct("vector", "metric"), F.struct(F.coalesce("loaded_at", F.lit(0).cast("timestamp")), "vector")).alias("m")).select("collection", "id", "m.vector", "m.metric")
 
 
-def metric_distance(a: Column, b: Column, metric: Column) -> Column:
-    """The distance under a metric that a column names; NULL for unknown names."""
-    out = F.when(F.lit(False), F.lit(0.0).cast("float"))
-    for m in Metric:
-        out = out.when(metric == m.value, V.distance(a, b, m))
+def pairwise(rows: np.ndarray, queries: np.ndarray, metric: Metric | str) -> np.ndarray:
+    """sequential_distances of many queries at once: (queries, rows), the same float32 values, in blocks that stay in the cache."""
+    metric = Metric(metric)
+    rows, queries = rows.astype(np.float32, copy=False), queries.astype(np.float32, copy=False)
+    out = np.empty((len(queries), len(rows)), dtype=np.float32)
+    euclid = metric in (Metric.L2, Metric.L2_SQUARED)
+
+    def square_sums(m: np.ndarray) -> np.ndarray:
+        s = np.zeros(len(m), dtype=np.float32)
+        for j in range(m.shape[1]):
+            s += m[:, j] * m[:, j]
+        return s
+
+    with np.errstate(all="ignore"):
+        norms = (np.sqrt(square_sums(rows)), np.sqrt(square_sums(queries))) if metric is Metric.COSINE else None
+        columns = np.ascontiguousarray(rows.T)
+        for lo in range(0, len(rows), 2048):
+            for q in range(0, len(queries), 32):
+                c, b = columns[:, lo : lo + 2048], queries[q : q + 32]
+                s, t = np.zeros((len(b), c.shape[1]), dtype=np.float32), np.empty((len(b), c.shape[1]), dtype=np.float32)
+                for j in range(len(c)):
+                    if euclid:
+                        np.subtract(c[j][None, :], b[:, j][:, None], out=t)
+                        np.multiply(t, t, out=t)
+                    else:
+                        np.multiply(c[j][None, :], b[:, j][:, None], out=t)
+                    s += t
+                if metric is Metric.L2:
+                    s = np.sqrt(s)
+                elif metric is Metric.INNER_PRODUCT:
+                    s = -s + np.float32(0)
+                elif metric is Metric.COSINE:
+                    den = norms[0][lo : lo + 2048][None, :] * norms[1][q : q + 32][:, None]
+                    s = np.where(den == 0, np.float32(1), np.float32(1) - s / np.where(den == 0, np.float32(1), den))
+                out[q : q + 32, lo : lo + 2048] = s
     return out
 
 
+class Nearest:
+    """The k best (distance, id) of each of n queries; NaN comes after everything."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.best = k, [[] for _ in range(n)]
+        self.worst = np.full(n, np.inf)
+
+    def add(self, distances: np.ndarray, ids: list[str]) -> None:
+        keys = np.nan_to_num(distances.astype(np.float64), copy=False, nan=1e301, posinf=1e300, neginf=-1e300)
+        for i, row in enumerate(keys):
+            at = np.flatnonzero(row <= self.worst[i])
+            if len(at) > 4 * self.k:
+                at = at[row[at] <= np.partition(row[at], self.k - 1)[self.k - 1]]
+            if len(at):
+                self.best[i] = sorted([*self.best[i], *((row[j], ids[j]) for j in at)])[: self.k]
+                if len(self.best[i]) == self.k:
+                    self.worst[i] = self.best[i][-1][0]
+
+
 def collection_knn(points: DataFrame, configs: DataFrame, k: int, asks: Column, block_rows: int = 100_000) -> DataFrame:
     """Exact neighbours within the collection of each point for which asks holds: collection, qid, id, distance, rank.
 
-    The asking points are a stated set; they meet their collection's points in blocks of at most block_rows, broadcast.
+    The asking points are a stated set; they meet their collection's points in blocks of at most about block_rows, broadcast. A
+    partition keeps the k best rows of each query, so that only these are shuffled. Distances are those of the Column builders.
     """
-    from pointlake.session import stage
-
+    if k < 1:
+        raise InvalidArgument(f"k must be at least 1, got {k}")
     u = stage(usable_points(points, configs), "usable")
-    q = u.where(asks).select("collection", F.col("id").alias("qid"), F.col("vector").alias("qvector"))
-    n = q.count()
+    q = u.where(asks).select("collection", "metric", "id", "vector")
+    parts = max(1, -(-q.count() // block_rows))
     w = Window.partitionBy("collection", "qid").orderBy(F.col("distance").asc_nulls_last(), "id")
     out = None
-    for block in [q] if n <= block_rows else q.randomSplit([1.0] * -(-n // block_rows), seed=7):
-        hits = u.join(F.broadcast(block), "collection").select("collection", "qid", "id", metric_distance(F.col("vector"), F.col("qvector"), F.col("metric")).alias("distance"))
+    for i in range(parts):
+        asking: dict[tuple[str, str], tuple[list[str], np.ndarray]] = {}
+        for r in q.where(F.pmod(F.xxhash64("collection", "id"), F.lit(parts)) == i).collect():
+            asking.setdefault((r["collection"], r["metric"]), ([], []))[0].append(r["id"])
+            asking[r["collection"], r["metric"]][1].append(r["vector"])
+        shared = u.sparkSession.sparkContext.broadcast({c: (ids, np.array(v, dtype=np.float32)) for c, (ids, v) in asking.items()})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[tuple[str, str], Nearest] = {}
+            for b in batches:
+                names = b.column(0).to_numpy(zero_copy_only=False)
+                for key, (qids, qs) in shared.value.items():
+                    if not (names == key[0]).any():
+                        continue
+                    part = b.filter(pa.array(names == key[0]))
+                    rows = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, qs.shape[1])
+                    found.setdefault(key, Nearest(len(qids), k)).add(pairwise(rows, qs, key[1]), part.column(1).to_pylist())
+            for key, n in found.items():
+                hits = [(qid, pid, d) for qid, best in zip(shared.value[key][0], n.best) for d, pid in best]
+                if hits:
+                    d = np.array([h[2] for h in hits])
+                    d = np.where(d == 1e301, np.nan, np.where(np.abs(d) == 1e300, np.sign(d) * np.inf, d)).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(hits)), pa.array([h[0] for h in hits]), pa.array([h[1] for h in hits]), pa.array(d)], names=["collection", "qid", "id", "distance"])
+
+        hits = u.select("collection", "id", "vector").mapInArrow(run, "collection string, qid string, id string, distance float")
         best = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         out = best if out is None else out.unionByName(best)
     return out

@@ -251,10 +251,15 @@ class Collection:
                 live = live.where(compile_filter(request.filter))
             else:
                 warnings.warn("the filter is not evaluated; set apply_filter to do so", stacklevel=3)
-        keep = (*(["payload"] if request.with_payload else []), *(["vector"] if request.with_vector else []))
-        if self.compute == "expr" or keep:
-            return S.topk(live, query, request.k, self.config.metric, keep)
-        return S.arrow_topk(live, query, request.k, self.config.metric)
+        keep = [*(["payload"] if request.with_payload else []), *(["vector"] if request.with_vector else [])]
+        if self.compute == "expr":
+            return S.topk(live, query, request.k, self.config.metric, tuple(keep))
+        hits = S.arrow_topk(live, query, request.k, self.config.metric)
+        if not keep:
+            return hits
+        # payloads and vectors of the k hits only; few of them are broadcast
+        hits = F.broadcast(hits) if request.k <= 10_000 else hits
+        return live.select("id", *keep).join(hits, "id").select("id", "distance", *keep).orderBy("distance", "id")
 
     def search(self, request: SearchRequest) -> list[ScoredPoint]:
         df = self.search_frame(request)

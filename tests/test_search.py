@@ -126,3 +126,35 @@ def test_usable_points(spark):
                                  ("c", "nan", [nan, 1.0], t(1)), ("c", "inf", [inf, 1.0], t(1)), ("c", "hole", [None, 1.0], t(1)), ("x", "unknown", [1.0, 2.0], t(1)), ("c", None, [1.0, 2.0], t(1)), ("c", "again", [5.0, 6.0], None), ("c", "again", None, t(9))], schema)
     cfg = spark.createDataFrame([("c", 2, "l2")], "name string, dimension int, metric string")
     assert sorted((r["id"], r["vector"]) for r in S.usable_points(pts, cfg).collect()) == [("again", [5.0, 6.0]), ("ok", [1.0, 2.0])]
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_many_queries_are_bit_equal(metric):
+    rng = np.random.default_rng(8)
+    m, q = rng.normal(size=(2500, 9)).astype(np.float32), rng.normal(size=(40, 9)).astype(np.float32)
+    m[5], q[3], m[7, 0], m[8, 1] = 0, 0, np.nan, np.inf
+    got = S.pairwise(m, q, metric)
+    for i in (0, 3, 39):
+        assert np.array_equal(got[i], S.sequential_distances(m, q[i], metric), equal_nan=True)
+
+
+def test_nearest_keeps_ties_and_nan_in_order():
+    n = S.Nearest(1, 3)
+    n.add(np.array([[2, np.nan, 1, 1, np.inf]], dtype=np.float32), ["e", "n", "d", "c", "i"])
+    n.add(np.array([[1, 5, 1]], dtype=np.float32), ["b", "x", "a"])
+    assert [i for _, i in n.best[0]] == ["a", "b", "c"]
+    m = S.Nearest(1, 4)
+    m.add(np.array([[np.nan, np.inf, 3]], dtype=np.float32), ["n", "i", "x"])
+    assert [i for _, i in m.best[0]] == ["x", "i", "n"]
+
+
+def test_collection_knn(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 4)).astype(np.float32)
+    pts = spark.createDataFrame([(c, f"p{i:02d}", v, None) for c in ("a", "b") for i, v in enumerate(x.tolist())], "collection string, id string, vector array<float>, loaded_at timestamp")
+    cfg = spark.createDataFrame([("a", 4, "l2"), ("b", 4, "cosine"), ("none", 4, "l2")], "name string, dimension int, metric string")
+    whole = sorted(map(tuple, S.collection_knn(pts, cfg, 5, F.expr("id in ('p03', 'p50')")).collect()))
+    assert len(whole) == 20 and whole == sorted(map(tuple, S.collection_knn(pts, cfg, 5, F.expr("id in ('p03', 'p50')"), block_rows=1).collect()))
+    want = S.topk(pts.where("collection = 'b'"), x[50].tolist(), 5, "cosine").collect()
+    assert [(r["id"], r["distance"]) for r in want] == [(w[2], w[3]) for w in sorted(whole, key=lambda w: w[4]) if w[0] == "b" and w[1] == "p50"]
+    assert S.collection_knn(pts, cfg, 5, F.lit(False)).count() == 0
