@@ -1,6 +1,8 @@
 """What operators share about the session: the shared folder, staged tables, checked broadcasts, scoped settings."""
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,8 +24,27 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_staged: list[str] = []
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder, which is emptied when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _staged:
+        atexit.register(_clean, spark)
+    _staged.append(path)
+    return path
+
+
+def _clean(spark: SparkSession) -> None:
+    for path in _staged:
+        try:
+            if path.startswith("file:"):
+                shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+            else:
+                drop_path(spark, path)
+        except Exception:  # noqa: BLE001 - the JVM may be gone
+            return
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
