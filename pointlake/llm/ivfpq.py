@@ -107,9 +107,9 @@ def train(x: Array, metric: str, total: int, top_norm: float, cells: int, slices
     probes = []
     for i in range(len(c)):
         reach = np.cumsum(share[near[i]])
-        probes.append(near[i][: max(4, int(np.searchsorted(reach, probe_share)) + 1)])
+        probes.append(near[i][: max(4, int(np.searchsorted(reach, probe_share)) + 1)].astype(np.int32))
         if probes[-1][0] != i:
-            probes[-1] = np.concatenate([[i], probes[-1][probes[-1] != i]])
+            probes[-1] = np.concatenate([np.array([i], np.int32), probes[-1][probes[-1] != i]])
     wanted: list[set[int]] = [set() for _ in c]
     for i, near_i in enumerate(probes):
         for j in near_i:
