@@ -59,7 +59,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 NEAR = {"cosine": 0.015, "innerProduct": -0.985, "l2": 0.173, "l2Squared": 0.03}
 
 
-@query("p3_found")
+_USABLE = """u AS (SELECT p.collection, p.id, any_value(p.vector)::DOUBLE[] AS v, any_value(c.metric) AS metric FROM points p JOIN collection_configs c ON c.name = p.collection
+      WHERE len(p.vector) = c.dimension AND list_bool_and(list_transform(p.vector, lambda x: coalesce(isfinite(x), false))) AND list_bool_or(list_transform(p.vector, lambda x: x <> 0)) GROUP BY p.collection, p.id),
+    n AS (SELECT *, list_inner_product(v, v) AS sq FROM u),
+    d AS (SELECT a.collection, a.metric, a.id AS a, b.id AS b, CASE a.metric WHEN 'innerProduct' THEN -list_inner_product(a.v, b.v) WHEN 'cosine' THEN 1 - list_inner_product(a.v, b.v) / sqrt(a.sq * b.sq)
+      WHEN 'l2' THEN sqrt(greatest(a.sq + b.sq - 2 * list_inner_product(a.v, b.v), 0)) ELSE greatest(a.sq + b.sq - 2 * list_inner_product(a.v, b.v), 0) END AS distance FROM n a JOIN n b ON a.collection = b.collection)"""
+
+
+def _limit(within: dict[str, float]) -> str:
+    return "CASE metric " + " ".join(f"WHEN '{m}' THEN {x}" for m, x in within.items()) + " END"
+
+
+@query("p3_found", f"""WITH {_USABLE},
+    r AS (SELECT *, row_number() OVER (PARTITION BY collection, a ORDER BY distance, b) AS rank FROM d WHERE a <> b)
+    SELECT DISTINCT collection, least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE rank <= 10 AND distance <= {_limit(NEAR)}""")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.near_pairs(table(spark, d, "points"), table(spark, d, "collection_configs"), NEAR)
 
@@ -73,7 +86,9 @@ def p3_neighbors(spark: SparkSession, d: str) -> DataFrame:
 TOGETHER = {"cosine": 0.15, "innerProduct": -0.85, "l2": 0.5477, "l2Squared": 0.3}
 
 
-@query("p4_found")
+@query("p4_found", f"""WITH {_USABLE},
+    s AS (SELECT collection, a AS id, list_sort(list(b)) AS near FROM d WHERE distance <= {_limit(TOGETHER)} GROUP BY collection, a)
+    SELECT collection, near[1] AS cluster_id, unnest(near) AS id FROM s GROUP BY collection, near HAVING count(*) = len(near) AND len(near) >= 12""")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return clusters.isolated(table(spark, d, "points"), table(spark, d, "collection_configs"), TOGETHER)
 

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame
 
 from pointlake.llm import bpe
 
+#: Ids after which an output batch is handed over.
+MAX_IDS = 1 << 22
+
 
 def _mapped(df: DataFrame, id_col: str, in_col: str, fn: object, out: str) -> DataFrame:
     return df.select(df[id_col].alias("_id"), df[in_col].alias("_in")).mapInArrow(fn, f"_id {dict(df.dtypes)[id_col]}, {out}").withColumnRenamed("_id", id_col)
@@ -29,12 +32,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = bpe.load(path)
         for b in batches:
-            ids, ends = array("i"), [0]
-            for x in b.column(1):
+            ids, ends, first = array("i"), [0], 0
+            for i, x in enumerate(b.column(1), 1):
                 ids.extend(t.encode(x.as_py()))
                 ends.append(len(ids))
-            values = pa.array(np.frombuffer(ids, dtype=np.int32) if len(ids) else np.empty(0, np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["_id", "ids"])
+                if len(ids) >= MAX_IDS or i == b.num_rows:
+                    values = pa.array(np.frombuffer(ids, dtype=np.int32) if len(ids) else np.empty(0, np.int32))
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, i - first), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["_id", "ids"])
+                    ids, ends, first = array("i"), [0], i
 
     return _mapped(docs, id_col, text_col, run, "ids array<int>")
 
