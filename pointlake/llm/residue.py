@@ -25,10 +25,10 @@ RESIDUE, DOUBTFUL = 2, 1
 
 # ---- what only shows text
 _I = re.I | re.M
-CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b[^<>]*>(?!\s*\d{3}\s*</code>).*?(?:</code>|\Z)|^(?: {4}|\t).*$|`[^`\n]+`|^[ \t]*>.*$", re.S | _I)
+CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b[^<>]*>(?!\s*\d{3}\s*</code>).*?(?:</code>|\Z)|^(?: {4}|\t).*$|`[^`\n]+`|<blockquote\b.*?(?:</blockquote>|\Z)|^[ \t]*>.*$", re.S | _I)
 QUOTE = re.compile(r"""(?<![\w])"(?:[^"\n]|\n(?!\s*\n))*"|“(?:[^”\n]|\n(?!\s*\n))*”|«[^«»]*»|„[^“”„]*[“”]|「[^」]*」|『[^』]*』|‘[^’\n]*’(?!\w)|(?<![\w'])'(?=\S)[^'\n]*(?:'(?=\w)[^'\n]*)*'(?!\w)""")
 MATH = re.compile(r"\$\$.*?\$\$|\$[^$\n]*[\\^<>=][^$\n]*\$|\$\w_?\{?[\w,]*\}?\$", re.S)
-LINK = re.compile(r"!?\[[^\[\]\n]*\]\s*\([^()\n]*\)?|https?://\S+|www\.\S+")
+LINK = re.compile(r"!?\[[^\[\]\n]*\]\((?!\[)[^()\n]*\)?|https?://\S+|www\.\S+")
 BREAK = re.compile(r"</?(?:p|br|div|li|ul|ol|h[1-6]|hr|tr|td|table|center|head|body|html|title|noscript|span|b|i|em|strong|a|meta|link|style)\b[^<>]*>", re.I)
 
 # ---- template fields
