@@ -12,6 +12,7 @@ import hashlib
 import html
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex as re
@@ -22,6 +23,7 @@ from pointlake.llm.sources import source_key
 from pointlake.session import stage
 
 RESIDUE, DOUBTFUL = 2, 1
+LONG_UNIT = 240  # characters; longer than any message as a whole
 
 # ---- what only shows text
 _I = re.I | re.M
@@ -131,6 +133,7 @@ def filler(key: str) -> bool:
     return False
 
 
+@lru_cache(maxsize=1 << 15)
 def verdict(key: str) -> int:
     """RESIDUE, DOUBTFUL or 0 of a masked unit; a function of the key alone."""
     if not key:
@@ -149,15 +152,21 @@ def verdict(key: str) -> int:
 
 
 def units(x: str) -> Iterator[str]:
+    """Lines, paragraphs of several lines, and sentences. Of what is longer than any message, and no repetition of a few words, the
+    sentences say enough."""
     for paragraph in _PARAGRAPH.split(shown_only(x)):
         lines = paragraph.split("\n")
-        yield from lines
         whole = " ".join(paragraph.split())
-        if len(lines) > 1:
-            yield whole
         parts = _SENTENCE.split(whole)
-        if len(parts) > 1:
-            yield from parts
+        if len(parts) == 1:
+            yield from lines
+            if len(lines) > 1:
+                yield whole
+            continue
+        yield from (line for line in lines if len(line) <= LONG_UNIT)
+        if len(whole) > LONG_UNIT and len(set(whole.casefold().split())) <= 4 or len(lines) > 1 and len(whole) <= LONG_UNIT:
+            yield whole
+        yield from parts
 
 
 def suspects(text: str) -> dict[str, int]:
