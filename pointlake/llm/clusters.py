@@ -3,20 +3,21 @@
 Vectors become standardised principal components, per collection. Coarse mixtures, fitted by distributed rounds of
 expectation-maximisation over all rows (each partition gives sums of statistics), divide collections into leaves of at most
 LEAF_ROWS rows; within a leaf a finer mixture is fitted, its number of components chosen by the information criterion.
-Components are described by their size and their members of highest density.
+Components are described by their size and their members of highest density. A group may be fitted in several leaves, or in several
+pieces of a leaf: parts whose centres are within reach of each other are one component before it is described.
 
 `isolated` then makes exact clusters of them: the densest members are asked against all rows of their collection, in
 blocks, and what they find must be mutually near and near to nothing else.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointlake.llm import gmm as G
@@ -202,13 +203,36 @@ def plant(reps: DataFrame, known: dict[str, Shape], within: dict[str, float]) ->
 
 
 _COMPONENT = "collection string, leaf string, component int, rows long, size long, typical array<string>, id string, vec binary"
+_PART = "collection string, leaf string, component int, id string, n long, dense double, z binary, size long, kind string, centre binary, middle binary"
 
 
-def components(reps: DataFrame, known: dict[str, Shape], within: dict[str, float], typical: int = 3) -> DataFrame:
-    """One row for each component of each leaf: its size, its most typical ids, and the id and vector of the densest member.
+@dataclass
+class Leaf:
+    """What a local fit found: its rows in the order of their ids, the component of each and its log density there."""
+
+    collection: str
+    name: str
+    shape: Shape
+    ids: np.ndarray
+    n: np.ndarray
+    vecs: np.ndarray
+    z: np.ndarray
+    mixture: G.Mixture
+    at: np.ndarray
+    dense: np.ndarray
+
+    def members(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each component that has rows, with these, densest first. The last component of a leaf is its background."""
+        for k in range(len(self.mixture.weight)):
+            rows = np.flatnonzero(self.at == k)
+            if len(rows):
+                yield k, rows[np.argsort(-self.dense[rows], kind="stable")]
 
-    reps: collection, id, n, vec, h1. Leaves larger than LEAF_ROWS, in which mixtures find nothing to divide, are cut by hash.
-    The last component of a leaf is its background.
+
+def fitted(reps: DataFrame, known: dict[str, Shape], within: dict[str, float], tell: Callable[[Leaf], pd.DataFrame], schema: str) -> DataFrame:
+    """What tell says of each leaf. reps: collection, id, n, vec, h1.
+
+    Leaves larger than LEAF_ROWS, in which mixtures find nothing to divide, are cut by hash: their names end with the piece.
     """
     trees, pieces = plant(reps, known, within)
     shared = reps.sparkSession.sparkContext.broadcast((trees, pieces))
@@ -227,19 +251,92 @@ def components(reps: DataFrame, known: dict[str, Shape], within: dict[str, float
         c = key[0]
         t = shared.value[0][c]
         pdf = pdf.sort_values("id")
-        ids, n = pdf.id.to_numpy(), pdf.n.to_numpy(dtype=np.float64)
+        n = pdf.n.to_numpy(dtype=np.float64)
         z = t.features(np.frombuffer(b"".join(pdf.vec), dtype="<f4").reshape(-1, t.shape.dim))
         m, at, dense = G.fit_local(z, n, t.reduction.spread(squared_reach(within[t.shape.metric], t.shape.metric)), LEAST)
-        out = []
-        for k in range(len(m.weight)):
-            rows = np.flatnonzero(at == k)
-            if len(rows):
-                top = rows[np.argsort(-dense[rows], kind="stable")]
-                out.append((c, key[1], k, len(rows), int(n[rows].sum()), list(ids[top[:typical]]), ids[top[0]], pdf.vec.iloc[top[0]]))
-        return pd.DataFrame(out, columns=["collection", "leaf", "component", "rows", "size", "typical", "id", "vec"])
+        return tell(Leaf(c, key[1], t.shape, pdf.id.to_numpy(), n, pdf.vec.to_numpy(), z, m, at, dense))
 
     sent = reps.select("collection", "id", "vec", "n", "h1").mapInArrow(send, "collection string, leaf string, id string, vec binary, n long")
-    return sent.groupBy("collection", "leaf").applyInPandas(fit, _COMPONENT)
+    return sent.groupBy("collection", "leaf").applyInPandas(fit, schema)
+
+
+def components(reps: DataFrame, known: dict[str, Shape], within: dict[str, float], typical: int = 3) -> DataFrame:
+    """One row for each component of each leaf, or piece of one: its size, its most typical ids, and the id and vector of the densest
+    member."""
+    def tell(f: Leaf) -> pd.DataFrame:
+        out = [(f.collection, f.name, k, len(top), int(f.n[top].sum()), list(f.ids[top[:typical]]), f.ids[top[0]], f.vecs[top[0]]) for k, top in f.members()]
+        return pd.DataFrame(out, columns=["collection", "leaf", "component", "rows", "size", "typical", "id", "vec"])
+
+    return fitted(reps, known, within, tell, _COMPONENT)
+
+
+def parts(reps: DataFrame, known: dict[str, Shape], within: dict[str, float]) -> DataFrame:
+    """Each row of reps with its component and its features; a component's densest row also tells its size, kind and centre.
+
+    kind says with what a component may be put together: "near" if most of it is within reach of its centre; else it is wide, or the
+    rest of its leaf, and belongs to the pieces of that leaf only. centre is a vector of the collection, middle one of features.
+    """
+    def tell(f: Leaf) -> pd.DataFrame:
+        out = []
+        for k, top in f.members():
+            w, x = f.n[top], np.frombuffer(b"".join(f.vecs[top]), dtype="<f4").reshape(-1, f.shape.dim)
+            rows = metric_rows(x, f.shape.metric).astype(np.float64)
+            centre = (w @ rows) / w.sum()
+            length = np.linalg.norm(centre)
+            if f.shape.metric == "innerProduct":  # as long as its rows are
+                centre *= (w @ np.linalg.norm(rows, axis=1)) / w.sum() / max(length, 1e-30)
+            near = length > 0 and w[metric_distances(x, centre[None], f.shape.metric)[:, 0] <= within[f.shape.metric]].sum() >= 0.5 * w.sum()
+            kind = "near" if near else f"{f.name.rpartition('/')[0]}:{'rest' if k == len(f.mixture.weight) - 1 else 'wide'}"
+            about = (int(w.sum()), kind, centre.astype("<f4").tobytes(), ((w @ f.z[top]) / w.sum()).astype("<f4").tobytes())
+            out += [(f.collection, f.name, k, f.ids[i], int(f.n[i]), float(f.dense[i]), f.z[i].astype("<f4").tobytes(), *(about if i == top[0] else (None,) * 4)) for i in top]
+        return pd.DataFrame(out, columns=["collection", "leaf", "component", "id", "n", "dense", "z", "size", "kind", "centre", "middle"]).astype({"size": "Int64"})
+
+    return fitted(reps, known, within, tell, _PART)
+
+
+def leaders(edges: DataFrame) -> DataFrame:
+    """collection, part, leader: what each part that isn't one of the leaders goes to.
+
+    edges: collection, part, size, before: a pair within reach, of which `before`, of this size, goes first. What nothing undecided
+    precedes leads, and takes what it reaches; so chains of parts don't run together.
+    """
+    out = None
+    while True:
+        edges = stage(edges, "edges")
+        if edges.isEmpty():
+            return edges.select("collection", "part", F.col("before").alias("leader")) if out is None else out
+        lead = edges.select("collection", "before").distinct().join(edges.select("collection", F.col("part").alias("before")).distinct(), ["collection", "before"], "left_anti")
+        won = stage(edges.join(lead, ["collection", "before"], "left_semi").groupBy("collection", "part").agg(F.max_by("before", F.struct("size", "before")).alias("leader")), "won")
+        out = won if out is None else out.unionByName(won)
+        gone = won.select("collection", "part")
+        edges = edges.join(gone, ["collection", "part"], "left_anti").join(gone.withColumnRenamed("part", "before"), ["collection", "before"], "left_anti")
+
+
+def together(told: DataFrame, known: dict[str, Shape], within: dict[str, float]) -> DataFrame:
+    """collection, part, leader, middle: the parts that are put together, each with the centre of the whole.
+
+    told: collection, part, size, kind, centre, middle. Pieces of a leaf share its rest; of the others, those of one kind whose centres
+    are within reach of each other are one component.
+    """
+    rest = told.where(F.col("kind").endswith(":rest"))
+    rest = rest.join(rest.groupBy("collection", "kind").agg(F.min("part").alias("leader")), ["collection", "kind"]).where("part <> leader").select("collection", "part", "leader")
+    others = told.where(~F.col("kind").endswith(":rest")).select("collection", F.col("part").alias("id"), F.col("size").alias("n"), "kind", F.col("centre").alias("vec"))
+    about = others.select("collection", F.col("id").alias("part"), F.col("n").alias("own"), F.col("kind").alias("mine"))
+    met = None
+    for block in blocks(others):
+        h = hits(others, block, known, within).select("collection", F.col("rid").alias("part"), F.col("id").alias("before"), F.col("n").alias("size")).where("part <> before")
+        met = h if met is None else met.unionByName(h)
+    kinds = others.select("collection", F.col("id").alias("before"), "kind")
+    met = met.join(about, ["collection", "part"]).join(kinds, ["collection", "before"]).where("kind = mine and (size > own or size = own and before > part)")
+    joined = stage(rest.unionByName(leaders(met.select("collection", "part", "size", "before"))), "joined")
+    joined = joined.unionByName(joined.select("collection", F.col("leader").alias("part"), "leader").distinct())
+
+    def middle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        z = np.array([np.frombuffer(b, dtype="<f4") for b in pdf.middle], dtype=np.float64)
+        return pd.DataFrame({"collection": [key[0]], "leader": [key[1]], "middle": [np.average(z, axis=0, weights=pdf["size"]).astype("<f4").tobytes()]})
+
+    whole = joined.join(told.select("collection", "part", "size", "middle"), ["collection", "part"])
+    return joined.join(whole.groupBy("collection", "leader").applyInPandas(middle, "collection string, leader string, middle binary"), ["collection", "leader"]).select("collection", "part", "leader", "middle")
 
 
 def hits(rows: DataFrame, asking: list[tuple[str, str, bytes]], known: dict[str, Shape], within: dict[str, float], outer: dict[str, float] | None = None) -> DataFrame:
@@ -339,12 +436,43 @@ def isolated(points: DataFrame, configs: DataFrame, within: dict[str, float], le
     return good.join(members, ["collection", "id"], "left").select("collection", "cluster_id", F.coalesce("copy", "id").alias("id")).distinct()
 
 
-def describe(points: DataFrame, configs: DataFrame, within: dict[str, float]) -> DataFrame:
-    """collection, component, size, typical: the division of each collection's usable points by the mixtures, one row a component."""
+def divided(points: DataFrame, configs: DataFrame, within: dict[str, float]) -> tuple[DataFrame, DataFrame]:
+    """(collection, id, n, component, far of each different vector, usable points with the smallest id of their copies, rep).
+
+    far orders a component's rows, most typical first: by density, or where it was put together of several parts, by the distance
+    to the centre of the whole.
+    """
     known = shapes(configs)
     p = usable(points, known)
     several = small(copies(p), "copies")
     p = p.join(several, ["collection", "h1", "h2"], "left")
     reps = p.where("rep is null or rep = id").withColumn("n", F.coalesce("n", F.lit(1)))
-    c = components(reps, known, within)
-    return c.select("collection", F.concat_ws(":", "leaf", "component").alias("component"), "size", "typical")
+    rows = stage(parts(reps, known, within).withColumn("part", F.concat_ws(":", "leaf", "component")), "parts")
+    joined = small(together(rows.where("size is not null"), known, within), "together")
+
+    @F.pandas_udf("double")
+    def distance(z: pd.Series, middle: pd.Series) -> pd.Series:
+        return pd.Series([None if m is None else float(((np.frombuffer(a, dtype="<f4") - np.frombuffer(m, dtype="<f4")) ** 2).sum()) for a, m in zip(z, middle)], dtype="float64")
+
+    rows = rows.select("collection", "part", "id", "n", "dense", "z").join(joined, ["collection", "part"], "left")
+    far = F.coalesce(distance("z", "middle"), -F.col("dense"))
+    return rows.select("collection", "id", "n", F.coalesce("leader", "part").alias("component"), far.alias("far")), p
+
+
+def members(points: DataFrame, configs: DataFrame, within: dict[str, float]) -> DataFrame:
+    """collection, id, component: the component of `describe` that each usable point is in."""
+    rows, p = divided(points, configs, within)
+    same = p.where("rep is not null").select("collection", F.col("rep").alias("id"), F.col("id").alias("copy"))
+    return rows.join(same, ["collection", "id"], "left").select("collection", F.coalesce("copy", "id").alias("id"), "component")
+
+
+def describe(points: DataFrame, configs: DataFrame, within: dict[str, float], typical: int = 3) -> DataFrame:
+    """collection, component, size, typical: the division of each collection's usable points by the mixtures, one row a component.
+
+    A group of near points is one component, however many leaves or pieces of leaves its rows were fitted in.
+    """
+    rows, _ = divided(points, configs, within)
+    sizes = rows.groupBy("collection", "component").agg(F.sum("n").alias("size"))
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("collection", "component").orderBy("far", "id"))).where(F.col("r") <= typical)
+    first = first.groupBy("collection", "component").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("typical"))
+    return sizes.join(first, ["collection", "component"])

@@ -98,6 +98,11 @@ def p4_components(spark: SparkSession, d: str) -> DataFrame:
     return clusters.describe(table(spark, d, "points"), table(spark, d, "collection_configs"), TOGETHER)
 
 
+@query("p4_members")
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.members(table(spark, d, "points"), table(spark, d, "collection_configs"), TOGETHER)
+
+
 @query("p2_subset")
 def p2_subset(spark: SparkSession, d: str) -> DataFrame:
     return diversity.varied(table(spark, d, "points"), table(spark, d, "collection_configs"), table(spark, d, "subset_requests"))

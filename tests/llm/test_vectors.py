@@ -163,6 +163,30 @@ def test_components(tables):
     assert sizes == {m: 392 for m in METRICS} | {"single": 1, "copies": 300}
 
 
+def test_a_large_cluster_is_one_component(spark):
+    x = groups(np.random.default_rng(8), [2 * C.LEAF_ROWS, 60, 30], 200)
+    rows = [(m, f"p{i:05d}", v.tolist(), None, None) for m in ("l2", "cosine") for i, v in enumerate(x)]
+    points, configs = spark.createDataFrame(rows, POINTS), spark.createDataFrame([(m, DIM, m) for m in ("l2", "cosine")], CONFIGS)
+    large = 2 * C.LEAF_ROWS
+    got = C.describe(points, configs, WITHIN).collect()
+    for m in ("l2", "cosine"):
+        mine = sorted((r for r in got if r["collection"] == m), key=lambda r: -r["size"])
+        assert sum(r["size"] for r in mine) == len(x) and 0.98 * large <= mine[0]["size"] <= large + 20 and mine[1]["size"] <= 300
+        assert len(mine[0]["typical"]) == 3 and all(int(i[1:]) < large for i in mine[0]["typical"])
+    of = C.members(points, configs, WITHIN).toPandas()
+    assert len(of) == len(rows) and not of.duplicated(["collection", "id"]).any()
+    for m, g in of.groupby("collection"):
+        top = g[g.id < f"p{large:05d}"].component.value_counts()
+        assert top.iloc[0] >= 0.98 * large
+
+
+def test_members_are_those_described(tables):
+    size = {}
+    for r in C.members(*tables, within=WITHIN).collect():
+        size[r["collection"], r["component"]] = size.get((r["collection"], r["component"]), 0) + 1
+    assert sorted((k[0], n) for k, n in size.items()) == sorted((r["collection"], r["size"]) for r in C.describe(*tables, within=WITHIN).collect())
+
+
 def test_expectation_maximisation_raises_the_likelihood():
     rng = np.random.default_rng(1)
     z = np.concatenate([rng.normal(0, 1, (300, 3)), rng.normal(6, 0.5, (200, 3))]).astype(np.float32)
