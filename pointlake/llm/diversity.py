@@ -1,14 +1,15 @@
 """Choosing a varied subset by tournament-pivoted, rank-revealing QR.
 
-A row's features are its vector and, if a payload field shall vary too, hashed indicators of its values. Pivoted QR takes,
-again and again, the row with the greatest part outside the span of those taken: rows similar to a taken one have little
-left, however many they are. In a tournament every batch and partition nominates its pivots, and nominees meet
+A row's features are its vector and, if a payload field shall vary too, indicators of its values, one feature for each different
+value. They are held sparse, numbered anew in each set of rows that is pivoted: only whether two rows' values are equal
+matters, so no dictionary of the whole field is needed. Pivoted QR takes, again and again, the row with the greatest part
+outside the span of those taken: rows similar to a taken one have little left, however many they are. In a tournament every batch and partition nominates its pivots, and nominees meet
 in a tree, FAN at a time, where they are pivoted anew. One such round gives at most as many rows as there are independent
 features; the next round runs on deflated rows, each scaled by its distance to what has been taken, until all are chosen.
 """
 from __future__ import annotations
 
-import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 
 from pointlake.llm.vectors import Shape, matrix, shapes, usable
 
-HASHED = 32  # features that the values of a payload field are hashed to
 VALUE_WEIGHT = 0.5  # length of a row's value indicators, against that of its vector
 FAN = 8
+MOST_PIVOTS = 2048  # rows that one round takes; more take several rounds
+MOST_ROWS = 12_288  # rows pivoted at once
 MAX_REQUESTS = 10_000
 EPS = 1e-6
 
@@ -36,55 +38,89 @@ class Request:
     key: int  # place of the payload field in carry, -1 for none
 
 
-def features(x: np.ndarray, metric: str, values: list[list[str] | None] | None) -> np.ndarray:
+@dataclass
+class Indicators:
+    """Sparse features of rows: entries (row, code, amount), sorted by row; every different value has its own code."""
+
+    row: np.ndarray
+    code: np.ndarray
+    amount: np.ndarray
+    codes: int
+
+    def sq(self, rows: int) -> np.ndarray:
+        return np.bincount(self.row, self.amount**2, rows)
+
+    def dot(self, i: int, rows: int) -> np.ndarray:
+        """Inner products of all rows with row i."""
+        lo, hi = np.searchsorted(self.row, [i, i + 1])
+        if lo == hi:
+            return np.zeros(rows)
+        mine = np.zeros(self.codes)
+        mine[self.code[lo:hi]] = self.amount[lo:hi]
+        return np.bincount(self.row, self.amount * mine[self.code], rows)
+
+    def scaled(self, by: np.ndarray) -> Indicators:
+        return Indicators(self.row, self.code, self.amount * by[self.row], self.codes)
+
+
+def indicators(values: list[list[str] | None], scale: float) -> Indicators:
+    """Of length `scale` for each row that has values."""
+    known: dict[str, int] = {}
+    entries = [(i, c, n) for i, names in enumerate(values) for c, n in Counter(known.setdefault(name, len(known)) for name in names or ()).items()]
+    row, code, n = (np.array([e[k] for e in entries], dtype=t) for k, t in enumerate((np.int64, np.int64, np.float64)))
+    length = np.sqrt(np.bincount(row, n**2, len(values)))
+    return Indicators(row, code, scale * n / length[row], len(known))
+
+
+def features(x: np.ndarray, metric: str, values: list[list[str] | None] | None) -> tuple[np.ndarray, Indicators | None]:
     """Vectors (of unit length, but for Euclidean metrics, where all are scaled by one constant) and value indicators."""
     x = x.astype(np.float64)
     if metric in ("cosine", "innerProduct"):
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
     if values is None:
-        return x
-    scale = VALUE_WEIGHT * (1.0 if metric in ("cosine", "innerProduct") else float(np.sqrt((x * x).sum(1).mean())) if len(x) else 1.0)
-    v = np.zeros((len(x), HASHED))
-    for i, names in enumerate(values):
-        for name in names or ():
-            v[i, int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "big") % HASHED] += 1
-    n = np.linalg.norm(v, axis=1, keepdims=True)
-    return np.concatenate([x, scale * v / np.where(n > 0, n, 1)], axis=1)
-
-
-def deflated(a: np.ndarray, taken: np.ndarray, dim: int) -> np.ndarray:
-    """Rows scaled by the distance of their vector (the first dim features) to the nearest taken one, relative to both lengths."""
+        return x, None
+    return x, indicators(values, VALUE_WEIGHT * (1.0 if metric in ("cosine", "innerProduct") else float(np.sqrt((x * x).sum(1).mean())) if len(x) else 1.0))
+
+
+def nearness(x: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """What rows are deflated by: the distance of their vector to the nearest taken one, relative to both lengths."""
     if not len(taken):
-        return a
-    x, t = a[:, :dim], taken[:, :dim]
-    sq = (x * x).sum(1)[:, None] + (t * t).sum(1)[None, :]
-    near = np.maximum(sq - 2 * (x @ t.T), 0) / np.maximum(sq, 1e-30)
-    return a * np.sqrt(near.min(axis=1))[:, None]
+        return np.ones(len(x))
+    sq = (x * x).sum(1)[:, None] + (taken * taken).sum(1)[None, :]
+    near = np.maximum(sq - 2 * (x @ taken.T), 0) / np.maximum(sq, 1e-30)
+    return np.sqrt(near.min(axis=1))
+
 
+def pivots(a: np.ndarray, ids: np.ndarray, most: int, values: Indicators | None = None) -> list[int]:
+    """Rows in the order that pivoted QR takes them: at most `most`, as far as the rank goes; of equal rests the smallest id.
 
-def pivots(a: np.ndarray, ids: np.ndarray, most: int) -> list[int]:
-    """Rows in the order that pivoted QR takes them: at most `most`, as far as the rank goes; of equal rests the smallest id."""
+    It is done on inner products (a pivoted Cholesky decomposition of them takes the same rows), to which values add theirs.
+    """
     order = np.argsort(ids, kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
     a = a[order]
-    rest = (a * a).sum(1)
+    if values is not None:
+        by_row = np.argsort(place[values.row], kind="stable")
+        values = Indicators(place[values.row][by_row], values.code[by_row], values.amount[by_row], values.codes)
+    rest = (a * a).sum(1) + (0 if values is None else values.sq(len(a)))
     if not len(a) or rest.max() <= 0:
         return []
-    least, q, out = EPS * rest.max(), np.empty((0, a.shape[1])), []
-    while len(out) < min(most, *a.shape):
+    steps = min(most, len(a), a.shape[1] + (0 if values is None else values.codes))
+    least, q, out = EPS * rest.max(), np.empty((steps, len(a))), []
+    while len(out) < steps:
         i = int(rest.argmax())
         if rest[i] <= least:
             break
-        v = a[i] - q.T @ (q @ a[i])
-        v -= q.T @ (q @ v)
-        length = np.linalg.norm(v)
-        if length**2 <= least:
+        k = len(out)
+        v = a @ a[i] + (0 if values is None else values.dot(i, len(a))) - q[:k, i] @ q[:k]
+        if v[i] <= least:
             rest[i] = 0
             continue
-        v /= length
-        q = np.concatenate([q, v[None]])
-        rest -= (a @ v) ** 2
-        rest[out + [i]] = -1
+        q[k] = v / np.sqrt(v[i])
+        rest -= q[k] ** 2
         out.append(i)
+        rest[out] = -1
     return [int(order[i]) for i in out]
 
 
@@ -92,20 +128,25 @@ class _Pool:
     """Nominees of one request."""
 
     def __init__(self, request: Request, shape: Shape, taken: list[tuple[str, bytes, list | None]], most: int):
-        self.request, self.shape, self.most = request, shape, most
+        self.request, self.shape, self.most = request, shape, min(most, MOST_PIVOTS)
         self.gone = {t[0] for t in taken}
-        self.taken = self._features([t[1] for t in taken], [t[2] for t in taken])
+        self.taken = self._features([t[1] for t in taken], [t[2] for t in taken])[0]
         self.rows: list[tuple[str, bytes, list | None]] = []
 
-    def _features(self, vecs: list[bytes], carry: list) -> np.ndarray:
+    def _features(self, vecs: list[bytes], carry: list) -> tuple[np.ndarray, Indicators | None]:
         x = np.frombuffer(b"".join(vecs), dtype="<f4").reshape(-1, self.shape.dim)
         k = self.request.key
         return features(x, self.shape.metric, None if k < 0 else [c[k] if c is not None else None for c in carry])
 
     def add(self, rows: list[tuple[str, bytes, list | None]]) -> None:
-        self.rows += [r for r in rows if r[0] not in self.gone]
-        a = deflated(self._features([r[1] for r in self.rows], [r[2] for r in self.rows]), self.taken, self.shape.dim)
-        self.rows = [self.rows[i] for i in pivots(a, np.array([r[0] for r in self.rows], dtype=object), self.most)]
+        rows = [r for r in rows if r[0] not in self.gone]
+        step = max(1, MOST_ROWS - self.most)
+        for lo in range(0, len(rows), step):
+            self.rows += rows[lo : lo + step]
+            x, values = self._features([r[1] for r in self.rows], [r[2] for r in self.rows])
+            by = nearness(x, self.taken)
+            best = pivots(x * by[:, None], np.array([r[0] for r in self.rows], dtype=object), self.most, values and values.scaled(by))
+            self.rows = [self.rows[i] for i in best]
 
 
 def _round(p: DataFrame, requests: dict[int, Request], known: dict[str, Shape], taken: dict[int, list]) -> list:

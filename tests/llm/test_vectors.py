@@ -226,3 +226,29 @@ def test_pivots_reveal_the_rank():
     p = D.pivots(a, ids, 40)
     assert len(p) == 3 and np.linalg.matrix_rank(a[p]) == 3 and p[0] == int((a * a).sum(1).argmax())
     assert D.pivots(np.zeros((4, 3)), ids[:4], 2) == [] and D.pivots(np.ones((4, 3)), ids[:4][::-1].copy(), 2) == [3]
+
+
+def test_each_value_has_its_own_feature(spark):
+    names = [f"v{i:03d}" for i in range(200)]
+    x = np.tile(np.eye(1, DIM), (200, 1))
+    _, values = D.features(x, "cosine", [[f"string:{n}"] for n in names])
+    ids = np.array(names, dtype=object)
+    assert len(D.pivots(x, ids, 200, values)) == 200  # equal vectors, but no two equal values
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.eye(DIM)[:1] + 0.01 * rng.normal(size=(900, DIM)), np.eye(DIM)[:1] + 0.01 * rng.normal(size=(150, DIM))])
+    site = ["common"] * 900 + [f"rare{i % 150}" for i in range(150)]
+    points = spark.createDataFrame([("c", f"p{i:04d}", v.tolist(), payload_row({"site": s}), None) for i, (v, s) in enumerate(zip(x, site))], POINTS)
+    requests = spark.createDataFrame([(1, "c", 120, "site")], "request_id int, collection string, subset_size int, payload_key string")
+    got = [r["id"] for r in D.varied(points, spark.createDataFrame([("c", DIM, "cosine")], CONFIGS), requests).collect()]
+    assert len(got) == 120 and len({site[int(i[1:])] for i in got}) >= 110
+
+
+def test_pivots_of_sparse_values_are_those_of_indicator_columns():
+    rng = np.random.default_rng(4)
+    x, values = rng.normal(size=(60, 8)), [[f"v{k}" for k in rng.integers(0, 9, rng.integers(0, 4))] for _ in range(60)]
+    z, sparse = D.features(x, "cosine", values)
+    wide = np.zeros((60, sparse.codes))
+    wide[sparse.row, sparse.code] = sparse.amount
+    ids = rng.permutation(np.array([f"{i:02d}" for i in range(60)], dtype=object))
+    assert D.pivots(z, ids, 60, sparse) == D.pivots(np.concatenate([z, wide], axis=1), ids, 60)
+    assert len(D.pivots(z, ids, 60, sparse)) > 10
