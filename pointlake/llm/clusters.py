@@ -6,7 +6,7 @@ LEAF_ROWS rows; within a leaf a finer mixture is fitted, its number of component
 Components are described by their size and their members of highest density. A group may be fitted in several leaves, or in several
 pieces of a leaf: parts whose centres are within reach of each other are one component before it is described.
 
-`isolated` then makes exact clusters of them: the densest members are asked against all rows of their collection, in
+`isolated` then makes exact clusters: the densest members, and all density peaks, are asked against all rows of their collection, in
 blocks, and what they find must be mutually near and near to nothing else.
 """
 from __future__ import annotations
@@ -202,7 +202,6 @@ def plant(reps: DataFrame, known: dict[str, Shape], within: dict[str, float]) ->
     return trees, pieces
 
 
-_COMPONENT = "collection string, leaf string, component int, rows long, size long, typical array<string>, id string, vec binary"
 _PART = "collection string, leaf string, component int, id string, n long, dense double, z binary, size long, kind string, centre binary, middle binary"
 
 
@@ -220,6 +219,7 @@ class Leaf:
     mixture: G.Mixture
     at: np.ndarray
     dense: np.ndarray
+    peaks: np.ndarray
 
     def members(self) -> Iterator[tuple[int, np.ndarray]]:
         """Each component that has rows, with these, densest first. The last component of a leaf is its background."""
@@ -253,21 +253,20 @@ def fitted(reps: DataFrame, known: dict[str, Shape], within: dict[str, float], t
         pdf = pdf.sort_values("id")
         n = pdf.n.to_numpy(dtype=np.float64)
         z = t.features(np.frombuffer(b"".join(pdf.vec), dtype="<f4").reshape(-1, t.shape.dim))
-        m, at, dense = G.fit_local(z, n, t.reduction.spread(squared_reach(within[t.shape.metric], t.shape.metric)), LEAST)
-        return tell(Leaf(c, key[1], t.shape, pdf.id.to_numpy(), n, pdf.vec.to_numpy(), z, m, at, dense))
+        m, at, dense, peaks = G.fit_local(z, n, t.reduction.spread(squared_reach(within[t.shape.metric], t.shape.metric)), LEAST)
+        return tell(Leaf(c, key[1], t.shape, pdf.id.to_numpy(), n, pdf.vec.to_numpy(), z, m, at, dense, peaks))
 
     sent = reps.select("collection", "id", "vec", "n", "h1").mapInArrow(send, "collection string, leaf string, id string, vec binary, n long")
     return sent.groupBy("collection", "leaf").applyInPandas(fit, schema)
 
 
-def components(reps: DataFrame, known: dict[str, Shape], within: dict[str, float], typical: int = 3) -> DataFrame:
-    """One row for each component of each leaf, or piece of one: its size, its most typical ids, and the id and vector of the densest
-    member."""
+def candidates(reps: DataFrame, known: dict[str, Shape], within: dict[str, float]) -> DataFrame:
+    """collection, id, vec of each component's densest member and of each density peak, whether or not the criterion kept it."""
     def tell(f: Leaf) -> pd.DataFrame:
-        out = [(f.collection, f.name, k, len(top), int(f.n[top].sum()), list(f.ids[top[:typical]]), f.ids[top[0]], f.vecs[top[0]]) for k, top in f.members()]
-        return pd.DataFrame(out, columns=["collection", "leaf", "component", "rows", "size", "typical", "id", "vec"])
+        at = sorted({int(top[0]) for _, top in f.members()} | {int(i) for i in f.peaks})
+        return pd.DataFrame({"collection": [f.collection] * len(at), "id": f.ids[at], "vec": f.vecs[at]})
 
-    return fitted(reps, known, within, tell, _COMPONENT)
+    return fitted(reps, known, within, tell, "collection string, id string, vec binary")
 
 
 def parts(reps: DataFrame, known: dict[str, Shape], within: dict[str, float]) -> DataFrame:
@@ -391,7 +390,7 @@ def isolated(points: DataFrame, configs: DataFrame, within: dict[str, float], le
     """collection, cluster_id, id: clusters of at least `least` points, any two within the metric's distance and no other point of
     the collection that near to any of them; cluster_id is the smallest id.
 
-    Candidates are the components' densest members; of candidates near to each other one is asked (in a cluster all are near
+    Candidates are the components' densest members and all density peaks; of candidates near to each other one is asked (in a cluster all are near
     to each other, so none is lost). Every row of the collection is compared with them, and within a candidate's hits all members
     with all hits, in chunks. Identical vectors are one row with a weight. Unusable vectors are in no cluster; of points loaded
     again the latest usable load counts; empty tables and collections give nothing.
@@ -401,7 +400,7 @@ def isolated(points: DataFrame, configs: DataFrame, within: dict[str, float], le
     several = small(copies(p), "copies")
     p = p.join(several, ["collection", "h1", "h2"], "left")
     reps = p.where("rep is null or rep = id").withColumn("n", F.coalesce("n", F.lit(1)))
-    found = stage(components(reps, known, within).select("collection", "id", F.lit(1).cast("long").alias("n"), "vec"), "densest")
+    found = stage(candidates(reps, known, within).select("collection", "id", F.lit(1).cast("long").alias("n"), "vec"), "candidates")
     lost = None
     for block in blocks(found):
         near = hits(found, block, known, within).where("id > rid").select("collection", "id")

@@ -104,10 +104,11 @@ def spherical(m: Mixture, but_last: int = 1) -> Mixture:
     return Mixture(m.weight, m.mean, var)
 
 
-def fit_local(z: Array, w: Array, reach: float, least: float, rounds: int = ROUNDS) -> tuple[Mixture, Array, Array]:
-    """(mixture, component of each row, log density of each row in it); the last component is the broad background.
+def fit_local(z: Array, w: Array, reach: float, least: float, rounds: int = ROUNDS) -> tuple[Mixture, Array, Array, Array]:
+    """(mixture, component of each row, log density of each row in it, density peaks); the last component is the broad background.
 
-    Components start at density peaks and are spherical; how many of them stay is decided by the Bayesian information criterion.
+    Components start at density peaks and are spherical; how many of them stay is decided by the Bayesian information
+    criterion; all peaks are given, also those without a component.
     """
     d, total = z.shape[1], w.sum()
     mu = (w @ z) / total
@@ -125,4 +126,4 @@ def fit_local(z: Array, w: Array, reach: float, least: float, rounds: int = ROUN
             best = (score, m)
     joint = best[1].log_joint(z)
     at = joint.argmax(1)
-    return best[1], at, joint[np.arange(len(z)), at]
+    return best[1], at, joint[np.arange(len(z)), at], peaks

@@ -154,6 +154,20 @@ def test_a_near_point_spoils_a_cluster(spark):
     assert C.isolated(pts(rows).limit(0), configs, WITHIN).count() == 0
 
 
+def test_peaks_without_a_component_are_asked(spark, monkeypatch):
+    monkeypatch.setattr(C, "WANTED_ROWS", C.LEAF_ROWS)  # one leaf
+    rng = np.random.default_rng(0)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    sizes = [12] * 104 + [3] * 300
+    x = np.concatenate([np.repeat(unit(rng.normal(size=(len(sizes), 64))), sizes, axis=0) + 0.045 * rng.normal(size=(sum(sizes), 64)), unit(rng.normal(size=(3000, 64)))]).astype(np.float32)
+    points, configs = spark.createDataFrame([("c", f"p{i:04d}", v.tolist(), None, None) for i, v in enumerate(x)], POINTS), spark.createDataFrame([("c", 64, "cosine")], CONFIGS)
+    d = C.metric_distances(x, x, "cosine")
+    near = d <= 0.2
+    want = {(f"p{s[0]:04d}", f"p{j:04d}") for s in (range(i, i + 12) for i in range(0, 1248, 12)) if near[s[0]].sum() == 12 and all((near[j] == near[s[0]]).all() for j in s) for j in s}
+    got = {(r["cluster_id"], r["id"]) for r in C.isolated(points, configs, {"cosine": 0.2}).collect()}
+    assert len(want) > 600 and got == want
+
+
 def test_components(tables):
     c = C.describe(*tables, within=WITHIN).collect()
     sizes = {}
