@@ -153,7 +153,7 @@ def verdict(key: str) -> int:
 
 def units(x: str) -> Iterator[str]:
     """Lines, paragraphs of several lines, and sentences. Of what is longer than any message, and no repetition of a few words, the
-    sentences say enough."""
+    sentences, each line's own and those of the joined paragraph, say enough."""
     for paragraph in _PARAGRAPH.split(shown_only(x)):
         lines = paragraph.split("\n")
         whole = " ".join(paragraph.split())
@@ -163,7 +163,11 @@ def units(x: str) -> Iterator[str]:
             if len(lines) > 1:
                 yield whole
             continue
-        yield from (line for line in lines if len(line) <= LONG_UNIT)
+        for line in lines if len(lines) > 1 else [x for x in lines if len(x) <= LONG_UNIT]:
+            if len(line) <= LONG_UNIT:
+                yield line
+            else:  # its first sentence may be joined to an unterminated line before it
+                yield from (u for u in _SENTENCE.split(line) if u not in parts)
         if len(whole) > LONG_UNIT and len(set(whole.casefold().split())) <= 4 or len(lines) > 1 and len(whole) <= LONG_UNIT:
             yield whole
         yield from parts

@@ -50,3 +50,7 @@ def test_documents(spark):
 def test_sources(spark):
     df = spark.createDataFrame([(" Forge_QA ",), ("forge_qa",), ("  ",), (None,)], "s string")
     assert [r[0] for r in df.select(source_key(F.col("s"))).collect()] == ["forge_qa", "forge_qa", None, None]
+
+
+def test_first_sentence_of_a_long_line_after_an_unterminated_one():
+    assert hit("Notice\nYou need to enable JavaScript to get any further. " + "The rest of this line is an ordinary text. " * 8)
