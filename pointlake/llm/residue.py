@@ -94,7 +94,7 @@ _DATE = re.compile(r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}(?:[ t]\d{1,2}:\d{2}(?::\d{2
 _NUMBER = re.compile(r"\d+")
 _HEX = re.compile(r"\b(?=[a-f\-]*\d)[\da-f]{5,}(?:-[\da-f]+)*\b")
 _TOKENS, _PROSE = re.compile(r"[\p{L}\p{N}]+"), re.compile(r"[^a-z ]|\b(?:the|a|is|and|of|to|in|it|for|der|die|das|und|le|la|et|el|que|de)\b")
-_WORDS, _SENTENCE = re.compile(r"\p{L}+"), re.compile(r"(?<=[.!?…。])\s+")
+_WORDS, _SENTENCE = re.compile(r"\p{L}+"), re.compile(r"(?<=[.!?…。！？])\s+|(?<=。)(?=[^\s。!?！？)）\]」』】])|(?<=[!?！？])(?=[\p{Han}\p{Hiragana}\p{Katakana}]|(?<=[\p{Han}\p{Hiragana}\p{Katakana}ー].)[\p{L}\p{N}])")
 _TIGHT, _PARAGRAPH = re.compile(r" (?=[,.!?:;)])|(?<=\() "), re.compile(r"\n\s*\n")
 _HIDDEN = re.compile(r"[\u00ad\u200b-\u200d\u2060\ufeff]")
 

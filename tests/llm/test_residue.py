@@ -54,3 +54,9 @@ def test_sources(spark):
 
 def test_first_sentence_of_a_long_line_after_an_unterminated_one():
     assert hit("Notice\nYou need to enable JavaScript to get any further. " + "The rest of this line is an ordinary text. " * 8)
+
+
+@pytest.mark.parametrize("mark", "。！？")
+def test_japanese_sentences_without_spaces(mark):
+    assert hit(f"この手順は前の版で確認しました{mark}JavaScriptを有効にしてください。")
+    assert not hit(f"この手順は前の版で確認しました{mark}次の版でも同じです。")
