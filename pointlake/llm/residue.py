@@ -207,12 +207,13 @@ def find(docs: DataFrame, min_docs: int = 3, min_sources: int = 2) -> DataFrame:
     """doc_id of each document with residue, once.
 
     Defined cases: null, empty and blank texts are no case; a NULL source counts as a source of its own; repeated rows of a
-    doc_id count once; an empty table gives none. Every text is read whole. The one hash that a third of all documents may
-    share is pre-aggregated before the shuffle by (key, doc_id) counts, and documents with a certain verdict don't wait for it.
+    doc_id count once; an empty table gives none. Every text is read whole. Counts are exact: the different
+    (key, doc_id) and (key, source) are made first, then counted by key, each with partial aggregation before the shuffle.
     """
     m = stage(messages(docs), "messages")
     doubtful = m.where(F.col("verdict") == DOUBTFUL).select("doc_id", "source", "key")
-    wide = doubtful.groupBy("key").agg(F.approx_count_distinct("doc_id", 0.02).alias("docs"), F.approx_count_distinct(F.coalesce("source", F.lit("")), 0.02).alias("sources"))
-    wide = wide.where((F.col("docs") >= min_docs) & (F.col("sources") >= min_sources)).select("key")
+    documents = doubtful.select("key", "doc_id").distinct().groupBy("key").agg(F.count("doc_id").alias("docs")).where(F.col("docs") >= min_docs)
+    sources = doubtful.select("key", F.coalesce("source", F.lit("")).alias("source")).distinct().groupBy("key").agg(F.count("source").alias("sources")).where(F.col("sources") >= min_sources)
+    wide = documents.join(sources, "key").select("key")
     sure = m.where(F.col("verdict") == RESIDUE).select("doc_id")
     return sure.unionByName(doubtful.join(wide, "key", "left_semi").select("doc_id")).distinct()

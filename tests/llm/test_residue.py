@@ -60,3 +60,10 @@ def test_first_sentence_of_a_long_line_after_an_unterminated_one():
 def test_japanese_sentences_without_spaces(mark):
     assert hit(f"この手順は前の版で確認しました{mark}JavaScriptを有効にしてください。")
     assert not hit(f"この手順は前の版で確認しました{mark}次の版でも同じです。")
+
+
+def test_keys_at_the_threshold_are_counted_exactly(spark):
+    word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:05d}")
+    rows = [(3 * i + j, f"s{(i + j // 2 * 7919) % 9973}", f"Request id {word(i)}") for i in range(6000) for j in range(3)]
+    found = R.find(spark.createDataFrame(rows, "doc_id bigint, source string, text string"))
+    assert found.count() == len(rows)
