@@ -192,14 +192,21 @@ def neighbors(points: DataFrame, configs: DataFrame, k: int = 10, within: dict[s
     limits = [(c, s.metric, float(within[s.metric]) if within else float("inf")) for c, s in known.items()] or [("", "l2", 0.0)]
     metric = points.sparkSession.createDataFrame(limits, "collection string, metric string, limit double")
 
-    # places of a class's list that its own copies and each neighbouring class take; own copies come first
+    # places of a class's list that its own copies and each neighbouring class take; own copies come before what is as near, and
+    # under inner products after longer vectors that are nearer
     own = reps.where("n > 1").join(F.broadcast(metric), "collection").withColumn("distance", F.when(F.col("metric") == "innerProduct", -F.col("norm") * F.col("norm")).otherwise(0.0))
-    own = own.where("distance <= limit").select("collection", F.col("id").alias("a"), F.col("id").alias("b"), "distance", F.least(F.col("n") - 1, F.lit(k)).alias("take"))
+    own = own.select("collection", F.col("id").alias("a"), "distance", "limit", F.col("n").alias("copies"))
     z = F.arrays_zip("nid", "nd", "nn")
-    before = F.col("n") - 1 + F.aggregate(F.slice("nn", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda s, x: s + x)
-    near = found.select("collection", F.col("id").alias("a"), "n", "nn", F.posexplode(z).alias("i", "z")).join(F.broadcast(metric), "collection").where(F.col("z.nd") <= F.col("limit"))
+    total = lambda at: F.aggregate(at, F.lit(0).cast("long"), lambda s, x: s + x["nn"])
+    nearer = own.join(found.select("collection", F.col("id").alias("a"), z.alias("zs")), ["collection", "a"], "left")
+    ahead = F.when(F.col("distance") < 0, F.coalesce(total(F.filter("zs", lambda x: x["nd"] < F.col("distance"))), F.lit(0))).otherwise(0)
+    placed = nearer.where("distance <= limit").select("collection", "a", F.col("a").alias("b"), "distance", F.least(F.col("copies") - 1, k - ahead).alias("take")).where("take > 0")
+    near = found.select("collection", F.col("id").alias("a"), z.alias("zs"), F.posexplode(z).alias("i", "z")).join(F.broadcast(metric), "collection").where(F.col("z.nd") <= F.col("limit"))
+    near = near.join(own.select("collection", "a", F.col("distance").alias("at"), "copies"), ["collection", "a"], "left")
+    first_own = F.when((F.col("at") >= 0) | (F.col("at") <= F.col("z.nd")), F.col("copies") - 1).otherwise(0)
+    before = first_own + total(F.slice("zs", F.lit(1), F.col("i")))
     near = near.select("collection", "a", F.col("z.nid").alias("b"), F.col("z.nd").alias("distance"), F.least(F.col("z.nn"), k - before).alias("take")).where("take > 0")
-    pairs = own.unionByName(near)
+    pairs = placed.unionByName(near)
 
     members = p.where("rep is not null").select("collection", "rep", "id")
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("collection", "rep").orderBy("id"))).where(F.col("r") <= k + 1)

@@ -99,6 +99,17 @@ def test_copies_share_the_first_ids(tables):
     assert got["c299"] == {f"c{i:03d}" for i in range(10)} and got["c010"] == {f"c{i:03d}" for i in range(10)}
 
 
+def test_copies_of_a_short_vector_come_after_nearer_ones(spark):
+    v = [1.0] + [0.0] * (DIM - 1)
+    long = [[2.0 + i] + [0.0] * (DIM - 1) for i in range(3)]
+    points = spark.createDataFrame([("c", f"a{i:02d}", v, None, None) for i in range(12)] + [("c", f"z{i}", x, None, None) for i, x in enumerate(long)], POINTS)
+    configs = spark.createDataFrame([("c", DIM, "innerProduct")], CONFIGS)
+    got = {(r["neighbor"], r["distance"]) for r in N.neighbors(points, configs, k=10).where("id = 'a11'").collect()}
+    assert got == {("z2", -4.0), ("z1", -3.0), ("z0", -2.0), *((f"a{i:02d}", -1.0) for i in range(7))}
+    got = {r["neighbor"] for r in N.neighbors(points, configs, k=10, within={"innerProduct": -1.5}).where("id = 'a00'").collect()}
+    assert got == {"z0", "z1", "z2"}
+
+
 def test_best_and_tables_against_brute_force():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 24)).astype(np.float32)
