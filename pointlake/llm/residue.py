@@ -1,29 +1,26 @@
 """Template residue, filler, error-page messages and script notices in documents.
 
-Each text is cut to units (lines, and paragraphs by sentence) after everything that only shows such text is taken out: code,
-quotations, block quotes. Numbers, addresses, dates and template fields of a unit are masked, so that copies of a message
-from all sources become one key. Phrase and placeholder rules give each key a verdict: RESIDUE, or DOUBTFUL for short
-machine-like messages that only a wide recurrence gives away. Doubtful keys are grouped by exact hash over the whole corpus;
-those in at least `min_docs` documents of at least `min_sources` sources count as residue.
+Each text is stripped of what only shows such text (code, quotations, block quotes), and its numbers, addresses, dates and
+template fields are masked, as are runs of dummy Latin, of keys hit at random and of one repeated word. It is then cut to units:
+paragraphs, lines, sentences, and the head of a sentence before a colon, bracket or dash. So copies of a message from all sources
+become one key. Keys are grouped by exact hash over the whole corpus; those that recur in at least `min_docs` documents of at least
+`min_sources` sources are classified by phrase and placeholder rules, and the documents that hold a key so classified are found.
+What doesn't recur isn't residue, whatever it says.
 """
 from __future__ import annotations
 
-import hashlib
 import html
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointlake.llm.sources import source_key
-from pointlake.session import stage
-
-RESIDUE, DOUBTFUL = 2, 1
-LONG_UNIT = 240  # characters; longer than any message as a whole
+from pointlake.session import small, stage
 
 # ---- what only shows text
 _I = re.I | re.M
@@ -32,72 +29,93 @@ QUOTE = re.compile(r"""(?<![\w])"(?:[^"\n]|\n(?!\s*\n))*"|“(?:[^”\n]|\n(?!\s
 MATH = re.compile(r"\$\$.*?\$\$|\$[^$\n]*[\\^<>=][^$\n]*\$|\$\w_?\{?[\w,]*\}?\$", re.S)
 LINK = re.compile(r"!?\[[^\[\]\n]*\]\((?!\[)[^()\n]*\)?|https?://\S+|www\.\S+")
 BREAK = re.compile(r"</?(?:p|br|div|li|ul|ol|h[1-6]|hr|tr|td|table|center|head|body|html|title|noscript|span|b|i|em|strong|a|meta|link|style)\b[^<>]*>", re.I)
+RAW_ERROR = re.compile(r'^\s*\{\s*"(?:error|status)"\s*:\s*(?:\{|[45]\d\d\b)|^\s*<error><code>[45]\d\d</code>|^(?:\s|<html>|<head>|<!doctype[^<>]*>)*<title>\s*[45]\d\d [a-z ]+</title>|^\s*<h1>\s*(?:[45]\d\d )?[a-z -]{4,40}</h1>\s*<p>\s*\(?[45]\d\d\b|^\s*<(?:html|!doctype)[^\n]*<title>[^<>]*\b[45]\d\d\b', _I)
 
 # ---- template fields
 _WORD = r"[\p{L}_](?:[\p{L}\p{N}_.\-]| (?=[\p{L}_]))*"
 # Names of fields as forms and mails use them.
-FIELDS = "name first_name last_name full_name username user user_name display_name user_display_name title body text topic subject product category tag tags tag_list votes date time signature reply author email company city summary excerpt post_excerpt question question_text answer answer_body link url link_url site site_name message content".split()
-_FIELD = "(?:" + "|".join(sorted((f.replace("_", "[_. ]") for f in FIELDS), key=len, reverse=True)) + r")(?:[_.][a-z]{2})?"
+FIELDS = "name first_name last_name full_name customer customer_name client client_name company_name recipient username user user_name display_name user_display_name title body text topic subject product product_name category tag tags tag_list votes date year time signature reply author email phone address street company city country summary excerpt post_excerpt question question_text answer answer_body link url link_url site site_name website message content amount price invoice_number order_number".split()
+_FIELD = "(?:" + "|".join(sorted((f.replace("_", "[_. -]?") for f in FIELDS), key=len, reverse=True)) + r")(?:[_.][a-z]{2})?"
 PLACEHOLDER = re.compile("|".join([
-    r"\{\{\{?\s*[^{}\n]{1,48}?\s*\}?\}\}", r"\{%[^%\n]{1,60}%\}", r"<%[^%\n]{1,60}%>", rf"%%\s*{_WORD}\s*%%", r"\*\|[^|\n]{1,48}\|\*", r"\{![^!\n]{1,48}!\}",
-    r"\#\{[^{}\n]{1,48}\}", rf"\$\{{\s*{_WORD}\s*\}}", rf"@@\s*{_WORD}\s*@@", r"(?<!\w)__(?-i:[A-Z][A-Z_. ]+[A-Z])__(?!\w)", rf"\[\[\s*{_WORD}\s*\]\]", rf"<<\s*{_WORD}\s*>>",
-    r"(?<![\w\\])(?-i:\$[A-Z][A-Z_.]{2,}\$?)(?!\w)", r"\[(?:your|insert|enter|ihre?n?|votre|insérez|su|tu|inserte|seu|sua|insira|ваш\w*|вставьте)\b[^\[\]\n]{1,60}\]", r"<(?:your|insert|enter|ihre?n?|votre|su|tu|seu|sua|ваш\w*)\b[^<>\n]{1,48}>", r"\[[^\[\]\n]{0,24}(?:入力|記入|\b(?:einfügen|ergänzen|eintragen|ausfüllen|compléter|remplir|completar|rellenar|preencher|inserir|escriba|escreva|écrivez|вставить|заполнить|дополнить|укажите|введите))[^\[\]\n]{0,24}\]",
-    rf"%\({_WORD}\)s", r"(?-i:\[[A-Z][A-Z_. ]{2,}\])", rf"\[{_FIELD}\]", r"<[A-Za-z]+(?:[_.][A-Za-z]+)+>", r"(?-i:<(?!DOCTYPE)[A-Z_]{4,}>)", rf"<{_FIELD}>", rf"\{{{_FIELD}\}}",
+    r"\{\{\{?\s*[^{}\n]+?\s*\}?\}\}", r"\{%[^%\n]+%\}", r"<%[^%\n]+%>", rf"%%\s*{_WORD}\s*%%", rf"\*\|\s*{_WORD}\s*\|\*", r"\{![^!\n]+!\}",
+    r"\#\{[^{}\n]+\}", rf"\$\{{\s*{_WORD}\s*\}}", rf"@@\s*{_WORD}\s*@@", r"(?<!\w)__(?-i:[A-Z][A-Z_. ]+[A-Z])__(?!\w)", rf"\[\[\s*{_WORD}\s*\]\]", rf"<<\s*{_WORD}\s*>>",
+    r"(?<![\w\\])(?-i:\$[A-Z][A-Z_.]{2,}\$?)(?!\w)", r"(?<!\w)(?-i:%[A-Z][A-Z_]{3,}%)(?!\w)", rf"(?<![\w\\])\${_FIELD}(?!\w)", r"\[(?:your|insert|enter|ihre?n?|votre|insérez|su|tu|inserte|seu|sua|insira|ваш\w*|вставьте)\b[^\[\]\n]+\]", r"<(?:your|insert|enter|ihre?n?|votre|su|tu|seu|sua|ваш\w*)\b[^<>\n]+>",
+    r"\[[^\[\]\n]*?(?:入力|記入|\b(?:einfügen|ergänzen|eintragen|ausfüllen|compléter|remplir|completar|rellenar|preencher|inserir|escriba|escreva|écrivez|вставить|заполнить|дополнить|укажите|введите))[^\[\]\n]*\]",
+    rf"%\({_WORD}\)s", r"(?-i:\[[A-Z][A-Z_. ]{2,}\])", rf"\[{_FIELD}\]", r"<[A-Za-z]+(?:[_.][A-Za-z]+)+>", r"(?-i:<(?!DOCTYPE)[A-Z_]{4,}>)", rf"<{_FIELD}>", rf"(?<![\w\\$}}])\{{{_FIELD}\}}",
     r"(?<![\w\\$}])\{[0-9]\}", r"〇〇様?", r"\[object object\]",
 ]), re.I)
+_MAY_HOLD = re.compile(r"[\[<{%$*@_#〇]")
 # Sentences that speak of fields instead of leaving them unfilled.
 ABOUT = re.compile(r"\bescapes?\b|\bformat string\b|\bplaceholders?\b.*\b(?:syntax|means?)\b|\bexport <f>|\bdelimiter|\bbraces\b|\bsyntax\b|\bset <f> to\b|\bvariables? <f>(?! in )")
-PROMPT = re.compile(r"\(?describe your problem in this box|delete this line before posting|^todo: (?:describe the problem|add steps|expected result)|^answer template$|^answer template (?:1|0)\b")
-UNFILLED = re.compile(r"^(?:title|tags|body|hi|hello|dear|hallo|hola|bonjour|olá|здравствуйте|привет|best|posted (?:by|under)|filed in|more on this at|\d*0\. (?:what was tried|what happened|versions)|thanks for your question about)\b:?.{0,60}\b(?:undefined|null|nan)\b|^(?:undefined|null|nan)[.,]?$|\bnull null null\b|\bhas undefined answers\b|\bundefined votes\b|^warning: undefined variable .{0,60} on line|^fatal error: call to .{0,60} on null in |^template\w*error: .{0,80} line 0|^exception in renderer .{0,60}(?:of|on) null")
-_UNFILLED_HINTS = ("undefined", "null", "nan", "error")
-
-# ---- filler
-# Words of the usual dummy Latin.
-LATIN = set("lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore magna aliqua rebus trabes tantem ornat morina ulla veltum pulvim fustin limen carpio nivem calore sedet aciem quasi solvit duront ordo pellis quorat vespro".split())
-FILLER = re.compile(r"^(?:text goes here|placeholder paragraph to show|content coming soon|some words to fill the box|this is dummy (?:copy|text)\b|dummy text|your text here|sample text|this is (?:a )?(?:dummy|placeholder|sample) text|insert text here|platzhaltertext|(?:dies|hier) (?:ist|steht) (?:ein )?blindtext|texto de (?:prueba|ejemplo|exemplo|relleno)|esto es texto de relleno|este é um texto provisório|faux texte|ceci est un texte de remplissage|здесь будет текст|это текст-заполнитель|ここはダミーの文章)")
-_MASHED = re.compile(r"[bcdfghjklmnpqrstvwxz]{4}|^[bcdfghjklmnpqrstvwxz]{3,}$|q(?!u)|[jvxwz][bcdfgjkmnpqtvwxz]|[aeiou]{4}")
-
-# ---- scripts
-_JS = r"(?:java ?script|scripting|client-side scripts|scripts|js|скрипты|スクリプト)"
-SCRIPT = re.compile("|".join([
-    rf"^loading\W+\(requires {_JS}\)", rf"^checking your browser before\b.*needs {_JS}", rf"^(?:cookies and )?{_JS} (?:is |are )?(?:required|disabled|must be (?:on|allowed|enabled)|seems? to be off)",
-    rf"^this \w+ (?:works only|only works) with {_JS}", rf"^your browser (?:is not running|does not support|has disabled) {_JS}", r"^noscript: .*cannot be", rf"^turn on {_JS} in your browser", rf"^sorry, this \w+ (?:doesn't|does not) work (?:properly )?without {_JS}",
-    rf"^for the best experience on this \w+, (?:allow|enable) {_JS}", rf"^we detected that {_JS} (?:is|are) (?:blocked|disabled)", rf"^you (?:need|have) to (?:enable|allow|activate|turn on) {_JS}", rf"^please (?:enable|activate|allow|turn on) {_JS}",
-    rf"^(?:vous devez (?:autoriser|activer)|merci d'activer|veuillez activer) {_JS}", rf"^(?:bitte aktivieren sie|sie müssen|schalten sie) {_JS}", rf"^(?:por favor, (?:habilite|active)|debe (?:habilitar|activar)|active|habilite) {_JS}",
-    rf"^(?:ative|é preciso (?:permitir|ativar|habilitar)) (?:o )?{_JS}", rf"^(?:нужно разрешить|включите|разрешите) {_JS}", rf"^{_JS}を(?:オン|有効)",
-]))
-SCRIPT_TALK = re.compile(r"\bhave you tried\b|\bi want to\b|\bblock is all i need\b|\bturn .{1,20} off in\b|\?$")
-SCRIPT_HINT = re.compile(rf"\b{_JS}\b.{{0,40}}\b(?:enable|enabled|required|disabled|blocked|allow|allowed|activate|einschalten|aktivieren|activer|habilitar)\b|\b(?:enable|activate|allow|activer|habilite|aktivieren sie)\b.{{0,20}}\b{_JS}\b")
-
-# ---- error pages
-_STATUS = r"(?:bad gateway|not found|gateway time-?out|service (?:temporarily )?unavailable|forbidden|unauthorized|bad request|gone|too many requests|internal server error|request time-?out|method not allowed|not acceptable|conflict)"
-_TEXT = r"""(?:access denied|request blocked|l['’]adresse demandée n['’]existe pas ou plus|die gewünschte adresse gibt es hier nicht(?: \(mehr\))?|la dirección que busca no existe|estamos en mantenimiento|el servicio no responde|o endereço (?:procurado|que busca) não existe|estamos em manutenção|o serviço não responde|сеанс завершён|сервис не отвечает|le service ne répond pas|der dienst antwortet nicht|token expired|upstream timed out|accès refusé|votre session a expiré|erreur interne du serveur|page introuvable|service en maintenance|délai dépassé pendant le chargement\b.*
-|zugriff verweigert|interner serverfehler|ihre sitzung ist abgelaufen|seite nicht gefunden|der dienst ist gerade überlastet|zeitüberschreitung beim laden\b.*|wartungsarbeiten: .*
-|acceso denegado|su sesión ha caducado|error interno del servidor|página no encontrada|servicio en mantenimiento|tiempo de espera agotado\b.*|el servicio está saturado.*
-|acesso negado|sessão expirada|erro interno do servidor|página não encontrada|serviço em manutenção|tempo esgotado\b.*|o serviço está sobrecarregado.*
-|доступ запрещ[её]н|внутренняя ошибка сервера|страница не найдена|сессия истекла|сеанс истек|время ожидания истекло.*|сервис перегружен.*|ваша сессия истекла|технические работы.*
-|アクセスが拒否されました|サーバーでエラーが発生しました|ページが見つかりません(?:でした)?|セッションの有効期限が切れました|メンテナンス中です.*|タイムアウトしました.*
-|not available in your region|this content is no longer available|this site is over its quota|too many requests from your network|your session has expired|you have been signed out|could not connect to the \w+ database|down for maintenance\b.*|the server is busy right now|the connection has timed out while waiting for .*|invalid \w+ specified|you are not allowed to see .*|we could not load .*)""".replace("\n", "")
-_THING = r"(?:the page you asked for|your request|the answer|the comments|this thread|that question|post 0|[\w ]{1,24})"
-_TAIL = r"(?:[.!。]?(?:\s+(?:\(.*\)|please .*|home \| search.*|contact .*|we have .*|incident .*|reference .*|back to .*|retour .*|veuillez .*|bitte .*|zurück .*|vorgang .*|inténtelo .*|volver .*|dossier .*|вернитесь .*|volte .*|vuelva .*|tente .*|caso .*|código .*|código .*|код .*|повторите .*|попробуйте .*|вернуться .*|しばらく.*|トップ.*|content-length.*|continue without.*|\(?[\da-f\-]+\)?))*\s*)$"
-ERROR = re.compile("|".join([
-    rf"^(?:http(?:/[\d.]+)?|error|fehler|erreur|erro|status:?|ошибка)?\s*\(?0\)?\s*[-:|–—]?\s*\(?(?:{_STATUS}|{_TEXT})\)?(?:\s+0\s+{_STATUS})?(?:\s+\w+)?{_TAIL}",
-    rf"^(?:{_STATUS}|{_TEXT}){_TAIL}", rf"^{_STATUS}\s+\(?0\)?$", r"^error 0[.!]?$",
-    rf"^(?:oops|uh-oh|whoops|hmm|sorry)[!,.]+ {_THING} (?:is no longer here|could not be processed|has been moved or taken down)", r"^(?:oops|uh-oh|whoops|hmm|sorry)[!,.]+ (?:we could not load|we can't find|you are not allowed to see|something went wrong with|it took too long to fetch)\b",
-    rf"^{_THING} (?:is no longer here|has been moved or taken down|could not be processed)[.!]?{_TAIL}", r"^(?:we can't find|something went wrong with|it took too long to fetch) \w[\w ]{1,24}[.!]?$",
-    r"^home \| search \| help$", r"^content-length: 0$",
-]))
-RAW_ERROR = re.compile(r'^\s*\{\s*"(?:error|status)"\s*:\s*(?:\{|[45]\d\d\b)|^\s*<error><code>[45]\d\d</code>|^(?:\s|<html>|<head>|<!doctype[^<>]*>)*<title>\s*[45]\d\d [a-z ]+</title>|^\s*<h1>\s*(?:[45]\d\d )?' + _STATUS + r"\s*</h1>|^<(?:html|!doctype)[^\n]*" + _STATUS, _I)
-MACHINE = re.compile(r"^(?:please try again in 0 seconds|reference #\S+|incident \S+|contact the administrator|request id)\b|^(?:back to start|continue without signing in|retour à l['’]accueil|zurück zur startseite|volver al inicio|volte ao início|вернитесь на главную|トップへ戻る|home [|] search [|] help|inténtelo más tarde|veuillez réessayer plus tard|tente mais tarde|попробуйте позже|bitte versuchen sie es später noch einmal)[.。]?$")
 
-_DATE = re.compile(r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}(?:[ t]\d{1,2}:\d{2}(?::\d{2})?)?|\d{1,2}:\d{2}(?::\d{2})?")
+# ---- masks
+# Words of the usual dummy Latin, the standard passage first.
+LATIN = set("lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum curabitur pretium tincidunt lacus gravida orci odio nullam varius turpis pellentesque habitant morbi tristique senectus netus malesuada fames ac egestas vestibulum praesent mauris suspendisse aenean donec vivamus maecenas fusce phasellus integer sapien ligula quam justo nibh tortor metus cras proin sodales vehicula ultrices posuere faucibus luctus tellus viverra augue felis bibendum condimentum rhoncus volutpat dapibus interdum feugiat mattis porttitor".split())
+# Those that hardly occur in other texts.
+_SEED = re.compile(r"\b(?:lorem|ipsum|consectetur|adipis\w+|eiusmod|incididunt|aliqua|veniam|nostrud|ullamco|laboris|aliquip|reprehenderit|voluptate|cillum|fugiat|pariatur|excepteur|occaecat|cupidatat|proident|deserunt|mollit|laborum|curabitur|tincidunt|pellentesque|vestibulum|praesent|suspendisse|aenean|donec|vivamus|maecenas|phasellus)\b")
+# Frequent words of living languages that dummy Latin doesn't have.
+_LIVING = set("the is of and to it for this that with as by on are be or like i you der die das und ist nicht ein eine mit zu le la les des une pour dans que un el los las una por para con del o os uma com não é il di che".split())
+_MASHED = re.compile(r"[bcdfghjklmnpqrstvwxz]{4}|^[bcdfghjklmnpqrstvwxz]{3,}$|q(?!u)|[jvxwz][bcdfgjkmnpqtvwxz]|[aeiou]{4}")
+_DATE = re.compile(r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}(?:[ t]\d{1,2}:\d{2}(?::\d{2})?)?|\d{1,2}:\d{2}(?::\d{2})?|\b\d{1,2}\.? (?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{4}\b|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{1,2},? \d{4}\b")
+_ADDRESS = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?\b|\b(?:[0-9a-f]{0,4}:){3,7}[0-9a-f]{1,4}\b|\b\d+ (?:\w+ ){1,3}(?:street|st\.|road|rd\.|avenue|ave\.|lane|drive|boulevard|blvd\.)(?!\w)|\b\w+(?:straße|strasse|weg|platz) \d+\b|\b\d+,? (?:rue|avenue|boulevard|calle|rua) (?:\w+ ?){1,4}")
+_PATH = re.compile(r"(?<![\w</])/(?:[\w.-]+/)+[\w.-]*|(?<![\w</.])[\w-]+(?:/[\w.-]+)+\.[a-z]{1,5}\b|(?<!\w)[a-z]:\\[\w\\.-]+|\$[a-z_]\w*|\b\w+\(\)|\b[a-z]\w*_\w+\b")
 _NUMBER = re.compile(r"\d+")
 _HEX = re.compile(r"\b(?=[a-f\-]*\d)[\da-f]{5,}(?:-[\da-f]+)*\b")
-_TOKENS, _PROSE = re.compile(r"[\p{L}\p{N}]+"), re.compile(r"[^a-z ]|\b(?:the|a|is|and|of|to|in|it|for|der|die|das|und|le|la|et|el|que|de)\b")
-_WORDS, _SENTENCE = re.compile(r"\p{L}+"), re.compile(r"(?<=[.!?…。！？])\s+|(?<=。)(?=[^\s。!?！？)）\]」』】])|(?<=[!?！？])(?=[\p{Han}\p{Hiragana}\p{Katakana}]|(?<=[\p{Han}\p{Hiragana}\p{Katakana}ー].)[\p{L}\p{N}])")
+_BLANKS = re.compile(r"[^\S\n]+")
+_SAME = re.compile(r"(?<!\S)(\S{2,}+)(?:\s++\1(?!\S)){3,}")
+_SCRIPTS = re.compile(r"(?:(?<!\w)cookies and )?(?:java ?script|(?<!\w)(?:(?:client-side )?scripts?|scripting|js|скрипты?)(?![a-zа-я])|スクリプト)(?: and cookies(?!\w))?")
+# What a site calls the things that it shows.
+THINGS = "page site website forum board view app application thread topic post answer reply question comment article document resource file url address item link discussion".split()
+_THING = re.compile(r"\b(?:(?:the|this|that|your) )?(?:(?:requested|full) )?(?:" + "|".join(sorted(THINGS, key=len, reverse=True)) + r")s?\b(?: 0\b)?|\b(?:the|this|that|your) request\b")
+_LETTER, _WORDS = re.compile(r"\p{L}"), re.compile(r"\p{L}+")
+_SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+|(?<=。)(?=[^\s。!?！？)）\]」』】])|(?<=[!?！？])(?=[\p{Han}\p{Hiragana}\p{Katakana}]|(?<=[\p{Han}\p{Hiragana}\p{Katakana}ー].)[\p{L}\p{N}])")
+_CUT = re.compile(r"\s*[(:;|–—（：)]\s*|\s+-\s+|,\s+|\s+(?=(?:while|before|until|so that|in order to|to (?:continue|see|view|use|read|load|get|show|display|run|proceed))\b)")
+_EMPTY = (" undefined", " null", " nan")
 _TIGHT, _PARAGRAPH = re.compile(r" (?=[,.!?:;)])|(?<=\() "), re.compile(r"\n\s*\n")
 _HIDDEN = re.compile(r"[\u00ad\u200b-\u200d\u2060\ufeff]")
 
+# ---- rules; they see masked units in lower case
+# What authors say of themselves, ask or explain: such units are talk, not messages.
+TALK = re.compile(r"[?？]$|[?？]\s|¿|\b(?:i|i'm|i've|i'd|i'll|my|mine|anyone|somebody|someone|why|how (?:do|does|can|could|to|would)|which|although|because|have you|let me|used to|fix|handler|instead|on purpose|mock-up)\b|\b(?:ich|mein\w*|mir|warum|wieso|weil|obwohl|damals)\b|\b(?:je|mon|ma|mes|pourquoi|parce)\b|\bj['’]|\b(?:yo|mi|por qué|porque|aunque)\b|\b(?:eu|meu|minha|por que)\b|(?<!\w)(?:я|мой|моя|мне|почему|потому)(?!\w)|なぜ|どうして|でしょうか|ますか")
+_ON = r"(?:enabled?|enabling|required?|requires|needs?|needed|turn(?:ed)? on|switch(?:ed)? on|allow(?:ed)?|activated?|must be|disabled|blocked|turned off|seems? to be off|is off|are off|does not support|doesn't support|not supported|not running|without|works? only|only works?|not available|cannot be|benötigt|erforderlich|aktivieren|aktiviert|deaktiviert|einschalten|schalten|erlauben|nécessite|nécessaire|requis|activer|activez|autoriser|autorisez|désactivé|requiere|necesita|habilitar?|habilite|activar?|active|desactivado|precisa|necessário|ativar|ative|permitir|permita|desativado|requer|включит[ье]|разреши(?:те|ть)|требуется|необходим\w*|нужн\w*|отключ\w*)"
+SCRIPT = re.compile(rf"<js>.*?(?<!\w){_ON}(?!\w)|(?<!\w){_ON}(?!\w).*?<js>|<js>.{{0,12}}(?:有効|オン|必要|無効|許可)|<js> ein(?:schalten|,|\.|$)|^noscript: ")
+SCRIPT_TALK = re.compile(r"\b(?:you can|they|test browser|switched off|turn .{1,20} off|programming|language)\b")
+_STATUS = r"(?:bad gateway|not found|gateway time-?out|service (?:temporarily )?unavailable|forbidden|unauthorized|bad request|gone|too many requests|internal server error|request time-?out|method not allowed|not acceptable|conflict|moved permanently)"
+STATUS = re.compile(rf"^(?:(?:http(?:/[\d.]+)?|error|fehler|erreur|erro|status(?: code)?|ошибка|エラー)?:?\s*)\(?0?\)?\s*[-:|–—]?\s*\(?{_STATUS}\)?(?:[\s.!(0:\-–—|]*(?:\w+[/ ]?[\d.]*|dns failure)?\)?)?$|^(?:http[/ ]*[\d.]* |(?:error|fehler|erreur|erro|ошибка|エラー)(?: code)? )0\b.{{0,3}}$|^(?:error|fehler|erreur|erro|ошибка|エラー) 0\s*[:.\-–—|]|^{_STATUS}\s+\(?0|^status:?\s+0\b|^\(?0\)?\s*[-:|–—]?\s*{_STATUS}\b(?! (?:is|are|was|errors?|for|when|on|in)\b)|^0\.? that's an error")
+ERROR = re.compile("|".join([
+    # access and sessions
+    r"(?:\baccess|\brequest|^<x>)(?: to <x>)?(?: has been| is| was)? (?:denied|blocked|rejected)\b", r"\bpermission (?:to (?:access|view|see)|denied)\b", r"\b(?:not allowed|not authori[sz]ed|no permission) to (?:see|view|access)\b", r"\b(?:session|token|link) (?:has |have )?(?:expired|timed out)\b",
+    r"\b(?:have been|you are|you were) (?:signed|logged) out\b", r"^(?:sorry, )?you have been blocked\b", r"\baccount (?:has been|is) (?:suspended|disabled|blocked)\b", r"\b(?:verify|confirm|prove)(?: that)? you(?:'re| are) (?:a |not a )?(?:human|robot)\b", r"\bchecking your browser\b", r"\bcomplete the security check\b", r"\bunusual traffic\b",
+    # things that aren't there
+    r"(?:<x>|\bcontent|\bvideo)\b?.{0,40}\b(?:(?:was|were|could) not (?:be )?found|can(?:'t|not| not) be found|(?:does not|doesn't) exist|no longer (?:here|available|exists?)|(?:has|have) been (?:moved|removed|deleted)|could not be (?:processed|loaded|displayed|completed|found))",
+    r"^(?:(?:oops|uh-oh|whoops|hmm|sorry)[!,.]+ )?(?:we )?(?:could not|couldn't|can't|cannot|are unable to) (?:find|load|display|process|complete)\b", r"\bit took too long to (?:fetch|load|respond)\b", r"\bnot available in your (?:region|country|area)\b", r"\bunable to complete (?:your|the) request\b",
+    # failures of servers
+    r"\b(?:something|looks like something) went wrong\b", r"\b(?:unexpected|internal)(?: server)? error\b", r"\ban? (?:\w+ )?error (?:has )?occurred\b", r"\b(?:establishing|could not connect to|can't connect to|connecting to) (?:a|the|<x>)(?: \w+)? database\b", r"\bapplication error\b",
+    r"\bdown for maintenance\b|^(?:<x> |system |server )?(?:is )?(?:currently )?under maintenance\b|\bperforming (?:some )?(?:scheduled )?maintenance\b", r"\b(?:server|service|system) is (?:too )?(?:busy|temporarily (?:down|unavailable|offline)|overloaded|down|(?:currently )?unavailable|over (?:its )?(?:quota|capacity))\b", r"<x> isn't working\b|<x> is (?:temporarily (?:down|unavailable|offline)|over (?:its )?(?:quota|capacity))",
+    r"\btoo many requests\b|\b(?:exceeded|over) (?:your|the|its) (?:rate limit|quota|bandwidth|limit)\b|\bquota exceeded\b", r"\b(?:connection|request|upstream|operation)(?: has)? timed out\b", r"^invalid \S+ (?:specified|supplied|given|id)\b", r"^content-length: 0$", r"\bwe'll be back soon\b",
+    # engines
+    r"^(?:warning|notice|fatal error|parse error|deprecated): .*(?: on line| in <a>|undefined|call to|uncaught|<a>: )", r"^traceback \(most recent call last", r"^(?:template\w*|syntax|type|reference|uncaught \w*)error: ", r"^exception in ", r"\bclient-side exception has occurred\b", r"^uncaught \w+",
+    # other languages
+    r"\bseite (?:wurde )?nicht gefunden\b|\b(?:seite|adresse|datei) konnte nicht gefunden werden\b|\badresse gibt es hier nicht\b|^zugriff verweigert\b|\binterner serverfehler\b|\bsitzung ist abgelaufen\b|\bein fehler aufgetreten\b|^zeitüberschreitung\b|^wartungsarbeiten\b|\bdienst (?:antwortet nicht|ist (?:gerade |derzeit )?(?:überlastet|nicht verfügbar))",
+    r"<x> introuvable\b|(?:<x>|\badresse\b).{0,30}\bn['’]existe (?:pas|plus)\b|^accès refusé\b|\berreur interne\b|\bsession a expiré\b|\berreur est survenue\b|\bservice (?:en maintenance|ne répond pas|indisponible)\b|^délai dépassé\b|^<x> en maintenance\b",
+    r"\bpágina no encontrada\b|\b(?:página|dirección)\b.{0,30}\bno existe\b|^acceso denegado\b|\berror interno\b|\bsesión ha (?:caducado|expirado)\b|\bproducido un error\b|\b(?:estamos|servicio|sitio) en mantenimiento\b|\bservicio (?:no responde|está saturado|no disponible)\b|^tiempo de espera agotado\b",
+    r"\bpágina não encontrada\b|\b(?:página|endereço)\b.{0,30}\bnão existe\b|^acesso negado\b|\berro interno\b|\bsess(?:ão|ao) (?:expirada|expirou)\b|\bocorreu um erro\b|\b(?:estamos|serviço) em manutenção\b|<x> em manutenção\b|\bserviço (?:não responde|está sobrecarregado|indisponível)\b|^tempo esgotado\b",
+    r"страница не (?:найдена|существует)|^доступ запрещ[её]н|внутренняя ошибка|(?:сессия|сеанс) (?:ист[её]к(?:ла)?|заверш[её]н)|произошла ошибка|^технические работы|(?:сервис|сервер) (?:не отвечает|перегружен|недоступен)|^время ожидания истекло",
+    r"ページ(?:が|は)見つかりません|アクセスが拒否され|エラーが発生しま|セッションの有効期限が切れ|^(?:現在)?メンテナンス中|^タイムアウトしました|サーバーが混み合って",
+]))
+PROMPT = re.compile("|".join([
+    r"^\(?(?:please )?(?:describe|enter|insert|write|type|paste|add)(?: (?:your|the|a|an)\b)? [\w ]+ (?:here|in this box|below)\b", r"\b(?:delete|remove|replace|edit) this (?:line|text|paragraph|section|block|template)\b", r"\b(?:click|tap) (?:here )?to (?:edit|add|enter)\b", r"\b(?:edit or (?:remove|delete)|replace) (?:this|it)\b(?: text| with your\b)", r"^(?:todo|tbd|fixme)\b", r"^(?:\w+ )?template(?: 0)?\.?(?: |$)", r"^just another \w+ (?:<x>|blog)", r"^welcome to wordpress\b",
+]))
+UNFILLED = re.compile(r"^[\w .]{2,24}:\s*(?:undefined|null|nan|invalid date)(?:\W|$)|^(?:hi|hello|dear|hallo|hola|bonjour|olá|здравствуйте|привет|best|regards|kind regards|thanks|welcome)\W+(?:\w+\W+)?(?:undefined|null|nan)[.,!]?$|^(?:undefined|null|nan|invalid date)[.,!]?$|\b(?:null null|(?:has|have|by|about|under|in|at|on) (?:undefined|null|nan|invalid date)|(?:undefined|null|nan) (?:answers|votes|comments|replies|items|results))\b(?! (?:until|when|if|and|or|values?)\b)")
+_FILL = r"(?:placeholder|dummy|sample|filler|example)"
+FILLER = re.compile("|".join([
+    rf"^(?:this is |these are )?(?:just |only )?(?:a |an |some )?{_FILL} (?:text|copy|paragraph|content|words|sentences?)\b(?! (?:is|are|was|helps?|used)\b)", r"^(?:your |the )?(?:text|content|title|headline|description|copy)(?: goes| comes)? here\b", r"^(?:content |text )?coming soon\b", r"\b(?:words|text|something) to fill (?:the|this) (?:box|space|page|field|gap)\b", r"\bonly stands here until\b",
+    r"^platzhalter(?:text)?\b|^(?:dies ist |das ist |hier steht )?(?:ein )?(?:\w*blindtext|mustertext|platzhaltertext)\b|^hier (?:steht|kommt|könnte)\b.*\btext\b", r"^(?:ceci est |voici )?(?:un )?(?:faux texte|texte (?:de remplissage|à remplacer|factice|provisoire|d['’]exemple))\b",
+    r"^(?:esto es |este es )?(?:un )?texto de (?:prueba|relleno|ejemplo)(?!\w| ayuda)|^aquí va (?:el|tu|su) texto\b", r"^(?:este é |isto é )?(?:um )?texto (?:provisório|de (?:teste|preenchimento|exemplo))\b|^insira (?:aqui )?(?:o )?(?:seu )?texto\b", r"^(?:это )?текст-(?:заполнитель|рыба)|^здесь будет (?:ваш )?текст", r"^(?:ここは|これは)?(?:ダミー|サンプル)(?:テキスト|の?文章?)|^ここに(?:テキスト|本文|文章|内容)",
+]))
+FIELD, LATIN_RUN, MASHED_RUN, REPEATED, PAGE = "<f>", "<latin>", "<keys>", "<repeated>", "<error page>"
+_MASKED = {FIELD, LATIN_RUN, MASHED_RUN, REPEATED, PAGE}
+
 
 def without_code(text: str) -> str:
     """text without code and block quotes, entities and widths resolved."""
@@ -112,108 +130,166 @@ def shown_only(x: str) -> str:
     return BREAK.sub("\n", QUOTE.sub(" § ", LINK.sub(" § ", MATH.sub(" § ", x))))
 
 
-def mask(unit: str) -> str:
-    """The key of a unit: template fields, dates, addresses and numbers masked, case and spacing unified."""
-    x = PLACEHOLDER.sub(" <f> ", unit)
-    x = _NUMBER.sub("0", _DATE.sub("0:0", _HEX.sub("0", x.casefold())))
-    return _TIGHT.sub("", " ".join(x.split()))
+def masked(x: str) -> str:
+    """Template fields, repeated words, addresses, dates, numbers and the names of scripts and things masked, case unified; line breaks stay."""
+    if _MAY_HOLD.search(x):
+        x = PLACEHOLDER.sub(" <f> ", x)
+    x = _SAME.sub(" <repeated> ", _BLANKS.sub(" ", x))
+    x = _NUMBER.sub("0", _HEX.sub("0", _DATE.sub("0:0", _PATH.sub(" <a> ", _ADDRESS.sub(" <a> ", x.casefold())))))
+    return _THING.sub("<x>", _SCRIPTS.sub("<js>", x))
 
 
-def filler(key: str) -> bool:
-    if FILLER.search(key):
-        return True
-    words = _WORDS.findall(key)
-    latin = 0 if LATIN.isdisjoint(words) else sum(w in LATIN for w in words)
-    if latin and (latin >= 4 or latin == len(words)) and latin >= 0.6 * len(words):
-        return True
-    if len(set(words)) <= 2 and len(tokens := _TOKENS.findall(key)) >= 6 and len(set(tokens)) <= 2:
-        return True
-    if len(words) >= 5 and key.isascii() and not _PROSE.search(key):  # keys hit at random
-        return sum(bool(_MASHED.search(w)) for w in words) >= max(3, 0.3 * len(words))
-    return False
-
-
-@lru_cache(maxsize=1 << 15)
-def verdict(key: str) -> int:
-    """RESIDUE, DOUBTFUL or 0 of a masked unit; a function of the key alone."""
-    if not key:
-        return 0
-    if "<f>" in key and not ABOUT.search(key):
-        return RESIDUE
-    if PROMPT.search(key) or any(w in key for w in _UNFILLED_HINTS) and UNFILLED.search(key) or filler(key):
-        return RESIDUE
-    if SCRIPT.search(key) and not SCRIPT_TALK.search(key):
-        return RESIDUE
-    if len(key) <= 160 and ERROR.search(key):
-        return RESIDUE
-    if len(key) <= 100 and (MACHINE.search(key) or SCRIPT_HINT.search(key) and not SCRIPT_TALK.search(key)):
-        return DOUBTFUL
-    return 0
+def tight(unit: str) -> str:
+    """Spacing unified, list marks before and full stops after it taken off."""
+    return _TIGHT.sub("", " ".join(unit.split())).lstrip("-*#• ").rstrip(".,!…。、！ ")
+
+
+def mask(unit: str) -> str:
+    """The key of a unit: masked, spacing unified."""
+    return tight(masked(unit))
 
 
 def units(x: str) -> Iterator[str]:
-    """Lines, paragraphs of several lines, and sentences. Of what is longer than any message, and no repetition of a few words, the
-    sentences, each line's own and those of the joined paragraph, say enough."""
-    for paragraph in _PARAGRAPH.split(shown_only(x)):
+    """Paragraphs, lines and sentences (of lines and of paragraphs) of a masked text, each in full."""
+    for paragraph in _PARAGRAPH.split(x):
         lines = paragraph.split("\n")
-        whole = " ".join(paragraph.split())
-        parts = _SENTENCE.split(whole)
-        if len(parts) == 1:
-            yield from lines
-            if len(lines) > 1:
-                yield whole
-            continue
-        for line in lines if len(lines) > 1 else [x for x in lines if len(x) <= LONG_UNIT]:
-            if len(line) <= LONG_UNIT:
+        yield paragraph
+        yield from _SENTENCE.split(" ".join(paragraph.split()))
+        if len(lines) > 1:
+            for line in lines:
                 yield line
-            else:  # its first sentence may be joined to an unterminated line before it
-                yield from (u for u in _SENTENCE.split(line) if u not in parts)
-        if len(whole) > LONG_UNIT and len(set(whole.casefold().split())) <= 4 or len(lines) > 1 and len(whole) <= LONG_UNIT:
-            yield whole
-        yield from parts
+                yield from _SENTENCE.split(line)
 
 
-def suspects(text: str) -> dict[str, int]:
-    """The keys of a text that have a verdict."""
-    out: dict[str, int] = {}
+def run_of(key: str, seeds: bool) -> str | None:
+    """What a unit that is no message is a run of: dummy Latin, keys hit at random, or one or two words again and again."""
+    words = key.split()
+    if len(words) >= 6 and len(set(words)) <= 2 and key.count("0") < len(words):
+        return REPEATED
+    if seeds and _SEED.search(key):
+        words = _WORDS.findall(key)
+        known = sum(w in LATIN for w in words)
+        return LATIN_RUN if known >= 0.6 * len(words) or len(words) >= 3 and _LIVING.isdisjoint(words) else None
+    if len(words) >= 5 and key.isascii() and (bare := key.rstrip(".")).replace(" ", "").isalpha() and _LIVING.isdisjoint(words):
+        words = bare.split()
+        return MASHED_RUN if sum(bool(_MASHED.search(w)) for w in words) >= max(3, 0.3 * len(words)) else None
+    return None
+
+
+def bare(key: str) -> bool:
+    """Whether a unit could be of invented dummy words: three or more, and no frequent word of a living language."""
+    return key.isascii() and key.count(" ") >= 2 and "<" not in key and "0" not in key and _LIVING.isdisjoint(words := _WORDS.findall(key)) and len(words) >= 3
+
+
+def keys(text: str) -> dict[str, list[str] | None]:
+    """The keys of a text: its masked units, the clauses of those that aren't talk, and what they are runs of. With those that are
+    dummy Latin, or could be, come their words."""
     x = without_code(text)
-    if RAW_ERROR.search(x):
-        out["<error page>"] = RESIDUE
+    out: dict[str, list[str] | None] = {PAGE: None} if RAW_ERROR.search(x) else {}
+    x = masked(shown_only(x))
+    seeds = _SEED.search(x) is not None
     for u in units(x):
-        key = mask(u)
-        if key not in out and (v := verdict(key)):
-            out[key] = v
+        key = tight(u)
+        if key in out or not _LETTER.search(key):
+            continue
+        out[key] = None
+        if FIELD in key and not ABOUT.search(key):
+            out[FIELD] = None
+        if REPEATED in key:
+            out[REPEATED] = None
+        if run := run_of(key, seeds):
+            out.setdefault(run, None)
+        if run == LATIN_RUN or not run and bare(key):
+            words = sorted(set(_WORDS.findall(key)))
+            if run:
+                out[run] = words if out[run] is None else sorted({*out[run], *words})
+            else:
+                out[key] = words
+        if len(parts := _CUT.split(key)) > 1:
+            if not TALK.search(key):
+                for p in parts:
+                    if len(p) >= 4:
+                        out.setdefault(p, None)
+            elif parts[0].endswith(_EMPTY):  # a salutation
+                out.setdefault(parts[0], None)
     return out
 
 
+def classify(key: str) -> str | None:
+    """field, filler, script or error for a key that says so; a function of the key alone. Talk of such things is none."""
+    if key in _MASKED:
+        return {FIELD: "field", PAGE: "error"}.get(key, "filler")
+    if FIELD in key:
+        return None if ABOUT.search(key) else "field"
+    if TALK.search(key):
+        return None
+    if UNFILLED.search(key) or PROMPT.search(key):
+        return "field"
+    if FILLER.search(key):
+        return "filler"
+    if SCRIPT.search(key) and not SCRIPT_TALK.search(key):
+        return "script"
+    return "error" if STATUS.search(key) or ERROR.search(key) else None
+
+
 def messages(docs: DataFrame) -> DataFrame:
-    """doc_id, source, key hash, verdict of each suspect unit of each document, once a document."""
+    """doc_id, source, key, h (its hash) and words (as keys() says) of each key of each document, once a row of docs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sources, keys, verdicts = [], [], [], []
-            for i, s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                for k, v in (suspects(t.as_py()) if t.is_valid else {}).items():
-                    ids.append(i)
-                    sources.append(s)
-                    keys.append(int.from_bytes(hashlib.blake2b(k.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True))
-                    verdicts.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(sources, pa.string()), pa.array(keys, pa.int64()), pa.array(verdicts, pa.int32())], names=["doc_id", "source", "key", "verdict"])
+            rows, out, words = [], [], []
+            for i, t in enumerate(b.column(2)):
+                mine = keys(t.as_py())
+                rows += [i] * len(mine)
+                out += mine
+                words += mine.values()
+            at = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([k.encode("utf-8", "replace") for k in out], pa.binary()).cast(pa.string()), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "source", "key", "words"])
+
+    d = docs.select("doc_id", F.coalesce(source_key(F.col("source")), F.lit("")).alias("source"), "text").where("length(trim(text)) > 0")
+    return d.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, source string, key string, words array<string>").withColumn("h", F.xxhash64("key"))
 
-    d = docs.select("doc_id", source_key(F.col("source")).alias("source"), "text").where("length(trim(text)) > 0")
-    return d.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, source string, key bigint, verdict int")
+
+def dummy(m: DataFrame, min_docs: int, min_sources: int) -> DataFrame:
+    """doc_id, source of units that consist of dummy words only. Known dummy Latin teaches the words beside it, if they recur."""
+    latin = m["key"] == LATIN_RUN
+    w = m.where(latin).select("doc_id", "source", F.explode("words").alias("word"))
+    n_docs = w.select("word", "doc_id").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    n_sources = w.select("word", "source").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("s")).where(F.col("s") >= min_sources)
+    learned = small(n_docs.join(n_sources, "word").select("word"), "dummy-words")
+    units = m.where(~latin & F.col("words").isNotNull()).select("doc_id", "source", "h", F.size("words").alias("all"), F.explode("words").alias("word"))
+    hit = units.join(learned, "word").groupBy("doc_id", "source", "h").agg(F.count(F.lit(1)).alias("n"), F.max("all").alias("all"))
+    return hit.where(F.col("n") >= F.col("all")).select("doc_id", "source").distinct()
+
+
+def recurring(docs: DataFrame, min_docs: int = 3, min_sources: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(h, kind, docs, sources of each recurring key that the rules classify; doc_id, source, h of the documents' own such keys).
+
+    Keys are counted by hash alone; only those that occur often enough are read as text and classified, and only of those so
+    classified the different documents and sources are counted, exactly, with partial aggregation before each shuffle.
+    """
+    m = stage(messages(docs), "messages")
+    unknown = stage(dummy(m, min_docs, min_sources).select("doc_id", "source", F.lit(LATIN_RUN).alias("key"), F.xxhash64(F.lit(LATIN_RUN)).alias("h")), "dummy")
+    m = m.select("doc_id", "source", "key", "h").unionByName(unknown)
+    often = small(m.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h"), "often")
+    texts = m.select("h", "key").join(often, "h", "left_semi").groupBy("h").agg(F.min("key").alias("key"))
+
+    @F.pandas_udf("string")
+    def kind(key: pd.Series) -> pd.Series:
+        return key.map(classify)
+
+    told = small(texts.select("h", kind("key").alias("kind")).where("kind is not null"), "told")
+    mine = stage(m.select("doc_id", "source", "h").join(told, "h"), "classified")
+    n_docs = mine.select("h", "doc_id").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
+    n_sources = mine.select("h", "source").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("sources")).where(F.col("sources") >= min_sources)
+    wide = small(told.join(n_docs, "h").join(n_sources, "h"), "wide")
+    return wide, mine
 
 
 def find(docs: DataFrame, min_docs: int = 3, min_sources: int = 2) -> DataFrame:
     """doc_id of each document with residue, once.
 
     Defined cases: null, empty and blank texts are no case; a NULL source counts as a source of its own; repeated rows of a
-    doc_id count once; an empty table gives none. Every text is read whole. Counts are exact: the different
-    (key, doc_id) and (key, source) are made first, then counted by key, each with partial aggregation before the shuffle.
+    doc_id count once; an empty table gives none. Every text is read whole, and no unit is left out for its length.
     """
-    m = stage(messages(docs), "messages")
-    doubtful = m.where(F.col("verdict") == DOUBTFUL).select("doc_id", "source", "key")
-    documents = doubtful.select("key", "doc_id").distinct().groupBy("key").agg(F.count("doc_id").alias("docs")).where(F.col("docs") >= min_docs)
-    sources = doubtful.select("key", F.coalesce("source", F.lit("")).alias("source")).distinct().groupBy("key").agg(F.count("source").alias("sources")).where(F.col("sources") >= min_sources)
-    wide = documents.join(sources, "key").select("key")
-    sure = m.where(F.col("verdict") == RESIDUE).select("doc_id")
-    return sure.unionByName(doubtful.join(wide, "key", "left_semi").select("doc_id")).distinct()
+    wide, mine = recurring(docs, min_docs, min_sources)
+    return mine.join(wide.select("h"), "h", "left_semi").select("doc_id").distinct()

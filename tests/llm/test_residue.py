@@ -1,6 +1,7 @@
 import pytest
 
 from pointlake.llm import residue as R
+from .heldout import ORDINARY, RESIDUE
 from pointlake.llm.sources import source_key
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ NO_CASES = [
 
 
 def hit(text):
-    return any(v == R.RESIDUE for v in R.suspects(text).values())
+    return any(R.classify(k) for k in R.keys(text))
 
 
 @pytest.mark.parametrize("text", CASES)
@@ -34,17 +35,49 @@ def test_no_cases(text):
     assert not hit(text)
 
 
+def test_wordings_the_rules_were_not_made_from():
+    assert sum(map(hit, RESIDUE)) >= 0.8 * len(RESIDUE)
+    assert sum(map(hit, ORDINARY)) <= 0.1 * len(ORDINARY)
+
+
 def test_mask_is_one_key_for_copies():
     assert R.mask("Incident 8EE940D261AE at  2025-01-03 10:11") == R.mask("incident 1AB23CD9 at 2024-12-31 09:00")
-    assert R.mask("Dear {{name}} ,") == R.mask("Dear *|TOPIC|*,") == "dear <f>,"
+    assert R.mask("Dear {{name}} ,") == R.mask("Dear *|TOPIC|*,") == "dear <f>"
+    assert R.mask("Contact admin@site-a.org now") == R.mask("contact root@example.com  now")
+    assert R.mask("From 10.0.0.1, 12 Long Oak Street") == R.mask("From 192.168.7.12, 7 Elm Street")
+    assert R.mask("Turn on JavaScript") == R.mask("turn on scripts") and R.mask("in /srv/a/x.tpl on line 3") == R.mask("in /var/www/y.php on line 77")
+
+
+def copies(text, n=3):
+    return [(i + 1, f"s{i % 2}", text) for i in range(n)]
+
+
+def found(spark, rows, **how):
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string").selectExpr("*", "'x' as key", "0 as h", "'y' as words")
+    return sorted(r["doc_id"] for r in R.find(docs, **how).collect())
+
+
+def test_only_what_recurs_is_found(spark):
+    rows = copies("A fine text.\n\nHi {{name}}!\n\nMore of it.") + [(4, " S1", "Welcome, *|TOPIC|*"), (5, "s9", None), (6, None, ""), (7, "s1", "Another fine text."), (4, " S1", "Welcome, *|TOPIC|*")]
+    assert found(spark, rows) == [1, 2, 3, 4]  # fields are one key, whatever their names and styles
+    assert found(spark, rows, min_docs=5) == [] and found(spark, rows, min_sources=3) == []
+    assert found(spark, copies("Access denied.", 2)) == [] and found(spark, copies("Access denied.")[:2] + [(3, "s0", "It works. ACCESS  DENIED.")]) == [1, 2, 3]
+    assert found(spark, [(i, "s0", "Access denied.") for i in range(5)]) == []  # one source
+    assert found(spark, [(i, None if i else "a", "Access denied.") for i in range(3)]) == [0, 1, 2]  # NULL is a source of its own
+    assert found(spark, [(1, f"s{i}", "Access denied.") for i in range(5)]) == []  # one document
+    assert found(spark, copies("It took me some time.", 50)) == [] and found(spark, copies("x")[:0]) == []
+
+
+def test_units_of_any_length(spark):
+    contact = "(contact " + "the administrator of the site and quote the number " * 40 + ")"
+    rows = [(i, f"s{i % 2}", t) for i, t in enumerate([f"Access denied {contact}", "Access denied.", "Access denied", "word " * 100_000 + "\n\nAccess denied.", "Ordinary " + "words of a long line " * 5000 + ". Access denied. " + "And more words " * 5000])]
+    assert found(spark, rows) == [0, 1, 2, 3, 4]
 
 
-def test_documents(spark):
-    rows = [(1, "A", "Reference #118a6a77-4ede"), (2, " a", "reference #99aa8877"), (3, "B", "Reference #5511ee22-aa"), (4, None, "A fine text."), (5, "A", None), (6, "A", ""), (7, "B", "Hi {{name}}!"), (7, "B", "Hi {{name}}!"), (8, "C", "word " * 100_000 + "\n\nText goes here.")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string").selectExpr("*", "'x' as key", "0 as verdict")
-    assert sorted(r["doc_id"] for r in R.find(docs).collect()) == [1, 2, 3, 7, 8]  # the reference lines recur across sources
-    assert sorted(r["doc_id"] for r in R.find(docs.where("doc_id <> 3")).collect()) == [7, 8]
-    assert R.find(docs.limit(0)).count() == 0
+def test_dummy_words_are_learned(spark):
+    seeded = [(i, f"s{i % 3}", f"Lorem borkum ipsum {a} trelvan dolor.") for i, a in enumerate(["quintar", "plonis", "quintar", "plonis", "plonis", "quintar"])]
+    rows = [*seeded, (10, "s0", "A text.\n\nBorkum plonis trelvan quintar."), (11, "s1", "Borkum plonis house quintar.")]
+    assert found(spark, rows) == [0, 1, 2, 3, 4, 5, 10]
 
 
 def test_sources(spark):
@@ -64,6 +97,8 @@ def test_japanese_sentences_without_spaces(mark):
 
 def test_keys_at_the_threshold_are_counted_exactly(spark):
     word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:05d}")
-    rows = [(3 * i + j, f"s{(i + j // 2 * 7919) % 9973}", f"Request id {word(i)}") for i in range(6000) for j in range(3)]
+    rows = [(3 * i + j, f"s{(i + j // 2 * 7919) % 9973}", f"Invalid {word(i)} specified") for i in range(6000) for j in range(3)]
     found = R.find(spark.createDataFrame(rows, "doc_id bigint, source string, text string"))
     assert found.count() == len(rows)
+    wide, _ = R.recurring(spark.createDataFrame(rows[:2] + rows[3:], "doc_id bigint, source string, text string"))
+    assert wide.count() == 5999 and {(r["docs"], r["sources"], r["kind"]) for r in wide.collect()} == {(3, 2, "error")}
