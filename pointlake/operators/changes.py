@@ -14,18 +14,26 @@ from __future__ import annotations
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointlake.functions.vectors import nfc
-from pointlake.session import small
+from pointlake.session import has_map, small, stage
 
 STORE_KEY = ("db_id", "collection", "id")
 
 
 def compose(changes: DataFrame, key: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
-    """Reduce patches (key..., order, op, value) to one a key, or one a (key, by)."""
-    patch = F.max_by(F.struct("op", "value", "order"), F.struct("order", "op"))
+    """Reduce patches (key..., order, op, value) to one a key, or one a (key, by). Of different values of an equal order and op the
+    one of the greater hash stays, whatever the order of arrival."""
+    kind = changes.schema["value"].dataType
+    if has_map(kind):
+        tie = F.xxhash64(F.to_json(F.struct("value")))
+    else:
+        tie = F.col("value") if isinstance(kind, (T.NumericType, T.BooleanType, T.StringType)) else F.xxhash64("value")
+    patch = F.max_by(F.struct("op", "value", "order"), F.struct(F.col("order"), F.col("op"), tie.alias("tie")))
     return changes.groupBy(*key, *by).agg(patch.alias("patch")).select(*key, *by, "patch.op", "patch.value", "patch.order")
 
 
@@ -34,7 +42,7 @@ def apply_changes(base: DataFrame | None, changes: DataFrame, key: tuple[str, ..
 
     changes: key..., order (any orderable column), op ('upsert' or 'delete'), value (any type). base: the same columns, its
     orders below all those of changes. Defined cases: a repeated change counts once, of different changes with an equal order the
-    upsert wins; arrival order is irrelevant; a row with NULL in the key, the order or the op isn't a change and is left out;
+    upsert wins, of different upserts the value of the greater hash; arrival order is irrelevant; a row with NULL in the key, the order or the op isn't a change and is left out;
     deletes of unknown keys do nothing; a NULL value is a value. Empty inputs give no rows.
     """
     def proper(df: DataFrame) -> DataFrame:
@@ -126,28 +134,86 @@ def row_vectors() -> Column:
     return F.transform(F.col("ids"), lambda _, i: F.slice(F.col("vectors"), i * dim + 1, dim))
 
 
+def located(segments: DataFrame) -> DataFrame:
+    """segments with the column place, which tells copies of one directory apart: a hash of the row's place in its file."""
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    if len(segments._jdf.inputFiles()):
+        try:
+            return segments.withColumn("place", place)
+        except AnalysisException:  # computed from files: as for rows of no file
+            pass
+    return stage(segments, "segments").withColumn("place", place)
+
+
+def row_places() -> Column:
+    """An array parallel to ids: where the row is."""
+    return F.transform(F.col("ids"), lambda _, i: F.struct(F.col("segment_id").alias("segment_id"), F.col("place").alias("place"), i.alias("row")))
+
+
+def rows_at(segments: DataFrame, keep: DataFrame) -> DataFrame:
+    """db_id, collection, segment_id, id (NFC), vector, payload of the rows that keep (db_id, collection, segment_id, place, row)
+    names; segments as located().
+
+    Only numbers of rows move: a segment's come to it as one list, broadcast while they are few, and vectors and payloads stay in the
+    task that reads them; beyond that the segments are shuffled once.
+    """
+    key = ["db_id", "collection", "segment_id", "place"]
+    lists = small(keep.groupBy(*key).agg(F.sort_array(F.collect_list("row")).alias("rows")), "keep")
+    s = complete(segments).select(*key, "ids", "vectors", "payloads", "row_count").join(lists, key).withColumn("dim", F.floor(F.size("vectors") / F.col("row_count")).cast("int"))
+    rows = F.transform("rows", lambda i: F.struct(F.element_at("ids", i + 1).alias("id"), F.slice(F.col("vectors"), i * F.col("dim") + 1, F.col("dim")).alias("vector"), F.element_at("payloads", i + 1).alias("payload")))
+    return s.select(*key[:3], F.explode(rows).alias("r")).select(*key[:3], nfc(F.col("r.id")).alias("id"), "r.vector", "r.payload")
+
+
 def live_points(wal: DataFrame, segments: DataFrame, manifests: DataFrame) -> DataFrame:
-    """db_id, collection, id, vector, payload of all live points."""
-    zipped = F.arrays_zip(row_vectors().alias("vector"), F.col("payloads").alias("payload"))
-    pairs = F.transform(zipped, lambda x: F.struct(x["vector"].alias("vector"), x["payload"].alias("payload")))
-    return live_rows(wal, segments, manifests, F.struct("vector", "payload"), pairs).select(*STORE_KEY, "value.vector", "value.payload")
+    """db_id, collection, id, vector, payload of all live points.
+
+    Changes are composed with the places of their values; vectors and payloads are fetched for what survives.
+    """
+    published, s = small(published_segments(manifests), "published"), located(segments)
+    log = log_changes(wal, published, F.lit(None).cast("struct<segment_id:bigint,place:bigint,row:int>"))
+    state = stage(apply_changes(segment_changes(s, published, row_places()), log, STORE_KEY, F.floor(F.col("order.a") / F.lit(1024))), "live")
+    sealed = rows_at(s, state.where("order.phase = 0").select("db_id", "collection", "value.segment_id", "value.place", "value.row"))
+    at = state.where("order.phase = 1").select(*STORE_KEY, F.col("order.a").alias("seq"), F.col("order.b").alias("ord"))
+    w = wal.where("op = 'upsert' and seq is not null and id is not null").select("db_id", "collection", nfc(F.col("id")).alias("id"), F.col("seq").cast("long").alias("seq"), F.coalesce("ord", F.lit(0)).cast("long").alias("ord"), F.struct("vector", "payload").alias("value"))
+    by = [*STORE_KEY, "seq", "ord"]
+    logged = w.join(at, by).groupBy(*by).agg(F.max_by("value", F.xxhash64(F.to_json(F.struct("value")))).alias("value"))
+    return sealed.select(*STORE_KEY, "vector", "payload").unionByName(logged.select(*STORE_KEY, "value.vector", "value.payload"))
+
+
+def hits(events: DataFrame, key: tuple[str, ...], place: Column, span: int = 1024) -> DataFrame:
+    """key..., last (op), hits: deletes that came directly after an upsert of the same key. events: key..., order, op; ops other than
+    'upsert' and 'delete' count as what stands between. place: a bigint that grows with order.
+
+    The patch of a stretch of changes is (its first op, its last op, hits within); patches compose associatively, here by ranges of
+    place, span places a range and span ranges a greater one, so that no task holds all changes of a hot key.
+    """
+    patch = F.struct(F.col("order"), F.col("op").alias("first"), F.col("op").alias("last"), F.lit(0).cast("long").alias("hits"))
+    p = events.select(*key, place.alias("_place"), patch.alias("patch"))
+
+    def both(a: Column, b: Column) -> Column:
+        between = ((a["last"] == "upsert") & (b["first"] == "delete")).cast("long")
+        return F.when(a.isNull(), b).otherwise(F.struct(a["order"].alias("order"), a["first"].alias("first"), b["last"].alias("last"), (a["hits"] + b["hits"] + between).alias("hits")))
+
+    kind = p.schema["patch"].dataType.simpleString()
+    for level in (1, 2, 3):
+        by = [F.expr(f"_place div {span}").alias("_place")] if level < 3 else []
+        p = p.groupBy(*key, *by).agg(F.aggregate(F.sort_array(F.collect_list("patch")), F.lit(None).cast(kind), both).alias("patch"))
+    return p.select(*key, "patch.last", "patch.hits")
 
 
 def count_with_tombstones(wal: DataFrame, segments: DataFrame, manifests: DataFrame) -> DataFrame:
     """db_id, collection, n: live points plus the replayed deletes that hit a live point.
 
-    Whether a delete hits depends on the change before it of the same id, hence a window by id; only keys and orders move.
-    Repeated log rows count once. A hot id is bounded by the log of one id.
+    Whether a delete hits depends on the change before it of the same id: see hits(). Only keys and orders move. Repeated log rows
+    count once. A delete by a segment's tombstone isn't a replayed one.
     """
     published = small(published_segments(manifests), "published")
     nothing = F.lit(None).cast("boolean")
     log = log_changes(wal, published, nothing).groupBy(*STORE_KEY, "order").agg(F.max("op").alias("op"))
-    ev = segment_changes(segments, published, F.transform("ids", lambda _: nothing)).select(*STORE_KEY, "order", "op").unionByName(log)
-    w = Window.partitionBy(*STORE_KEY).orderBy("order")
-    ev = ev.withColumn("before", F.lag("op").over(w)).withColumn("last", F.lead("op").over(w).isNull())
-    live = F.col("last") & (F.col("op") == "upsert")
-    hit = (F.col("order.phase") == 1) & (F.col("op") == "delete") & (F.col("before") == "upsert")
-    return ev.groupBy("db_id", "collection").agg((F.count_if(live) + F.count_if(hit)).alias("n")).where("n > 0")
+    sealed = segment_changes(segments, published, F.transform("ids", lambda _: nothing)).select(*STORE_KEY, "order", F.when(F.col("op") == "delete", "gone").otherwise(F.col("op")).alias("op"))
+    place = F.when(F.col("order.phase") == 0, F.col("order.a") - F.lit(1 << 62)).otherwise(F.col("order.a"))
+    h = hits(sealed.unionByName(log), STORE_KEY, place)
+    return h.groupBy("db_id", "collection").agg((F.count_if(F.col("last") == "upsert") + F.sum("hits")).alias("n")).where("n > 0")
 
 
 def verify_segments(segments: DataFrame) -> DataFrame:

@@ -32,25 +32,22 @@ def topk(points: DataFrame, query: list[float] | Column, k: int, metric: Metric
     return scored.orderBy(F.col("distance").asc_nulls_last(), "id").limit(k)
 
 
-def batch_topk(points: DataFrame, queries: DataFrame, k: int, metric: Metric | str, max_queries: int = 100_000) -> DataFrame:
+#: Vectors of one block of queries, which is broadcast: so many bytes at most.
+BLOCK_BYTES = 32 << 20
+
+
+def batch_topk(points: DataFrame, queries: DataFrame, k: int, metric: Metric | str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each row (qid, vector) of queries its k nearest points: qid, id, distance, rank.
 
-    The queries are a stated set. Up to max_queries rows (checked by a count) they are broadcast and each partition
-    scores its rows; beyond that they are cut into blocks that meet the points one block at a time.
+    The queries are a stated set; they meet all points in blocks of at most about block_bytes of vectors, broadcast. A partition keeps
+    the k best rows of each query, so that only these are shuffled. Points whose vector is NULL or of another length than the query's
+    are left out, as are queries without a vector.
     """
     if k < 1:
         raise InvalidArgument(f"k must be at least 1, got {k}")
-    q = queries.select("qid", F.col("vector").alias("qvector"))
-    n = q.count()
-    parts = max(1, -(-n // max_queries))
-    blocks = [q.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i) for i in range(parts)]
-    w = Window.partitionBy("qid").orderBy(F.col("distance").asc_nulls_last(), "id")
-    out = None
-    for block in blocks:
-        hits = points.select("id", "vector").join(F.broadcast(block)).select("qid", "id", V.distance(F.col("vector"), F.col("qvector"), metric).alias("distance"))
-        best = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    metric = Metric(metric).value
+    q = queries.where("vector is not null").select(F.lit("").alias("collection"), F.lit(metric).alias("metric"), "qid", F.size("vector").alias("dim"), F.col("vector").cast("array<float>").alias("vector"))
+    return _nearest(points.select(F.lit("").alias("collection"), "id", "vector"), q, k, block_bytes).drop("collection")
 
 
 def merge_topk(parts: list[DataFrame], k: int) -> DataFrame:
@@ -182,44 +179,55 @@ class Nearest:
                     self.worst[i] = self.best[i][-1][0]
 
 
-def collection_knn(points: DataFrame, configs: DataFrame, k: int, asks: Column, block_rows: int = 100_000) -> DataFrame:
+def collection_knn(points: DataFrame, configs: DataFrame, k: int, asks: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Exact neighbours within the collection of each point for which asks holds: collection, qid, id, distance, rank.
 
-    The asking points are a stated set; they meet their collection's points in blocks of at most about block_rows, broadcast. A
+    The asking points are a stated set; they meet their collection's points in blocks of at most about block_bytes of vectors, broadcast. A
     partition keeps the k best rows of each query, so that only these are shuffled. Distances are those of the Column builders.
     """
     if k < 1:
         raise InvalidArgument(f"k must be at least 1, got {k}")
     u = stage(usable_points(points, configs), "usable")
-    q = u.where(asks).select("collection", "metric", "id", "vector")
-    parts = max(1, -(-q.count() // block_rows))
+    q = u.where(asks).select("collection", "metric", F.col("id").alias("qid"), F.size("vector").alias("dim"), "vector")
+    return _nearest(u.select("collection", "id", "vector"), q, k, block_bytes)
+
+
+def _nearest(points: DataFrame, queries: DataFrame, k: int, block_bytes: int) -> DataFrame:
+    """points: collection, id, vector; queries: collection, metric, qid, dim, vector. Only a block of queries is on the driver at a time."""
+    spark, kind = points.sparkSession, queries.schema["qid"].dataType.simpleString()
+    pid = points.schema["id"].dataType.simpleString()
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[pid]
+    total = queries.agg(F.sum(F.col("dim") * 4 + 64).alias("bytes")).first()["bytes"] or 0
+    parts = max(1, -(-total // block_bytes))
     w = Window.partitionBy("collection", "qid").orderBy(F.col("distance").asc_nulls_last(), "id")
     out = None
     for i in range(parts):
-        asking: dict[tuple[str, str], tuple[list[str], np.ndarray]] = {}
-        for r in q.where(F.pmod(F.xxhash64("collection", "id"), F.lit(parts)) == i).collect():
-            asking.setdefault((r["collection"], r["metric"]), ([], []))[0].append(r["id"])
-            asking[r["collection"], r["metric"]][1].append(r["vector"])
-        shared = u.sparkSession.sparkContext.broadcast({c: (ids, np.array(v, dtype=np.float32)) for c, (ids, v) in asking.items()})
+        block = queries.where(F.pmod(F.xxhash64("collection", "qid"), F.lit(parts)) == i).toArrow().combine_chunks()
+        asking = {}
+        for g in block.group_by(["collection", "metric", "dim"]).aggregate([]).to_pylist():
+            c, m, d = g["collection"], g["metric"], g["dim"]
+            mine = block.filter(pc.and_(pc.and_(pc.equal(block.column("collection"), c), pc.equal(block.column("metric"), m)), pc.equal(block.column("dim"), d)))
+            asking[c, m, d] = (mine.column("qid").combine_chunks(), mine.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
+        shared = spark.sparkContext.broadcast(asking)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found: dict[tuple[str, str], Nearest] = {}
+            found: dict[tuple[str, str, int], Nearest] = {}
             for b in batches:
                 names = b.column(0).to_numpy(zero_copy_only=False)
                 for key, (qids, qs) in shared.value.items():
-                    if not (names == key[0]).any():
-                        continue
-                    part = b.filter(pa.array(names == key[0]))
-                    rows = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, qs.shape[1])
-                    found.setdefault(key, Nearest(len(qids), k)).add(pairwise(rows, qs, key[1]), part.column(1).to_pylist())
+                    part = b.filter(pc.and_(pa.array(names == key[0]), pc.fill_null(pc.equal(pc.list_value_length(b.column(2)), key[2]), False)))
+                    if part.num_rows:
+                        rows = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, key[2])
+                        found.setdefault(key, Nearest(len(qids), k)).add(pairwise(rows, qs, key[1]), part.column(1).to_pylist())
             for key, n in found.items():
-                hits = [(qid, pid, d) for qid, best in zip(shared.value[key][0], n.best) for d, pid in best]
-                if hits:
-                    d = np.array([h[2] for h in hits])
-                    d = np.where(d == 1e301, np.nan, np.where(np.abs(d) == 1e300, np.sign(d) * np.inf, d)).astype(np.float32)
-                    yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(hits)), pa.array([h[0] for h in hits]), pa.array([h[1] for h in hits]), pa.array(d)], names=["collection", "qid", "id", "distance"])
+                hits = [(j, x, d) for j, best in enumerate(n.best) for d, x in best]
+                d = np.array([h[2] for h in hits])
+                d = np.select([d == 1e301, d == 1e300, d == -1e300], [np.nan, np.inf, -np.inf], d).astype(np.float32)
+                qids = shared.value[key][0].take(pa.array([h[0] for h in hits], pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(hits), pa.string()), qids, pa.array([h[1] for h in hits], kinds), pa.array(d)], names=["collection", "qid", "id", "distance"])
 
-        hits = u.select("collection", "id", "vector").mapInArrow(run, "collection string, qid string, id string, distance float")
+        hits = points.mapInArrow(run, f"collection string, qid {kind}, id {pid}, distance float")
         best = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         out = best if out is None else out.unionByName(best)
     return out
+

@@ -10,6 +10,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,13 +62,39 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small(df: DataFrame, name: str, max_rows: int = 200_000) -> DataFrame:
-    """df with a broadcast hint if it has at most max_rows (narrow) rows, else df for an ordinary shuffle join.
+def rename_path(spark: SparkSession, old: str, new: str) -> bool:
+    a, b = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (old, new))
+    return a.getFileSystem(spark._jsc.hadoopConfiguration()).rename(a, b)
 
-    df is staged first, so that counting it costs no second computation.
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+#: A table is broadcast up to so many rows and stored (compressed) bytes; in memory it may take several times as much.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
+
+
+def small(df: DataFrame, name: str, max_rows: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it is small, by rows and by bytes, else df for an ordinary shuffle join.
+
+    df is staged first, so that measuring it costs no second computation.
     """
-    staged = stage(df, name)
-    return F.broadcast(staged) if staged.count() <= max_rows else staged
+    spark, path = df.sparkSession, stage_path(df.sparkSession, name)
+    df.write.parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    fits = stored_bytes(spark, path) <= (BROADCAST_BYTES if max_bytes is None else max_bytes) and staged.count() <= (BROADCAST_ROWS if max_rows is None else max_rows)
+    return F.broadcast(staged) if fits else staged.hint("merge")
+
+
+def has_map(t: T.DataType) -> bool:
+    """Whether values of the type can't be hashed or compared."""
+    if isinstance(t, T.MapType):
+        return True
+    if isinstance(t, T.ArrayType):
+        return has_map(t.elementType)
+    return isinstance(t, T.StructType) and any(has_map(f.dataType) for f in t.fields)
 
 
 @contextmanager

@@ -1,11 +1,17 @@
+import itertools
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from pointlake import session
 from pointlake.operators import changes as C
 from pointlake.operators import compaction as P
+from pointlake.types import Corrupted, InvalidArgument
 
 CH = "id string, order struct<a: bigint>, op string, value string"
 STAMP = "map<string, struct<kind: string, b: boolean, i: bigint, d: double, s: string, ss: array<string>>>"
@@ -89,6 +95,78 @@ def test_compaction(spark, tmp_path):
     assert P.compact_segments(segments.limit(0), manifests.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_compaction_sees_a_lost_segment(spark, tmp_path, monkeypatch):
+    _, segments, manifests, _ = store(spark)
+    true = P.rows_at
+    monkeypatch.setattr(P, "rows_at", lambda s, keep: true(s.where("segment_id <> 1"), keep))
+    with pytest.raises(Corrupted):
+        P.compact_segments(segments, manifests, str(tmp_path / "out"))
+    assert not list(tmp_path.iterdir())
+
+
+@pytest.mark.parametrize("limit", ["BROADCAST_ROWS", "BROADCAST_BYTES"])
+def test_without_broadcasts_the_rows_are_the_same(spark, tmp_path, monkeypatch, limit):
+    wal, segments, manifests, _ = store(spark)
+    live, packed = C.live_points(wal, segments, manifests), P.surviving_rows(segments, manifests)
+    monkeypatch.setattr(session, limit, -1)
+    shuffled = C.live_points(wal, segments, manifests)
+    assert "SortMergeJoin" in shuffled._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, shuffled.collect())) == sorted(map(str, live.collect())) and live.count() == 3
+    assert sorted(map(str, P.surviving_rows(segments, manifests).collect())) == sorted(map(str, packed.collect()))
+    assert {r["n"] for r in C.count_with_tombstones(wal, segments, manifests).collect()} == {3, 1}
+
+
+def test_segments_listed_twice_in_a_file(spark, tmp_path):
+    wal, segments, manifests, _ = store(spark)
+    segments.unionByName(segments).write.parquet(str(tmp_path / "s"))
+    again = spark.read.parquet(str(tmp_path / "s"))
+    assert P.surviving_rows(again, manifests).count() == P.surviving_rows(segments, manifests).count() == 1
+    assert C.live_points(wal, again, manifests).count() == 3
+
+
+def test_hits_of_a_hot_key(spark):
+    rng = random.Random(3)
+    rows = [(("hot" if i % 3 == 0 else f"k{rng.randrange(40)}"), i, rng.choice(["upsert", "delete", "gone"])) for i in range(3000)]
+    want, last = {}, {}
+    for k, i, op in rows:
+        want[k] = want.get(k, 0) + (op == "delete" and last.get(k) == "upsert")
+        last[k] = op
+    df = spark.createDataFrame(rows, "id string, order long, op string").repartition(7)
+    for span in (4, 1024):
+        assert {r["id"]: (r["hits"], r["last"]) for r in C.hits(df, ("id",), F.col("order"), span).collect()} == {k: (want[k], last[k]) for k in want}
+
+
+def test_equal_orders_have_one_result(spark):
+    rows = [("a", 1, "upsert", v) for v in ([1.0], [2.0], [3.0])]
+    got = {str(C.compose(spark.createDataFrame(p, "id string, order long, op string, value array<double>").repartition(n), ("id",)).collect()) for p in itertools.permutations(rows) for n in (1, 3)}
+    assert len(got) == 1
+
+
+def test_pack_files_of_differing_columns(spark, tmp_path):
+    a, b, c = (str(tmp_path / x) for x in "abc")
+    spark.range(5).write.parquet(a)
+    spark.range(5).withColumn("extra", F.lit("x")).write.parquet(b)
+    for i, order in enumerate(([a, b], [b, a])):
+        packed = P.pack_files(spark, order, str(tmp_path / f"out{i}"))
+        out = spark.read.parquet(packed.path)
+        assert packed.rows == 10 and set(out.columns) == {"id", "extra"} and out.where("extra = 'x'").count() == 5
+    spark.range(5).select(F.col("id").cast("string").alias("id")).write.parquet(c)
+    with pytest.raises(InvalidArgument):
+        P.pack_files(spark, [a, c], str(tmp_path / "out"))
+    with pytest.raises(InvalidArgument):
+        P.pack_files(spark, [], str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists() and not (tmp_path / "out.staged").exists()
+
+
+def test_pack_ten_thousand_files(spark, tmp_path):
+    (tmp_path / "many").mkdir()
+    for i in range(10_000):
+        pq.write_table(pa.table({"id": [i], "t": ["x" * (i % 50)]}), tmp_path / "many" / f"{i}.parquet")
+    packed = P.pack_files(spark, [str(tmp_path / "many")], str(tmp_path / "packed"))
+    assert packed.rows == packed.files_before == 10_000 and packed.files_after <= 6
+    assert spark.read.parquet(packed.path).agg(F.sum("id")).first()[0] == 10_000 * 9_999 // 2
+
+
 def test_pack_files(spark, tmp_path):
     src, out = str(tmp_path / "src"), str(tmp_path / "packed")
     df = spark.range(1000).select("id", F.create_map(F.lit("k"), "id").alias("m"), F.when(F.col("id") % 7 > 0, F.repeat(F.lit("x"), 300)).alias("text"))

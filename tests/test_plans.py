@@ -29,7 +29,15 @@ def test_filters_reach_the_scan(points):
 
 def test_batches_limit_groups_before_the_shuffle(points):
     p = plan(S.batch_topk(points, points.limit(3).select(F.col("id").alias("qid"), "vector"), 2, "cosine"))
-    assert p.count("WindowGroupLimit") == 2 and "BroadcastNestedLoopJoin BuildRight" in p and "CartesianProduct" not in p
+    assert p.count("WindowGroupLimit") == 2 and "MapInArrow" in p and "NestedLoopJoin" not in p and "CartesianProduct" not in p and p.count("Exchange hashpartitioning") == 1
+
+
+def test_tombstones_are_counted_without_a_window(spark):
+    from .test_changes import store
+
+    wal, segments, manifests, _ = store(spark)
+    p = plan(C.count_with_tombstones(wal, segments, manifests))
+    assert "Window" not in p and "NestedLoop" not in p
 
 
 def test_changes_are_reduced_before_each_shuffle(spark):

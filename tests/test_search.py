@@ -99,7 +99,7 @@ def test_merge_and_batches(spark):
     pts = rows_of(spark, [(f"p{i:02d}", [rng.uniform(-1, 1) for _ in range(8)]) for i in range(50)])
     q = pts.limit(5).select(F.col("id").alias("qid"), "vector")
     whole = S.batch_topk(pts, q, 3, "cosine").collect()
-    blocks = S.batch_topk(pts, q, 3, "cosine", max_queries=2).collect()
+    blocks = S.batch_topk(pts, q, 3, "cosine", block_bytes=100).collect()
     assert sorted(map(tuple, whole)) == sorted(map(tuple, blocks)) and len(whole) == 15
     assert all(r["id"] == r["qid"] for r in whole if r["rank"] == 1)
 
@@ -154,7 +154,7 @@ def test_collection_knn(spark):
     pts = spark.createDataFrame([(c, f"p{i:02d}", v, None) for c in ("a", "b") for i, v in enumerate(x.tolist())], "collection string, id string, vector array<float>, loaded_at timestamp")
     cfg = spark.createDataFrame([("a", 4, "l2"), ("b", 4, "cosine"), ("none", 4, "l2")], "name string, dimension int, metric string")
     whole = sorted(map(tuple, S.collection_knn(pts, cfg, 5, F.expr("id in ('p03', 'p50')")).collect()))
-    assert len(whole) == 20 and whole == sorted(map(tuple, S.collection_knn(pts, cfg, 5, F.expr("id in ('p03', 'p50')"), block_rows=1).collect()))
+    assert len(whole) == 20 and whole == sorted(map(tuple, S.collection_knn(pts, cfg, 5, F.expr("id in ('p03', 'p50')"), block_bytes=1).collect()))
     want = S.topk(pts.where("collection = 'b'"), x[50].tolist(), 5, "cosine").collect()
     assert [(r["id"], r["distance"]) for r in want] == [(w[2], w[3]) for w in sorted(whole, key=lambda w: w[4]) if w[0] == "b" and w[1] == "p50"]
     assert S.collection_knn(pts, cfg, 5, F.lit(False)).count() == 0
