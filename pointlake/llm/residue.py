@@ -10,6 +10,7 @@ What doesn't recur isn't residue, whatever it says.
 from __future__ import annotations
 
 import html
+import re as std
 import unicodedata
 from collections.abc import Iterator
 
@@ -57,21 +58,24 @@ _SEED = re.compile(r"\b(?:lorem|ipsum|consectetur|adipis\w+|eiusmod|incididunt|a
 _LIVING = set("the is of and to it for this that with as by on are be or like i you der die das und ist nicht ein eine mit zu le la les des une pour dans que un el los las una por para con del o os uma com não é il di che".split())
 _MASHED = re.compile(r"[bcdfghjklmnpqrstvwxz]{4}|^[bcdfghjklmnpqrstvwxz]{3,}$|q(?!u)|[jvxwz][bcdfgjkmnpqtvwxz]|[aeiou]{4}")
 _DATE = re.compile(r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}(?:[ t]\d{1,2}:\d{2}(?::\d{2})?)?|\d{1,2}:\d{2}(?::\d{2})?|\b\d{1,2}\.? (?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{4}\b|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{1,2},? \d{4}\b")
-_ADDRESS = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?\b|\b(?:[0-9a-f]{0,4}:){3,7}[0-9a-f]{1,4}\b|\b\d+ (?:\w+ ){1,3}(?:street|st\.|road|rd\.|avenue|ave\.|lane|drive|boulevard|blvd\.)(?!\w)|\b\w+(?:straße|strasse|weg|platz) \d+\b|\b\d+,? (?:rue|avenue|boulevard|calle|rua) (?:\w+ ?){1,4}")
-_PATH = re.compile(r"(?<![\w</])/(?:[\w.-]+/)+[\w.-]*|(?<![\w</.])[\w-]+(?:/[\w.-]+)+\.[a-z]{1,5}\b|(?<!\w)[a-z]:\\[\w\\.-]+|\$[a-z_]\w*|\b\w+\(\)|\b[a-z]\w*_\w+\b")
-_NUMBER = re.compile(r"\d+")
-_HEX = re.compile(r"\b(?=[a-f\-]*\d)[\da-f]{5,}(?:-[\da-f]+)*\b")
-_BLANKS = re.compile(r"[^\S\n]+")
-_SAME = re.compile(r"(?<!\S)(\S{2,}+)(?:\s++\1(?!\S)){3,}")
+_MAIL = std.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
+_NETWORK = std.compile(r"\b\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?\b|\b(?:[0-9a-f]{0,4}:){3,7}[0-9a-f]{1,4}\b")
+_STREET = std.compile(r"\b\d+ (?:\w+ ){1,3}(?:street|st\.|road|rd\.|avenue|ave\.|lane|drive|boulevard|blvd\.)(?!\w)|\b\d+,? (?:rue|avenue|boulevard|calle|rua) (?:\w+ ?){1,4}|(?<=[a-zß])(?:straße|strasse|weg|platz) \d+\b")
+_FILE = std.compile(r"(?<![\w</])/(?:[\w.-]+/)+[\w.-]*|(?<![\w</.])[\w-]+(?:/[\w.-]+)+\.[a-z]{1,5}\b|(?<!\w)[a-z]:\\[\w\\.-]+")
+_NAME = std.compile(r"\$[a-z_]\w*|\w+\(\)|(?<!\w)[a-z][^\W_]*_\w+")
+_NUMBER = std.compile(r"\d+")
+_HEX = std.compile(r"\b(?=[a-f\-]*\d)[\da-f]{5,}(?:-[\da-f]+)*\b")
+_BLANKS = std.compile(r"[^\S\n]+")
+_SAME = std.compile(r"(?<!\S)(\S{2,}+)(?:\s++\1(?!\S)){3,}")
 _SCRIPTS = re.compile(r"(?:(?<!\w)cookies and )?(?:java ?script|(?<!\w)(?:(?:client-side )?scripts?|scripting|js|скрипты?)(?![a-zа-я])|スクリプト)(?: and cookies(?!\w))?")
 # What a site calls the things that it shows.
 THINGS = "page site website forum board view app application thread topic post answer reply question comment article document resource file url address item link discussion".split()
-_THING = re.compile(r"\b(?:(?:the|this|that|your) )?(?:(?:requested|full) )?(?:" + "|".join(sorted(THINGS, key=len, reverse=True)) + r")s?\b(?: 0\b)?|\b(?:the|this|that|your) request\b")
+_THING = std.compile(r"\b(?:(?:the|this|that|your) )?(?:(?:requested|full) )?(?:" + "|".join(sorted(THINGS, key=len, reverse=True)) + r")s?\b(?: 0\b)?|\b(?:the|this|that|your) request\b")
 _LETTER, _WORDS = re.compile(r"\p{L}"), re.compile(r"\p{L}+")
 _SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+|(?<=。)(?=[^\s。!?！？)）\]」』】])|(?<=[!?！？])(?=[\p{Han}\p{Hiragana}\p{Katakana}]|(?<=[\p{Han}\p{Hiragana}\p{Katakana}ー].)[\p{L}\p{N}])")
-_CUT = re.compile(r"\s*[(:;|–—（：)]\s*|\s+-\s+|,\s+|\s+(?=(?:while|before|until|so that|in order to|to (?:continue|see|view|use|read|load|get|show|display|run|proceed))\b)")
+_CUT = std.compile(r"\s*[(:;|–—（：)]\s*|\s+-\s+|,\s+|\s+(?=(?:while|before|until|so that|in order to|to (?:continue|see|view|use|read|load|get|show|display|run|proceed))\b)")
 _EMPTY = (" undefined", " null", " nan")
-_TIGHT, _PARAGRAPH = re.compile(r" (?=[,.!?:;)])|(?<=\() "), re.compile(r"\n\s*\n")
+_TIGHT, _PARAGRAPH = std.compile(r" (?=[,.!?:;)])|(?<=\() "), std.compile(r"\n\s*\n")
 _HIDDEN = re.compile(r"[\u00ad\u200b-\u200d\u2060\ufeff]")
 
 # ---- rules; they see masked units in lower case
@@ -134,9 +138,19 @@ def masked(x: str) -> str:
     """Template fields, repeated words, addresses, dates, numbers and the names of scripts and things masked, case unified; line breaks stay."""
     if _MAY_HOLD.search(x):
         x = PLACEHOLDER.sub(" <f> ", x)
-    x = _SAME.sub(" <repeated> ", _BLANKS.sub(" ", x))
-    x = _NUMBER.sub("0", _HEX.sub("0", _DATE.sub("0:0", _PATH.sub(" <a> ", _ADDRESS.sub(" <a> ", x.casefold())))))
-    return _THING.sub("<x>", _SCRIPTS.sub("<js>", x))
+    x = _BLANKS.sub(" ", x.casefold())
+    x = _SAME.sub(" <repeated> ", x)
+    if "@" in x:
+        x = _MAIL.sub(" <a> ", x)
+    if "/" in x or "\\" in x:
+        x = _FILE.sub(" <a> ", x)
+    if "_" in x or "$" in x or "()" in x:
+        x = _NAME.sub(" <a> ", x)
+    if _NUMBER.search(x):
+        x = _NUMBER.sub("0", _HEX.sub("0", _DATE.sub("0:0", _STREET.sub(" <a> ", _NETWORK.sub(" <a> ", x)))))
+    if "script" in x or "js" in x or "скрипт" in x or "スクリプト" in x:
+        x = _SCRIPTS.sub("<js>", x)
+    return _THING.sub("<x>", x)
 
 
 def tight(unit: str) -> str:
@@ -188,7 +202,7 @@ def keys(text: str) -> dict[str, list[str] | None]:
     out: dict[str, list[str] | None] = {PAGE: None} if RAW_ERROR.search(x) else {}
     x = masked(shown_only(x))
     seeds = _SEED.search(x) is not None
-    for u in units(x):
+    for u in dict.fromkeys(units(x)):
         key = tight(u)
         if key in out or not _LETTER.search(key):
             continue
