@@ -43,6 +43,28 @@ def kmeans(x: Array, k: int, rounds: int, rng: np.random.Generator) -> Array:
     return c.astype(np.float32)
 
 
+def tree_kmeans(x: Array, k: int, rounds: int, rng: np.random.Generator, polish: int = 2) -> Array:
+    """About k centroids in two levels, each level's square root of k in number, so that training costs len(x) * sqrt(k); centroids that
+    lie together stand together. A few flat rounds follow, in which every row takes the nearest of all."""
+    if k <= 64 or len(x) <= 64:
+        return kmeans(x, k, rounds, rng)
+    top = kmeans(x, round(k**0.5), rounds, rng)
+    at = nearest(x, top)
+    axis = np.linalg.svd(top - top.mean(0), full_matrices=False)[2][0]
+    parts = []
+    for t in np.argsort(top @ axis, kind="stable"):
+        mine = x[at == t]
+        if len(mine):
+            parts.append(kmeans(mine, max(1, round(k * len(mine) / len(x))), rounds, rng))
+    c = np.concatenate(parts)
+    for _ in range(polish):
+        at = nearest(x, c)
+        n = np.bincount(at, minlength=len(c))
+        order, full = np.argsort(at, kind="stable"), np.flatnonzero(n)
+        c[full] = np.add.reduceat(x[order], (np.cumsum(n) - n)[full], axis=0) / n[full, None]
+    return c.astype(np.float32)
+
+
 @dataclass
 class Model:
     metric: str
@@ -50,9 +72,12 @@ class Model:
     top_norm: float  # of the collection, for inner products
     centroids: Array  # (cells, d)
     codebooks: Array  # (slices, entries, width)
-    group: Array  # of each cell
-    probes: list[Array]  # of each cell, nearest cells first
-    wanted: list[Array]  # of each cell, the groups that probe it
+    share: Array  # of the rows, in each cell
+    block: Array  # of each cell, the first of its blocks
+    pieces: Array  # of each cell, how many blocks its rows are spread over
+    blocks: int
+    probe_share: float  # of the rows that a query is compared with; 0: cells within its radius
+    radius: float  # Euclidean, in the index's space; for probe_share 0
 
     def prepared(self, x: Array) -> Array:
         """Rows as the index sees them: dimensions padded to whole slices."""
@@ -69,6 +94,30 @@ class Model:
             decoded[:, m * w : (m + 1) * w] = book[code[:, m]]
         return code, ((decoded * decoded).sum(1) + 2 * (decoded * self.centroids[cell]).sum(1)).astype(np.float32)
 
+    def probes(self, q: Array, cells: slice = slice(None)) -> Array:
+        """(queries, cells): whether a query (prepared) asks a cell. With a radius these are all cells that can hold a row within
+        it: a row of cell b is on b's side of the plane between b and the query's nearest centroid a, so that plane is no further
+        from the query than the radius. Else the nearest cells that hold probe_share of the rows, four at least."""
+        d = sq_distances(q, self.centroids)
+        if not self.probe_share:
+            a = d.argmin(1)
+            apart = np.sqrt(sq_distances(self.centroids[np.unique(a)], self.centroids))[np.unique(a, return_inverse=True)[1]]
+            return ((d - d[np.arange(len(q)), a][:, None]) <= 2 * self.radius * apart + 1e-4)[:, cells]
+        if self.probe_share >= 1:
+            return np.ones((len(q), len(self.centroids)), dtype=bool)[:, cells]
+        order = np.argsort(d, axis=1)
+        before = np.cumsum(self.share[order], axis=1) - self.share[order]
+        before[:, :4] = 0
+        asked = np.empty(d.shape, dtype=bool)
+        np.put_along_axis(asked, order, before < self.probe_share, 1)
+        return asked[:, cells]
+
+    def as_query(self, x: Array) -> Array:
+        q = self.prepared(x)
+        if self.metric == "innerProduct" and q.shape[1] > self.dim:
+            q[:, self.dim] = 0  # asks with its own direction only
+        return q
+
 
 def prepare(x: Array, metric: str, top_norm: float, width: int) -> Array:
     x = x.astype(np.float32, copy=False)
@@ -86,35 +135,33 @@ def width_of(metric: str, dim: int, slices: int) -> int:
     return -(-d // slices) * slices
 
 
-def train(x: Array, metric: str, total: int, top_norm: float, cells: int, slices: int, probe_share: float, group_rows: int, seed: int = 7) -> Model:
-    """A model from a sample x (rows as stored) of a collection with total rows."""
+def radius_of(metric: str, within: float, top_norm: float, norms: float) -> float:
+    """The Euclidean distance in the index's space that a greatest metric distance stands for; norms: the greatest of queries."""
+    return float(np.sqrt(max({"l2": within**2, "l2Squared": within, "cosine": 2 * within, "innerProduct": norms**2 + top_norm**2 + 2 * within}[metric], 0))) * (1 + 1e-5)
+
+
+def train(x: Array, metric: str, total: int, top_norm: float, cells: int, slices: int, block_rows: int, within: float | None = None, seed: int = 7) -> Model:
+    """A model from a sample x (rows as stored) of a collection with total rows; cells stand in the order of a tree and are put
+    into blocks of about block_rows rows, a cell of more into several."""
     rng = np.random.default_rng(seed)
-    dim = x.shape[1]
-    p = prepare(x, metric, top_norm, width_of(metric, dim, slices))
-    c = kmeans(p, cells, 8, rng)
+    p = prepare(x, metric, top_norm, width_of(metric, x.shape[1], slices))
+    c = tree_kmeans(p, cells, 8, rng)
     at = nearest(p, c)
     r = p - c[at]
     w = p.shape[1] // slices
     books = [kmeans(np.ascontiguousarray(r[:, m * w : (m + 1) * w]), 256, 6, rng) for m in range(slices)]
     entries = min(len(b) for b in books)
     share = np.bincount(at, minlength=len(c)) / max(len(p), 1)
-    axis = np.linalg.svd(c - c.mean(0), full_matrices=False)[2][0] if len(c) > 1 else np.ones(c.shape[1], np.float32)
-    order = np.argsort(c @ axis, kind="stable")
-    group = np.empty(len(c), dtype=np.int64)
-    group[order] = np.minimum(np.cumsum(share[order]) * total, total - 1) // group_rows
-    group = np.unique(group, return_inverse=True)[1]
-    near = np.argsort(sq_distances(c, c), axis=1, kind="stable")
-    probes = []
-    for i in range(len(c)):
-        reach = np.cumsum(share[near[i]])
-        probes.append(near[i][: max(4, int(np.searchsorted(reach, probe_share)) + 1)].astype(np.int32))
-        if probes[-1][0] != i:
-            probes[-1] = np.concatenate([np.array([i], np.int32), probes[-1][probes[-1] != i]])
-    wanted: list[set[int]] = [set() for _ in c]
-    for i, near_i in enumerate(probes):
-        for j in near_i:
-            wanted[j].add(int(group[i]))
-    return Model(metric, dim, top_norm, c, np.stack([b[:entries] for b in books]), group, probes, [np.array(sorted(s), dtype=np.int64) for s in wanted])
+    block, pieces, now, held = np.zeros(len(c), dtype=np.int64), np.ones(len(c), dtype=np.int64), 0, 0.0
+    for i, n in enumerate(share * total):
+        if held and held + n > block_rows:
+            now, held = now + 1, 0.0
+        block[i], pieces[i] = now, max(1, -(-int(n) // (2 * block_rows)))
+        held += n
+        if pieces[i] > 1:
+            now, held = now + int(pieces[i]), 0.0
+    blocks = int((block + pieces).max())
+    return Model(metric, x.shape[1], top_norm, c, np.stack([b[:entries] for b in books]), share, block, pieces, blocks, 1.0 if within is None else 0.0, 0.0 if within is None else radius_of(metric, within, top_norm, top_norm))
 
 
 def exact(metric: str, q: Array, rows: Array) -> Array:
@@ -130,6 +177,17 @@ def exact(metric: str, q: Array, rows: Array) -> Array:
     return np.where(den == 0, 1, 1 - s / np.where(den == 0, 1, den))
 
 
+def flat(metric: str, q: Array, x: Array) -> Array:
+    """All distances (queries, rows) in double precision."""
+    q, x = q.astype(np.float64), x.astype(np.float64)
+    if metric == "innerProduct":
+        return -(q @ x.T)
+    if metric == "cosine":
+        return 1 - (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+    s = sq_distances(q, x)
+    return np.sqrt(s) if metric == "l2" else s
+
+
 class Best:
     """The running best candidates of a block of queries by table distance, unordered."""
 

@@ -1,9 +1,14 @@
 """The most similar vectors for every vector, by an inverted file with product-quantised residuals and exact reranking.
 
-The models are trained on a bounded hash sample of each collection; every row is indexed and every row asks. Cells are
-put into groups of about GROUP_ROWS rows; a row is sent to its own group, where it asks, and to each group that probes its
-cell. In a group, the probed rows are compared by distance tables and the best KEEP of each block ranked by their vectors.
-Identical vectors are one class and asked once: members of a class share their neighbours.
+The models are trained on a bounded hash sample of each collection; every row is indexed and every row asks. A collection has cells
+in proportion to the square root of its rows, put into blocks of neighbouring cells. A row is sent to its own block, and as
+a query to each block that holds a cell it asks. In a block, the rows of the cells asked are compared by asymmetric distance
+tables and the best KEEP ranked by their vectors.
+
+Which cells a query asks: where only neighbours within a distance are wanted, all that can hold one, by geometry. Else the nearest
+cells with a share of the rows that is measured: a few queries of each collection are compared with all its rows, and
+the share is the least that gives RECALL of their true neighbours. Identical vectors are one class and asked once: members of a class share their
+neighbours.
 """
 from __future__ import annotations
 
@@ -20,138 +25,227 @@ from pointlake.llm import ivfpq as I
 from pointlake.llm.vectors import Shape, copies, matrix, shapes, usable
 from pointlake.session import small, stage
 
-SAMPLE = 8192  # rows a model is trained on, about
-MAX_CELLS = 1024
+SAMPLE, MOST_SAMPLE = 8192, 1 << 18  # rows a model is trained on, about: eight a cell, at least and at most
+CELLS = 6.0  # cells of a collection, times the square root of its rows
 SLICES = 16
-PROBE_SHARE = 0.65  # of a collection's rows that a query is compared with by tables
-KEEP = 120  # candidates ranked by their vectors, of each block of rows
-GROUP_ROWS = 32_768
-BLOCK_ROWS = 65_536
-QUERY_ROWS = 192  # queries whose tables stay in the cache
+KEEP = 120  # candidates of each block that are ranked by their vectors
+RECALL, ASKED = 0.95, 64  # of the true neighbours of so many measured queries a collection, the part that lies in the cells asked
+WHOLE = 4096  # rows up to which a collection is compared as a whole
+BLOCK_ROWS, MOST_BLOCK_ROWS = 8192, 65_536  # rows of a block: a 64th of the collection within these bounds
+QUERY_ROWS = 16_384  # queries of a block that one task answers, about
+AT_ONCE = 64  # queries whose cells are asked together
 
 _RESULT = "collection string, id string, n long, nid array<string>, nd array<double>, nn array<long>"
 
 
-def _models(reps: DataFrame, known: dict[str, Shape], probe_share: float, group_rows: int) -> dict[str, I.Model]:
+def _models(reps: DataFrame, known: dict[str, Shape], within: dict[str, float] | None, block_rows: int) -> dict[str, I.Model]:
     stats = {r["collection"]: (r["rows"], r["top"]) for r in reps.groupBy("collection").agg(F.count(F.lit(1)).alias("rows"), F.max("norm").alias("top")).collect()}
+    if not stats:
+        return {}
+    cells = {c: max(1, round(CELLS * n**0.5)) if n > 64 else 1 for c, (n, _) in stats.items()}
+    cells = {c: min(k, MOST_SAMPLE // 8) for c, k in cells.items()}
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         c = pdf.collection.iloc[0]
         rows, top = stats[c]
         pdf = pdf.sort_values(["h1", "h2"])
         x = np.frombuffer(b"".join(pdf.vec), dtype="<f4").reshape(-1, known[c].dim)
-        m = I.train(x, known[c].metric, rows, top, int(min(MAX_CELLS, max(1, round(rows**0.5)))), SLICES, probe_share, group_rows)
+        size = int(min(max(block_rows, rows // 64), max(block_rows, MOST_BLOCK_ROWS)))
+        m = I.train(x, known[c].metric, rows, top, cells[c], SLICES, size, None if within is None else within[known[c].metric])
         return pd.DataFrame({"collection": [c], "model": [pickle.dumps(m)]})
 
-    if not stats:
-        return {}
     spark = reps.sparkSession
-    share = spark.createDataFrame([(c, min(1.0, SAMPLE / n)) for c, (n, _) in stats.items()], "collection string, share double")
+    share = spark.createDataFrame([(c, min(1.0, max(SAMPLE, 8 * cells[c]) / n)) for c, (n, _) in stats.items()], "collection string, share double")
     sample = reps.join(F.broadcast(share), "collection").where(F.pmod("h2", F.lit(1 << 20)) < F.col("share") * (1 << 20))
     rows = sample.select("collection", "vec", "h1", "h2").groupBy("collection").applyInPandas(fit, "collection string, model binary").collect()
-    return {r["collection"]: pickle.loads(r["model"]) for r in rows}
-
-
-class _Group:
-    """One group's queries, the rows they have met so far, and their best neighbours."""
-
-    def __init__(self, model: I.Model, k: int):
-        self.m, self.k = model, k
-
-    def ask(self, cell: np.ndarray, x: np.ndarray, ids: np.ndarray, n: np.ndarray, code: np.ndarray, middle: np.ndarray) -> None:
-        self.x, self.ids, self.n = x, ids, n
-        q = I.prepare(x, self.m.metric, self.m.top_norm, self.m.centroids.shape[1])
-        if self.m.metric == "innerProduct" and self.m.centroids.shape[1] > self.m.dim:
-            q[:, self.m.dim] = 0  # asks with its own direction only
-        self.q = q
-        cells, first = np.unique(cell, return_index=True)
-        self.blocks = [(c, slice(a, min(hi, a + QUERY_ROWS))) for c, lo, hi in zip(cells, first, [*first[1:], len(cell)]) for a in range(lo, hi, QUERY_ROWS)]
-        self.d = np.full((len(x), self.k), np.inf)
-        self.nid = np.full((len(x), self.k), None, dtype=object)
-        self.nn = np.zeros((len(x), self.k), dtype=np.int64)
-        self.meet(cell, x, ids, n, code, middle, own=True)
-
-    def meet(self, cell: np.ndarray, x: np.ndarray, ids: np.ndarray, n: np.ndarray, code: np.ndarray, middle: np.ndarray, own: bool = False) -> None:
-        """Rows sorted by cell."""
-        starts = np.searchsorted(cell, np.arange(len(self.m.centroids) + 1))
-        keep = min(KEEP, len(x))
-        for c, at in self.blocks:
-            best = I.candidates(self.q[at], self.m, self.m.probes[c], starts, code, middle, keep)
-            rows = np.maximum(best.at, 0)
-            d = I.exact(self.m.metric, self.x[at], x[rows])
-            d[best.at < 0] = np.inf
-            if own:
-                d[rows == np.arange(at.start, at.stop)[:, None]] = np.inf
-            pick = np.argpartition(d, self.k - 1, axis=1)[:, : self.k] if d.shape[1] > self.k else np.arange(d.shape[1])[None, :].repeat(len(d), 0)
-            d, rows = np.take_along_axis(d, pick, 1), np.take_along_axis(rows, pick, 1)
-            d = np.where(np.isinf(d), d, I.exact(self.m.metric, self.x[at].astype(np.float64), x[rows].astype(np.float64)))
-            d = np.concatenate([self.d[at], d], axis=1)
-            nid, nn = np.concatenate([self.nid[at], ids[rows]], axis=1), np.concatenate([self.nn[at], n[rows]], axis=1)
-            order = np.argsort(d, axis=1, kind="stable")[:, : self.k]
-            self.d[at], self.nid[at], self.nn[at] = (np.take_along_axis(a, order, 1) for a in (d, nid, nn))
-
-    def result(self, collection: str) -> pa.RecordBatch:
-        ok = np.isfinite(self.d)
+    models = {r["collection"]: pickle.loads(r["model"]) for r in rows}
+    if len(models) < len(stats):  # a sample without rows: one cell for all
+        for c in stats.keys() - models.keys():
+            first = reps.where(F.col("collection") == c).select("vec").limit(256).collect()
+            x = np.frombuffer(b"".join(bytes(r["vec"]) for r in first), dtype="<f4").reshape(-1, known[c].dim)
+            models[c] = I.train(x, known[c].metric, *stats[c], 1, SLICES, block_rows, None if within is None else within[known[c].metric])
+    return models
+
+
+def by_collection(b: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+    coll = np.array(b.column(0).to_pylist(), dtype=object)
+    for c in sorted(set(coll)):
+        yield c, b.take(pa.array(np.flatnonzero(coll == c)))
+
+
+def measure(reps: DataFrame, models: dict[str, I.Model], sizes: dict[str, int], k: int, recall: float) -> None:
+    """Set each model's probe_share to the least that holds `recall` of the true neighbours of ASKED queries, which are compared with
+    all rows; collections of at most WHOLE rows are compared as a whole."""
+    large = [c for c in models if sizes[c] > WHOLE]
+    if not large:
+        return
+    spark = reps.sparkSession
+    odds = spark.createDataFrame([(c, 4 * ASKED / sizes[c]) for c in large], "collection string, odds double")
+    some = reps.join(F.broadcast(odds), "collection").where(F.pmod(F.xxhash64("h1", "h2"), F.lit(1 << 30)) < F.col("odds") * (1 << 30))
+    w = Window.partitionBy("collection").orderBy("h1", "h2")
+    asking: dict[str, list] = {}
+    for r in some.withColumn("i", F.row_number().over(w)).where(F.col("i") <= ASKED).select("collection", "vec", "h1", "h2").collect():
+        asking.setdefault(r["collection"], []).append((bytes(r["vec"]), r["h1"], r["h2"]))
+    shared = spark.sparkContext.broadcast((asking, models))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asking, models = shared.value
+        best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for c, part in by_collection(b):
+                if c not in asking:
+                    continue
+                m = models[c]
+                x, q = matrix(part.column(1), m.dim), np.frombuffer(b"".join(a[0] for a in asking[c]), dtype="<f4").reshape(-1, m.dim)
+                d = I.flat(m.metric, q, x)
+                own = (part.column(2).to_numpy()[None, :] == np.array([a[1] for a in asking[c]])[:, None]) & (part.column(3).to_numpy()[None, :] == np.array([a[2] for a in asking[c]])[:, None])
+                d[own] = np.inf
+                cell = np.broadcast_to(I.nearest(m.prepared(x), m.centroids), d.shape)
+                if c in best:
+                    d, cell = np.concatenate([best[c][0], d], axis=1), np.concatenate([best[c][1], cell], axis=1)
+                pick = np.argpartition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else np.arange(d.shape[1])[None, :].repeat(len(d), 0)
+                best[c] = np.take_along_axis(d, pick, 1), np.take_along_axis(cell, pick, 1)
+        for c, (d, cell) in best.items():
+            ok = np.isfinite(d)
+            n = int(ok.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([c] * n, pa.string()), pa.array(np.nonzero(ok)[0].astype(np.int32)), pa.array(d[ok]), pa.array(cell[ok].astype(np.int32))], names=["collection", "q", "d", "cell"])
+
+    hits = reps.select("collection", "vec", "h1", "h2").mapInArrow(run, "collection string, q int, d double, cell int")
+    first = hits.withColumn("r", F.row_number().over(Window.partitionBy("collection", "q").orderBy("d", "cell"))).where(F.col("r") <= k)
+    where: dict[str, list] = {}
+    for r in first.select("collection", "q", "cell").collect():
+        where.setdefault(r["collection"], []).append((r["q"], r["cell"]))
+    for c, pairs in where.items():
+        m = models[c]
+        q = m.as_query(np.frombuffer(b"".join(a[0] for a in asking[c]), dtype="<f4").reshape(-1, m.dim))
+        d = I.sq_distances(q, m.centroids)
+        order = np.argsort(d, axis=1)
+        before = np.empty_like(d)
+        np.put_along_axis(before, order, np.cumsum(m.share[order], axis=1) - m.share[order], 1)
+        at = np.array(pairs)
+        m.probe_share = float(min(1.0, np.quantile(before[at[:, 0], at[:, 1]], recall) + 1e-6))
+
+
+class _Block:
+    """One block's rows, sorted by cell, and queries that meet them."""
+
+    def __init__(self, model: I.Model, k: int, keep: int, exact: bool, col: dict):
+        self.m, self.k, self.exact = model, k, exact
+        self.cell, self.x, self.ids, self.n, self.h1, self.h2 = (col[c] for c in ("cell", "x", "id", "n", "h1", "h2"))
+        self.code, self.middle, self.keep = col["code"], col["middle"], min(keep, len(self.x))
+        self.cells = np.unique(self.cell)
+        self.starts = np.searchsorted(self.cell, np.arange(len(model.centroids) + 1))
+
+    def answer(self, x: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, row numbers) of the k best rows of each query, unordered; queries sorted by cell."""
+        q = self.m.as_query(x)
+        out_d, out_at = np.full((len(x), self.k), np.inf), np.zeros((len(x), self.k), dtype=np.int64)
+        for lo in range(0, len(x), 2048):
+            asked = self.m.probes(q[lo : lo + 2048])[:, self.cells] if not self.exact else np.ones((len(q[lo : lo + 2048]), len(self.cells)), dtype=bool)
+            for a in range(0, len(asked), AT_ONCE):
+                cells = self.cells[asked[a : a + AT_ONCE].any(axis=0)]
+                if not len(cells):
+                    continue
+                at = slice(lo + a, min(lo + a + AT_ONCE, lo + len(asked)))
+                if self.exact:
+                    d, rows = I.flat(self.m.metric, x[at], self.x), np.arange(len(self.x))[None, :].repeat(at.stop - at.start, 0)
+                else:
+                    best = I.candidates(q[at], self.m, cells, self.starts, self.code, self.middle, self.keep)
+                    rows = np.maximum(best.at, 0)
+                    d = I.exact(self.m.metric, x[at], self.x[rows]).astype(np.float64)
+                    d[best.at < 0] = np.inf
+                d[(self.h1[rows] == h1[at, None]) & (self.h2[rows] == h2[at, None])] = np.inf
+                pick = np.argpartition(d, self.k - 1, axis=1)[:, : self.k] if d.shape[1] > self.k else np.arange(d.shape[1])[None, :].repeat(len(d), 0)
+                d, rows = np.take_along_axis(d, pick, 1), np.take_along_axis(rows, pick, 1)
+                out_d[at, : d.shape[1]] = np.where(np.isinf(d), d, I.exact(self.m.metric, x[at].astype(np.float64), self.x[rows].astype(np.float64)))
+                out_at[at, : d.shape[1]] = rows
+        return out_d, out_at
+
+    def result(self, collection: str, ids: pa.Array, n: pa.Array, d: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        ok = np.isfinite(d)
         ends = pa.array(np.concatenate([[0], np.cumsum(ok.sum(1))]).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, pa.array(v[ok], t)) for v, t in ((self.nid, pa.string()), (self.d, pa.float64()), (self.nn, pa.int64()))]
-        return pa.RecordBatch.from_arrays([pa.array([collection] * len(self.ids), pa.string()), pa.array(self.ids, pa.string()), pa.array(self.n), *lists], names=["collection", "id", "n", "nid", "nd", "nn"])
+        lists = [pa.ListArray.from_arrays(ends, v) for v in (self.ids.take(pa.array(at[ok])), pa.array(d[ok]), pa.array(self.n[at[ok]]))]
+        return pa.RecordBatch.from_arrays([pa.array([collection] * len(ids), pa.string()), ids, n, *lists], names=["collection", "id", "n", "nid", "nd", "nn"])
+
 
+def class_neighbors(reps: DataFrame, known: dict[str, Shape], k: int, within: dict[str, float] | None = None, probe_share: float | None = None, recall: float = RECALL, keep: int = KEEP, exact: bool = False, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """collection, id, n and up to k nearest other representatives (nid, nd, nn) of each row of reps (collection, id, n, vec, h1, h2, norm).
 
-def class_neighbors(reps: DataFrame, known: dict[str, Shape], k: int, probe_share: float = PROBE_SHARE, group_rows: int = GROUP_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """collection, id, n and up to k nearest other representatives (nid, nd, nn) of each row of reps (collection, id, n, vec, h1, h2, norm)."""
+    within: by metric, a distance beyond which neighbours aren't wanted. probe_share: a share of the rows to ask instead of the
+    measured one. exact: every row is compared with all rows of its collection by vector.
+    """
     spark = reps.sparkSession
-    models = _models(reps, known, probe_share, group_rows)
+    models = _models(reps, known, None if exact or probe_share is not None else within, block_rows)
     if not models:
         return spark.createDataFrame([], _RESULT)
-    base, gids = {}, {}
+    sizes = {r["collection"]: r["count"] for r in reps.groupBy("collection").count().collect()}
+    if probe_share is not None or exact:
+        for m in models.values():
+            m.probe_share = 1.0 if exact else probe_share
+    elif within is None:
+        measure(reps, models, sizes, k, recall)
+    base, gids, parts = {}, [], {}
     for c in sorted(models):
+        m = models[c]
         base[c] = len(gids)
-        gids |= {base[c] + g: c for g in range(int(models[c].group.max()) + 1)}
+        gids += [c] * m.blocks
+        # tasks of a block: its queries are about all rows, times the part of blocks a query asks
+        parts[c] = max(1, -(-int(sizes[c] * (m.probe_share or 1.2 / m.blocks)) // query_rows)) if m.blocks > 1 else max(1, -(-sizes[c] // query_rows))
+    first, total = {}, 0
+    for c in sorted(models):
+        first[c] = total
+        total += models[c].blocks * parts[c]
     shared = spark.sparkContext.broadcast(models)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
         for b in batches:
-            coll = np.array(b.column(0).to_pylist(), dtype=object)
-            for c in set(coll):
-                at = np.flatnonzero(coll == c)
-                m = models[c]
-                part = b.take(pa.array(at))
-                x = m.prepared(matrix(part.column(3), m.dim))
-                cell = I.nearest(x, m.centroids)
-                code, middle = m.encode(x, cell)
-                for role in (0, 1):
-                    if role == 0:
-                        rows, gid = np.arange(len(at)), m.group[cell]
-                    else:
-                        others = [[g for g in m.wanted[j] if g != m.group[j]] for j in range(len(m.centroids))]
-                        rows = np.repeat(np.arange(len(at)), [len(others[j]) for j in cell])
-                        gid = np.array([g for j in cell for g in others[j]], dtype=np.int64)
-                    if not len(rows):
-                        continue
-                    t = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array((gid + base[c]).astype(np.int32)), pa.array(np.full(len(rows), role, np.int32)), pa.array(cell[rows].astype(np.int32)),
-                        *[part.column(i).take(t) for i in (1, 2, 3)], pa.array([code[r].tobytes() for r in rows], pa.binary()), pa.array(middle[rows])],
-                        names=["gid", "role", "cell", "id", "n", "vec", "code", "middle"])
+            for c, part in by_collection(b):
+                m, tasks = models[c], parts[c]
+                x = matrix(part.column(3), m.dim)
+                p, q, h = m.prepared(x), m.as_query(x), part.column(4).to_numpy()
+                cell = I.nearest(p, m.centroids)
+                code, middle = m.encode(p, cell)
+                mine = m.block[cell] + (h >> 7) % m.pieces[cell]
+                near = I.nearest(q, m.centroids) if m.metric == "innerProduct" else cell
+                out = [(np.repeat(np.arange(len(x)), tasks), np.repeat(mine, tasks) * tasks + np.tile(np.arange(tasks), len(x)), 0)]
+                asked = np.zeros((len(x), m.blocks), dtype=bool)
+                for lo in range(0, len(x), 2048):
+                    hit = m.probes(q[lo : lo + 2048])
+                    order = np.argsort(m.block, kind="stable")
+                    starts = np.unique(m.block, return_index=True)
+                    any_ = np.logical_or.reduceat(hit[:, order], starts[1], axis=1)
+                    for j, b0 in enumerate(starts[0]):
+                        asked[lo : lo + 2048, b0 : b0 + m.pieces[m.block == b0].max()] |= any_[:, j, None]
+                rows, block = np.nonzero(asked)
+                out.append((rows, block * tasks + near[rows] * 31 % tasks if tasks > 1 else block, 1))
+                for rows, task, role in out:
+                    for lo in range(0, len(rows), 16_384):
+                        r = rows[lo : lo + 16_384]
+                        t, none = pa.array(r), pa.nulls(len(r), pa.binary())
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array((first[c] + task[lo : lo + 16_384]).astype(np.int32)), pa.array(np.full(len(r), role, np.int32)), pa.array((near if role else cell)[r].astype(np.int32)),
+                            *[part.column(i).take(t) for i in (1, 2, 3, 4, 5)], none if role else pa.array([code[i].tobytes() for i in r], pa.binary()), pa.array(middle[r])],
+                            names=["task", "role", "cell", "id", "n", "vec", "h1", "h2", "code", "middle"])
+
+    names = [c for c in sorted(models) for _ in range(models[c].blocks * parts[c])]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, group, now, held = shared.value, None, None, []
+        models, block, now, held = shared.value, None, None, []
 
-        def flush() -> None:
-            nonlocal group
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal block
             if not held:
                 return
             t = pa.Table.from_batches(held).combine_chunks()
             held.clear()
-            m = models[gids[now[0]]]
+            m = models[names[now[0]]]
             col = {name: t.column(name).chunk(0) for name in t.column_names}
-            args = (col["cell"].to_numpy(), matrix(col["vec"], m.dim), np.array(col["id"].to_pylist(), dtype=object), col["n"].to_numpy(), np.frombuffer(b"".join(col["code"].to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1), col["middle"].to_numpy())
+            x, h1, h2 = matrix(col["vec"], m.dim), col["h1"].to_numpy(), col["h2"].to_numpy()
             if now[1] == 0:
-                group = _Group(m, k)
-                group.ask(*args)
-            elif group is not None:
-                group.meet(*args)
+                block = _Block(m, k, keep, exact, {"cell": col["cell"].to_numpy(), "x": x, "id": col["id"], "n": col["n"].to_numpy(), "h1": h1, "h2": h2, "code": np.frombuffer(b"".join(col["code"].to_pylist()), dtype=np.uint8).reshape(len(x), -1), "middle": col["middle"].to_numpy()})
+            elif block is not None:
+                yield block.result(names[now[0]], col["id"], col["n"], *block.answer(x, h1, h2))
 
         for b in batches:
             key = b.column(0).to_numpy().astype(np.int64) * 2 + b.column(1).to_numpy()
@@ -160,26 +254,29 @@ def class_neighbors(reps: DataFrame, known: dict[str, Shape], k: int, probe_shar
                 if lo == hi:
                     continue
                 at = (int(key[lo]) // 2, int(key[lo]) % 2)
-                if at != now or at[1] and sum(x.num_rows for x in held) >= block_rows:
-                    flush()
-                    if now and at[0] != now[0]:
-                        if group is not None:
-                            yield group.result(gids[now[0]])
-                        group = None
+                if at != now or at[1] and sum(x.num_rows for x in held) >= 8192:
+                    yield from flush()
+                    if now is None or at[0] != now[0]:
+                        block = None
                     now = at
                 held.append(b.slice(lo, hi - lo))
-        flush()
-        if group is not None:
-            yield group.result(gids[now[0]])
+        yield from flush()
 
-    rows = reps.select("collection", "id", "n", "vec").mapInArrow(index, "gid int, role int, cell int, id string, n long, vec binary, code binary, middle float")
-    return rows.repartitionById(len(gids), F.col("gid")).sortWithinPartitions("gid", "role", "cell", "id").mapInArrow(search, _RESULT)
+    rows = reps.select("collection", "id", "n", "vec", "h1", "h2").mapInArrow(index, "task int, role int, cell int, id string, n long, vec binary, h1 long, h2 long, code binary, middle float")
+    found = rows.repartitionById(total, F.col("task")).sortWithinPartitions("task", "role", "cell", "id").mapInArrow(search, _RESULT)
+    if len(gids) == len(models):
+        return found
+    # the blocks' results of a query together
+    z = F.transform(F.arrays_zip("nid", "nd", "nn"), lambda x: F.struct(x["nd"].alias("nd"), x["nid"].alias("nid"), x["nn"].alias("nn")))
+    met = found.select("collection", "id", "n", z.alias("z")).groupBy("collection", "id").agg(F.max("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("z"))), 1, k).alias("z"))
+    return met.select("collection", "id", "n", "z.nid", "z.nd", "z.nn")
 
 
 def neighbors(points: DataFrame, configs: DataFrame, k: int = 10, within: dict[str, float] | None = None, **tuning: float) -> DataFrame:
     """collection, id, neighbor, distance: for each usable point its k most similar others of its collection, with little loss.
 
-    within: a greatest distance for each metric; pairs beyond it are left out. Defined cases: unusable vectors neither
+    within: a greatest distance for each metric; pairs beyond it are left out. tuning: as class_neighbors() takes it; with exact=True the
+    result is exact. Defined cases: unusable vectors neither
     ask nor answer; of points loaded again the latest usable load counts; fewer than k others give all of them; of equal
     distances the smaller ids come first among copies of one vector; empty tables give no rows.
     """
@@ -188,7 +285,7 @@ def neighbors(points: DataFrame, configs: DataFrame, k: int = 10, within: dict[s
     several = small(copies(p), "copies")
     p = p.join(several, ["collection", "h1", "h2"], "left")
     reps = p.where("rep is null or rep = id").withColumn("n", F.coalesce("n", F.lit(1)))
-    found = stage(class_neighbors(reps, known, k, **tuning), "neighbors")
+    found = stage(class_neighbors(reps, known, k, within, **tuning), "neighbors")
     limits = [(c, s.metric, float(within[s.metric]) if within else float("inf")) for c, s in known.items()] or [("", "l2", 0.0)]
     metric = points.sparkSession.createDataFrame(limits, "collection string, metric string, limit double")
 

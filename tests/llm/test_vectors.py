@@ -58,7 +58,7 @@ def test_usable(plain):
 def test_neighbors(tables, plain):
     known, data = plain
     got = {}
-    for r in N.neighbors(*tables, k=5, probe_share=0.7, group_rows=150, block_rows=64).collect():
+    for r in N.neighbors(*tables, k=5, block_rows=90, query_rows=100).collect():
         got.setdefault((r["collection"], r["id"]), {})[r["neighbor"]] = r["distance"]
     hits = total = 0
     for c, (ids, x) in data.items():
@@ -113,7 +113,7 @@ def test_copies_of_a_short_vector_come_after_nearer_ones(spark):
 def test_best_and_tables_against_brute_force():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 24)).astype(np.float32)
-    m = ivfpq.train(x, "l2", len(x), 9.0, 20, 8, 1.0, 10_000)
+    m = ivfpq.train(x, "l2", len(x), 9.0, 20, 8, 10_000)
     cell = ivfpq.nearest(x, m.centroids)
     order = np.argsort(cell, kind="stable")
     x, cell = x[order], cell[order]
