@@ -7,12 +7,13 @@ Components are described by their size and their members of highest density. A g
 pieces of a leaf: parts whose centres are within reach of each other are one component before it is described.
 
 `isolated` then makes exact clusters: the densest members, and all density peaks, are asked against all rows of their collection, in
-blocks, and what they find must be mutually near and near to nothing else.
+blocks, and what they find must be mutually near and near to nothing else. What a leaf shows not to be so isn't asked.
 """
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -29,9 +30,11 @@ LEAF_ROWS = 6144  # most rows a local fit gets
 WANTED_ROWS = 1024  # rows of a leaf, about
 MAX_COMPONENTS = 256  # of one coarse mixture
 COARSE_ROUNDS, MAX_LEVELS = 3, 6
+FAN = 32  # partial sums added by one task
 LEAST = 3.0  # weight that a density peak needs within reach
 QUERY_BLOCK = 32_768  # representatives asked at once
-CHUNK = 8192  # members compared with as many hits by one task
+CHUNK = 8192  # members compared with as many others by one task
+SLABS = 4  # parts that one feature divides a leaf into
 
 
 def metric_rows(x: np.ndarray, metric: str) -> np.ndarray:
@@ -97,28 +100,64 @@ def by_collection(b: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
 
 def _summed(df: DataFrame, per_batch: object) -> dict[str, np.ndarray]:
     """Sums of the arrays that per_batch(collection, rows) yields as (key, array): a partition adds up what it has, then a key's
-    partial sums are added by one task."""
+    partial sums are added in a tree."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for c, part in by_collection(b):
                 for key, a in per_batch(c, part):
                     sums[key] = sums[key] + a if key in sums else a
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([a.astype("<f8").tobytes() for a in sums.values()], pa.binary())], names=["key", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([TaskContext.get().partitionId()] * len(sums), pa.int32()), pa.array([a.astype("<f8").tobytes() for a in sums.values()], pa.binary())], names=["key", "bucket", "sums"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.frombuffer(pdf.sums.iloc[0], dtype="<f8").copy()
         for s in pdf.sums.iloc[1:]:
             total += np.frombuffer(s, dtype="<f8")
-        return pd.DataFrame({"key": [pdf.key.iloc[0]], "sums": [total.tobytes()]})
+        return pd.DataFrame({"key": [pdf.key.iloc[0]], "bucket": pdf.bucket.iloc[:1].to_numpy(), "sums": [total.tobytes()]})
+
+    rows = df.mapInArrow(run, "key string, bucket int, sums binary")
+    buckets = df.rdd.getNumPartitions()
+    while True:  # a tree: FAN partitions' sums at a time
+        buckets = -(-buckets // FAN)
+        rows = rows.withColumn("bucket", F.floor(F.col("bucket") / FAN).cast("int")).groupBy("key", "bucket").applyInPandas(add, "key string, bucket int, sums binary")
+        if buckets <= 1:
+            break
+    return {r["key"]: np.frombuffer(r["sums"], dtype="<f8") for r in rows.collect()}
+
 
-    rows = df.mapInArrow(run, "key string, sums binary").groupBy("key").applyInPandas(add, "key string, sums binary").collect()
-    return {r["key"]: np.frombuffer(r["sums"], dtype="<f8") for r in rows}
+@dataclass
+class Cut:
+    """Divides a leaf in which mixtures find nothing to divide, along its widest features, so that what is near stays together."""
+
+    features: np.ndarray
+    edges: list[np.ndarray]
+
+    @classmethod
+    def of(cls, mean: np.ndarray, var: np.ndarray, pieces: int) -> "Cut":
+        """About `pieces` parts at the quantiles of a component's normal density, at most SLABS by one feature while features last."""
+        features, edges, left = [], [], pieces
+        for j in np.argsort(-var, kind="stable"):
+            if left <= 1:
+                break
+            last = len(features) == len(var) - 1
+            n = left if last else min(SLABS, left)
+            features.append(int(j))
+            edges.append(mean[j] + np.sqrt(var[j]) * np.array([NormalDist().inv_cdf(i / n) for i in range(1, n)]))
+            left = -(-left // n)
+        return cls(np.array(features, dtype=np.int64), edges)
+
+    def __call__(self, z: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(z), dtype=np.int64)
+        for j, e in zip(self.features, self.edges):
+            out = out * (len(e) + 1) + np.searchsorted(e, z[:, j])
+        return out
 
 
-def plant(reps: DataFrame, known: dict[str, Shape], within: dict[str, float]) -> tuple[dict[str, Tree], dict[tuple[str, str], int]]:
-    """The trees of coarse mixtures, and into how many pieces leaves are to be cut that are still too large.
+def plant(reps: DataFrame, known: dict[str, Shape], within: dict[str, float]) -> tuple[dict[str, Tree], dict[tuple[str, str], Cut]]:
+    """The trees of coarse mixtures, and how leaves are to be cut that are still too large.
 
     Only sums of statistics, one array a node, come to the driver. A node is divided while it has more than LEAF_ROWS rows and is
     not dense all over: a component no wider than the reach holds one group of near rows, which may be cut anywhere.
@@ -195,7 +234,7 @@ def plant(reps: DataFrame, known: dict[str, Shape], within: dict[str, float]) ->
                 if n > 0.8 * LEAF_ROWS:
                     dense = ms[best].var[k].sum() <= 0.75 * reach + G.FLOOR * ms[best].var.shape[1]
                     if dense or level == MAX_LEVELS - 1 or n > 0.8 * large[c, p]:
-                        pieces[c, f"{p}.{k}"] = int(-(-n // (LEAF_ROWS / 2)))
+                        pieces[c, f"{p}.{k}"] = Cut.of(ms[best].mean[k], ms[best].var[k], int(-(-n // (LEAF_ROWS / 2))))
                     else:
                         next_large[c, f"{p}.{k}"] = float(n)
         large = next_large
@@ -232,7 +271,8 @@ class Leaf:
 def fitted(reps: DataFrame, known: dict[str, Shape], within: dict[str, float], tell: Callable[[Leaf], pd.DataFrame], schema: str) -> DataFrame:
     """What tell says of each leaf. reps: collection, id, n, vec, h1.
 
-    Leaves larger than LEAF_ROWS, in which mixtures find nothing to divide, are cut by hash: their names end with the piece.
+    Leaves larger than LEAF_ROWS, in which mixtures find nothing to divide, are cut along their widest features: their names end
+    with the piece.
     """
     trees, pieces = plant(reps, known, within)
     shared = reps.sparkSession.sparkContext.broadcast((trees, pieces))
@@ -242,9 +282,13 @@ def fitted(reps: DataFrame, known: dict[str, Shape], within: dict[str, float], t
         for b in batches:
             for c, part in by_collection(b):
                 t = trees[c]
-                path = t.leaves(t.features(matrix(part.column(2), known[c].dim)))
-                cut = np.array([pieces.get((c, p), 1) for p in path])
-                leaf = [f"{p}/{h}" for p, h in zip(path, (part.column(4).to_numpy() >> 8) % cut)]
+                z = t.features(matrix(part.column(2), known[c].dim))
+                path = t.leaves(z)
+                piece = np.zeros(len(z), dtype=np.int64)
+                for p in set(path):
+                    if (c, p) in pieces:
+                        piece[path == p] = pieces[c, p](z[path == p])
+                leaf = [f"{p}/{i}" for p, i in zip(path, piece)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(leaf, pa.string()), part.column(1), part.column(2), part.column(3)], names=["collection", "leaf", "id", "vec", "n"])
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -261,9 +305,21 @@ def fitted(reps: DataFrame, known: dict[str, Shape], within: dict[str, float], t
 
 
 def candidates(reps: DataFrame, known: dict[str, Shape], within: dict[str, float]) -> DataFrame:
-    """collection, id, vec of each component's densest member and of each density peak, whether or not the criterion kept it."""
+    """collection, id, vec of each component's densest member and of each density peak, whether or not the criterion kept it; but not of
+    those whose rows within reach are seen, in the leaf alone, to be in no cluster by themselves: a row of the leaf is within reach of
+    one of them and not of the candidate."""
     def tell(f: Leaf) -> pd.DataFrame:
-        at = sorted({int(top[0]) for _, top in f.members()} | {int(i) for i in f.peaks})
+        at = np.array(sorted({int(top[0]) for _, top in f.members()} | {int(i) for i in f.peaks}), dtype=np.int64)
+        x = np.frombuffer(b"".join(f.vecs), dtype="<f4").reshape(-1, f.shape.dim)
+        limit, keep = within[f.shape.metric], np.ones(len(at), dtype=bool)
+        for lo in range(0, len(at), 512):
+            near = metric_distances(x[at[lo : lo + 512]], x, f.shape.metric) <= limit
+            for i, mine in enumerate(near):
+                rows = np.flatnonzero(mine)
+                for b in range(0, len(rows), 1024):
+                    if keep[lo + i]:
+                        keep[lo + i] = not ((metric_distances(x[rows[b : b + 1024]], x, f.shape.metric) <= limit) != mine[None, :]).any()
+        at = at[keep]
         return pd.DataFrame({"collection": [f.collection] * len(at), "id": f.ids[at], "vec": f.vecs[at]})
 
     return fitted(reps, known, within, tell, "collection string, id string, vec binary")
@@ -338,11 +394,8 @@ def together(told: DataFrame, known: dict[str, Shape], within: dict[str, float])
     return joined.join(whole.groupBy("collection", "leader").applyInPandas(middle, "collection string, leader string, middle binary"), ["collection", "leader"]).select("collection", "part", "leader", "middle")
 
 
-def hits(rows: DataFrame, asking: list[tuple[str, str, bytes]], known: dict[str, Shape], within: dict[str, float], outer: dict[str, float] | None = None) -> DataFrame:
-    """collection, rid, id, n, vec, inner: rows within reach of each asking row; with outer also those within twice its reach.
-
-    outer: the greatest norm of each collection. Under inner products, two rows within reach of each other are no further
-    apart than sqrt(2 * norm^2 + 2 * limit), as the other metrics' reach is one in Euclidean terms.
+def hits(rows: DataFrame, asking: list[tuple[str, str, bytes]], known: dict[str, Shape], within: dict[str, float]) -> DataFrame:
+    """collection, rid, id, n, vec: rows within reach of each asking row (collection, id, vec).
 
     A stated query set against all rows: the caller keeps it to one block of at most QUERY_BLOCK rows, which is broadcast.
     """
@@ -358,42 +411,153 @@ def hits(rows: DataFrame, asking: list[tuple[str, str, bytes]], known: dict[str,
                 if c not in shared.value:
                     continue
                 rids, q = shared.value[c]
-                metric, limit = known[c].metric, within[known[c].metric]
                 x = matrix(part.column(3), known[c].dim)
                 for i in range(0, len(q), 512):
-                    d = metric_distances(x, q[i : i + 512], metric)
-                    if outer is None:
-                        far = d <= limit
-                    elif metric == "innerProduct":
-                        x64, q64 = x.astype(np.float64), q[i : i + 512].astype(np.float64)
-                        sq = (x64 * x64).sum(1)[:, None] + (q64 * q64).sum(1)[None, :] + 2 * d
-                        far = (d <= limit) | (sq <= 8 * max(outer[c] ** 2 + limit, 0))
-                    else:
-                        far = d <= {"l2": 2 * limit, "l2Squared": 4 * limit, "cosine": 4 * limit}[metric]
-                    at, k = np.nonzero(far)
+                    at, k = near_pairs(x, q[i : i + 512], known[c].metric, within[known[c].metric])
                     if len(at):
                         t = pa.array(at)
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(t), pa.array([rids[i + j] for j in k]), part.column(1).take(t), part.column(2).take(t), part.column(3).take(t), pa.array(d[at, k] <= limit)], names=["collection", "rid", "id", "n", "vec", "inner"])
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(t), pa.array([rids[i + j] for j in k]), part.column(1).take(t), part.column(2).take(t), part.column(3).take(t)], names=["collection", "rid", "id", "n", "vec"])
+
+    return rows.select("collection", "id", "n", "vec").mapInArrow(run, "collection string, rid string, id string, n long, vec binary")
+
+
+def near_pairs(x: np.ndarray, q: np.ndarray, metric: str, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of x, rows of q) of the pairs within the limit: found in single precision with a margin, decided in double."""
+    a, b = metric_rows(x, metric), metric_rows(q, metric)
+    product = a @ b.T
+    if metric in ("innerProduct", "cosine"):
+        d, margin = -product if metric == "innerProduct" else 1 - product, 1e-5 * max(1.0, float(np.abs(product).max(initial=0)))
+        bound = limit
+    else:
+        top = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+        d, bound = top - 2 * product, limit**2 if metric == "l2" else limit
+        margin = 1e-5 * max(1.0, float(top.max(initial=0)))
+    at, k = np.nonzero(d <= bound + margin)
+    ok = one_to_one(x[at], q[k], metric) <= limit
+    return at[ok], k[ok]
 
-    return rows.select("collection", "id", "n", "vec").mapInArrow(run, "collection string, rid string, id string, n long, vec binary, inner boolean")
+
+def one_to_one(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """The distance of each row of a to the same row of b, as metric_distances has it."""
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    if metric == "innerProduct":
+        return -(a * b).sum(1)
+    if metric == "cosine":
+        return 1 - ((a / np.linalg.norm(a, axis=1, keepdims=True)) * (b / np.linalg.norm(b, axis=1, keepdims=True))).sum(1)
+    s = np.maximum((a * a).sum(1) + (b * b).sum(1) - 2 * (a * b).sum(1), 0)
+    return np.sqrt(s) if metric == "l2" else s
 
 
-def blocks(df: DataFrame, size: int = QUERY_BLOCK) -> Iterator[list[tuple[str, str, bytes]]]:
-    """collection, id and vec of df, in blocks of about `size` rows; one block is on the driver at a time."""
+def blocks(df: DataFrame, size: int = QUERY_BLOCK, columns: tuple[str, ...] = ("collection", "id", "vec")) -> Iterator[list[tuple]]:
+    """The columns of df, in blocks of about `size` rows; one block is on the driver at a time."""
     n = df.count()
     parts = max(1, -(-n // size))
     for i in range(parts):
-        yield [tuple(r) for r in df.where(F.pmod(F.xxhash64("collection", "id"), F.lit(parts)) == i).select("collection", "id", "vec").collect()]
+        yield [tuple(r) for r in df.where(F.pmod(F.xxhash64("collection", "id"), F.lit(parts)) == i).select(*columns).collect()]
+
+
+def read(vecs: pd.Series, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(vecs), dtype="<f4").reshape(-1, dim)
+
+
+def agreeing(met: DataFrame, known: dict[str, Shape], within: dict[str, float]) -> DataFrame:
+    """collection, rid, size (rows), sum, far: of the sets met (collection, rid, id, vec) those of which any two rows are within reach.
+
+    sum is that of the rows as metric_rows() has them, far the greatest distance of one to their mean. Sets of more than CHUNK rows
+    are taken in parts of that many: first each part by itself, which refuses most, then parts with each other, unless all rows are
+    so near to the mean that any two are near.
+    """
+    def within_part(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        shape = known[key[0]]
+        x = read(pdf.vec, shape.dim)
+        ok = all((metric_distances(x[i : i + 1024], x, shape.metric) <= within[shape.metric]).all() for i in range(0, len(x), 1024))
+        rows = metric_rows(x, shape.metric).astype(np.float64)
+        far = float(np.sqrt(((rows - rows.mean(0)) ** 2).sum(1).max()))
+        return pd.DataFrame({"collection": [key[0]], "rid": [key[1]], "size": [len(x)], "sum": [rows.sum(0).astype("<f8").tobytes()], "far": [far], "ok": [ok]})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = np.sum([np.frombuffer(b, dtype="<f8") for b in pdf["sum"]], axis=0)
+        return pd.DataFrame({"collection": pdf.collection[:1], "rid": pdf.rid[:1], "size": [int(pdf["size"].sum())], "sum": [s.tobytes()], "far": [float("nan")]})
+
+    def far_of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = metric_rows(read(pdf.vec, known[key[0]].dim), known[key[0]].metric).astype(np.float64)
+        mean = np.frombuffer(pdf["sum"].iloc[0], dtype="<f8") / pdf["size"].iloc[0]
+        return pd.DataFrame({"collection": [key[0]], "rid": [key[1]], "far": [float(np.sqrt(((rows - mean) ** 2).sum(1).max()))]})
+
+    def between(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        shape = known[key[0]]
+        a, b = read(pdf.vec[pdf.left], shape.dim), read(pdf.vec[~pdf.left], shape.dim)
+        wrong = any((metric_distances(a[i : i + 1024], b, shape.metric) > within[shape.metric]).any() for i in range(0, len(a), 1024))
+        return pd.DataFrame({"collection": [key[0]], "rid": [key[1]], "wrong": [wrong]})
+
+    kind = "collection string, rid string, size long, sum binary, far double"
+    sizes = met.groupBy("collection", "rid").agg(F.count(F.lit(1)).alias("all"))
+    cut = met.join(sizes.withColumn("parts", F.ceil(F.col("all") / CHUNK).cast("int")), ["collection", "rid"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    first = stage(cut.groupBy("collection", "rid", "part").applyInPandas(within_part, f"{kind}, ok boolean"), "parts")
+    refused = first.where("not ok").select("collection", "rid").distinct()
+    good = first.join(refused, ["collection", "rid"], "left_anti").drop("ok")
+    n = good.groupBy("collection", "rid").agg(F.count(F.lit(1)).alias("parts"))
+    good = good.join(n, ["collection", "rid"])
+    one, more = good.where("parts = 1").drop("parts"), stage(good.where("parts > 1").drop("parts").groupBy("collection", "rid").applyInPandas(added, kind), "large")
+    if more.isEmpty():
+        return one
+    large = cut.join(F.broadcast(more.drop("far")), ["collection", "rid"])
+    far = large.select("collection", "rid", "part", "vec", "sum", "size").groupBy("collection", "rid", "part").applyInPandas(far_of, "collection string, rid string, far double").groupBy("collection", "rid").agg(F.max("far").alias("far"))
+    more = stage(more.drop("far").join(far, ["collection", "rid"]), "large-far")
+    reach = more.sparkSession.createDataFrame([(c, float("-inf") if s.metric == "innerProduct" else squared_reach(within[s.metric], s.metric) ** 0.5) for c, s in known.items()], "collection string, reach double")
+    unsure = cut.join(more.join(F.broadcast(reach), "collection").where("2 * far > reach").select("collection", "rid"), ["collection", "rid"], "left_semi")
+    left = unsure.select("collection", "rid", F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(True).alias("left"), "vec").where("i < j")
+    right = unsure.select("collection", "rid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("part").alias("j"), F.lit(False).alias("left"), "vec").where("i < j")
+    wrong = left.unionByName(right).groupBy("collection", "rid", "i", "j").applyInPandas(between, "collection string, rid string, wrong boolean").where("wrong").select("collection", "rid").distinct()
+    return one.unionByName(more.join(wrong, ["collection", "rid"], "left_anti").select(*one.columns))
+
+
+def strangers(rows: DataFrame, asking: list, known: dict[str, Shape], within: dict[str, float]) -> DataFrame:
+    """collection, rid, vec of the rows that aren't within reach of the asking row but could be of a member of its set, as far as the set's
+    mean and its greatest distance to it tell. asking: rows (collection, rid, vec of the asking row, mean, far)."""
+    by: dict[str, tuple] = {}
+    for c in {a[0] for a in asking}:
+        mine = [a for a in asking if a[0] == c]
+        by[c] = ([a[1] for a in mine], np.frombuffer(b"".join(bytes(a[2]) for a in mine), dtype="<f4").reshape(-1, known[c].dim), np.array([np.frombuffer(a[3], dtype="<f8") for a in mine]).astype(np.float32), np.array([a[4] for a in mine]))
+    shared = rows.sparkSession.sparkContext.broadcast(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c, part in by_collection(b):
+                if c not in shared.value:
+                    continue
+                rids, q, mean, far = shared.value[c]
+                metric, limit = known[c].metric, within[known[c].metric]
+                x = matrix(part.column(3), known[c].dim)
+                a = metric_rows(x, metric)
+                sq = (a * a).sum(1)
+                for i in range(0, len(q), 512):
+                    m, f = mean[i : i + 512], far[i : i + 512]
+                    product = a @ m.T
+                    if metric == "innerProduct":
+                        could = -product - np.sqrt(sq)[:, None] * f[None, :] <= limit + 1e-5 * (1 + np.abs(product).max(initial=0))
+                    else:
+                        top = sq[:, None] + (m * m).sum(1)[None, :]
+                        could = top - 2 * product <= (f[None, :] + squared_reach(limit, metric) ** 0.5) ** 2 + 1e-5 * (1 + top.max(initial=0))
+                    at, k = np.nonzero(could)
+                    out = one_to_one(x[at], q[i + k], metric) > limit
+                    at, k = at[out], k[out]
+                    if len(at):
+                        t = pa.array(at)
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(t), pa.array([rids[i + j] for j in k]), part.column(1).take(t), part.column(3).take(t)], names=["collection", "rid", "id", "vec"])
+
+    return rows.select("collection", "id", "n", "vec").mapInArrow(run, "collection string, rid string, id string, vec binary")
 
 
 def isolated(points: DataFrame, configs: DataFrame, within: dict[str, float], least: int = 12) -> DataFrame:
     """collection, cluster_id, id: clusters of at least `least` points, any two within the metric's distance and no other point of
     the collection that near to any of them; cluster_id is the smallest id.
 
-    Candidates are the components' densest members and all density peaks; of candidates near to each other one is asked (in a cluster all are near
-    to each other, so none is lost). Every row of the collection is compared with them, and within a candidate's hits all members
-    with all hits, in chunks. Identical vectors are one row with a weight. Unusable vectors are in no cluster; of points loaded
-    again the latest usable load counts; empty tables and collections give nothing.
+    Candidates are the components' densest members and all density peaks, but for those that their leaf refuses; of candidates near to each
+    other one is asked (in a cluster all are near to each other, so none is lost). Every row of the collection is compared with them: what is
+    within reach is the set, of which any two rows must be near. Every row is then compared with the sets' means: what could be
+    near to a member, and isn't near to the candidate, is compared with the members. Identical vectors are one row with a weight. Unusable
+    vectors are in no cluster; of points loaded again the latest usable load counts; empty tables and collections give nothing.
     """
     known = shapes(configs)
     p = usable(points, known)
@@ -407,29 +571,38 @@ def isolated(points: DataFrame, configs: DataFrame, within: dict[str, float], le
         lost = near if lost is None else lost.unionByName(near)
     asking = stage(found.join(lost.distinct(), ["collection", "id"], "left_anti"), "asking")
 
-    met, norms = None, {r[0]: r[1] for r in reps.groupBy("collection").agg(F.max("norm")).collect()}
-    for block in blocks(asking):
-        h = hits(reps, block, known, within, norms)
+    met = None
+    for block in blocks(asking):  # staged one by one, so that one block is broadcast at a time
+        h = stage(hits(reps, block, known, within), "hits")
         met = h if met is None else met.unionByName(h)
-    met = stage(met, "hits")
-    sums = met.groupBy("collection", "rid").agg(F.sum(F.col("inner").cast("long") * F.col("n")).alias("size"), F.count_if("inner").alias("inners"), F.count(F.lit(1)).alias("all"))
-    sums = sums.where((F.col("size") >= least)).withColumn("a", F.ceil(F.col("inners") / CHUNK).cast("int")).withColumn("b", F.ceil(F.col("all") / CHUNK).cast("int"))
-    met = met.join(sums, ["collection", "rid"])
-    one = met.where("inner").select("collection", "rid", F.pmod(F.xxhash64("id"), "a").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("j"), F.lit(True).alias("left"), "inner", "vec")
-    other = met.select("collection", "rid", F.explode(F.sequence(F.lit(0), F.col("a") - 1)).alias("i"), F.pmod(F.xxhash64("id"), "b").cast("int").alias("j"), F.lit(False).alias("left"), "inner", "vec")
-
-    def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    sizes = met.groupBy("collection", "rid").agg(F.sum("n").alias("weight")).where(F.col("weight") >= least)
+    met = stage(met.join(sizes.select("collection", "rid"), ["collection", "rid"], "left_semi"), "sets")
+
+    sets = stage(agreeing(met, known, within).join(asking.select("collection", F.col("id").alias("rid"), "vec"), ["collection", "rid"]), "agreeing")
+
+    @F.pandas_udf("binary")
+    def mean(s: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([(np.frombuffer(a, dtype="<f8") / k).astype("<f8").tobytes() for a, k in zip(s, n)], dtype=object)
+
+    others = None
+    for block in blocks(sets.select("collection", F.col("rid").alias("id"), "vec", mean("sum", "size").alias("mean"), "far"), columns=("collection", "id", "vec", "mean", "far")):
+        h = stage(strangers(reps, block, known, within), "strangers")
+        others = h if others is None else others.unionByName(h)
+    # a set's members, and the rows that could be near to them, in parts of CHUNK rows
+    count = lambda df, name: df.groupBy("collection", "rid").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias(name))
+    both = count(others, "b").join(count(met, "a"), ["collection", "rid"])
+    mine, theirs = met.join(both, ["collection", "rid"]), others.join(both, ["collection", "rid"])
+    left = mine.select("collection", "rid", F.pmod(F.xxhash64("id"), "a").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("j"), F.lit(True).alias("left"), "vec")
+    right = theirs.select("collection", "rid", F.explode(F.sequence(F.lit(0), F.col("a") - 1)).alias("i"), F.pmod(F.xxhash64("id"), "b").cast("int").alias("j"), F.lit(False).alias("left"), "vec")
+
+    def near_one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         shape = known[key[0]]
-        read = lambda s: np.frombuffer(b"".join(s), dtype="<f4").reshape(-1, shape.dim)
-        left = read(pdf.vec[pdf.left])
-        right, inner = read(pdf.vec[~pdf.left]), pdf.inner[~pdf.left].to_numpy()
-        wrong = False
-        for i in range(0, len(left), 1024):
-            wrong = wrong or bool(((metric_distances(left[i : i + 1024], right, shape.metric) <= within[shape.metric]) != inner[None, :]).any())
+        a, b = read(pdf.vec[pdf.left], shape.dim), read(pdf.vec[~pdf.left], shape.dim)
+        wrong = any((metric_distances(a[i : i + 1024], b, shape.metric) <= within[shape.metric]).any() for i in range(0, len(a), 1024))
         return pd.DataFrame({"collection": [key[0]], "rid": [key[1]], "wrong": [wrong]})
 
-    wrong = one.unionByName(other).groupBy("collection", "rid", "i", "j").applyInPandas(verify, "collection string, rid string, wrong boolean").where("wrong").select("collection", "rid").distinct()
-    good = met.where("inner").select("collection", "rid", "id").join(stage(wrong, "wrong"), ["collection", "rid"], "left_anti")
+    wrong = left.unionByName(right).groupBy("collection", "rid", "i", "j").applyInPandas(near_one, "collection string, rid string, wrong boolean").where("wrong").select("collection", "rid").distinct()
+    good = met.select("collection", "rid", "id").join(sets.select("collection", "rid").join(stage(wrong, "wrong"), ["collection", "rid"], "left_anti"), ["collection", "rid"])
     good = good.join(good.groupBy("collection", "rid").agg(F.min("id").alias("cluster_id")), ["collection", "rid"])
     members = p.where("rep is not null").select("collection", F.col("rep").alias("id"), F.col("id").alias("copy"))
     return good.join(members, ["collection", "id"], "left").select("collection", "cluster_id", F.coalesce("copy", "id").alias("id")).distinct()

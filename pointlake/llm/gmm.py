@@ -114,16 +114,28 @@ def fit_local(z: Array, w: Array, reach: float, least: float, rounds: int = ROUN
     mu = (w @ z) / total
     broad_var = (w @ (z - mu) ** 2) / total + FLOOR
     peaks = density_peaks(z, w, reach, least)
-    best = None
-    for k in sorted({0, len(peaks) // 4, len(peaks) // 2, len(peaks)}):
-        m = Mixture(np.full(k + 1, 1 / (k + 1)), np.concatenate([z[peaks[:k]], mu[None]]), np.concatenate([np.full((k, d), reach / (2 * d) + FLOOR), broad_var[None]]))
-        for _ in range(rounds if k else 1):
-            m, _ = maximised(statistics(m, z, w), k + 1)
-            m = spherical(m)
-        ll = float((posteriors(m.log_joint(z))[1] * w).sum())
-        score = (k * (d + 2) + 2 * d) * np.log(max(total, 2)) - 2 * ll
-        if best is None or score < best[0]:
-            best = (score, m)
+    tried: dict[int, tuple[float, Mixture]] = {}
+
+    def score(k: int) -> float:
+        if k not in tried:
+            m = Mixture(np.full(k + 1, 1 / (k + 1)), np.concatenate([z[peaks[:k]], mu[None]]), np.concatenate([np.full((k, d), reach / (2 * d) + FLOOR), broad_var[None]]))
+            for _ in range(rounds if k else 1):
+                m, _ = maximised(statistics(m, z, w), k + 1)
+                m = spherical(m)
+            ll = float((posteriors(m.log_joint(z))[1] * w).sum())
+            tried[k] = (k * (d + 2) + 2 * d) * np.log(max(total, 2)) - 2 * ll, m
+        return tried[k][0]
+
+    for k in {0, len(peaks) // 2, len(peaks)}:
+        score(k)
+    step = len(peaks) // 4
+    while step >= max(1, len(peaks) // 16):  # the best so far and what lies a step around it; the step halves
+        at_best = min(tried, key=lambda k: tried[k][0])
+        for k in (at_best - step, at_best + step):
+            if 0 <= k <= len(peaks):
+                score(k)
+        step //= 2
+    best = tried[min(tried, key=lambda k: (tried[k][0], k))]
     joint = best[1].log_joint(z)
     at = joint.argmax(1)
     return best[1], at, joint[np.arange(len(z)), at], peaks
