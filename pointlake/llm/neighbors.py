@@ -161,15 +161,19 @@ class _Block:
                 out_at[at, : d.shape[1]] = rows
         return out_d, out_at
 
-    def result(self, collection: str, ids: pa.Array, n: pa.Array, d: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        ok = np.isfinite(d)
+    def result(self, collection: str, ids: pa.Array, n: pa.Array, d: np.ndarray, at: np.ndarray, limit: float) -> pa.RecordBatch:
+        """One row for each query that has neighbours within the limit."""
+        ok = np.isfinite(d) & (d <= limit)
+        some = np.flatnonzero(ok.any(axis=1))
+        ids, n, d, at, ok = ids.take(pa.array(some)), n.take(pa.array(some)), d[some], at[some], ok[some]
         ends = pa.array(np.concatenate([[0], np.cumsum(ok.sum(1))]).astype(np.int32))
         lists = [pa.ListArray.from_arrays(ends, v) for v in (self.ids.take(pa.array(at[ok])), pa.array(d[ok]), pa.array(self.n[at[ok]]))]
         return pa.RecordBatch.from_arrays([pa.array([collection] * len(ids), pa.string()), ids, n, *lists], names=["collection", "id", "n", "nid", "nd", "nn"])
 
 
 def class_neighbors(reps: DataFrame, known: dict[str, Shape], k: int, within: dict[str, float] | None = None, probe_share: float | None = None, recall: float = RECALL, keep: int = KEEP, exact: bool = False, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """collection, id, n and up to k nearest other representatives (nid, nd, nn) of each row of reps (collection, id, n, vec, h1, h2, norm).
+    """collection, id, n and up to k nearest other representatives (nid, nd, nn) of each row of reps (collection, id, n, vec, h1, h2, norm)
+    that has any.
 
     within: by metric, a distance beyond which neighbours aren't wanted. probe_share: a share of the rows to ask instead of the
     measured one. exact: every row is compared with all rows of its collection by vector.
@@ -195,7 +199,7 @@ def class_neighbors(reps: DataFrame, known: dict[str, Shape], k: int, within: di
     for c in sorted(models):
         first[c] = total
         total += models[c].blocks * parts[c]
-    shared = spark.sparkContext.broadcast(models)
+    shared, limit = spark.sparkContext.broadcast(models), within or {}
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
@@ -208,7 +212,6 @@ def class_neighbors(reps: DataFrame, known: dict[str, Shape], k: int, within: di
                 code, middle = m.encode(p, cell)
                 mine = m.block[cell] + (h >> 7) % m.pieces[cell]
                 near = I.nearest(q, m.centroids) if m.metric == "innerProduct" else cell
-                out = [(np.repeat(np.arange(len(x)), tasks), np.repeat(mine, tasks) * tasks + np.tile(np.arange(tasks), len(x)), 0)]
                 asked = np.zeros((len(x), m.blocks), dtype=bool)
                 for lo in range(0, len(x), 2048):
                     hit = m.probes(q[lo : lo + 2048])
@@ -217,16 +220,20 @@ def class_neighbors(reps: DataFrame, known: dict[str, Shape], k: int, within: di
                     any_ = np.logical_or.reduceat(hit[:, order], starts[1], axis=1)
                     for j, b0 in enumerate(starts[0]):
                         asked[lo : lo + 2048, b0 : b0 + m.pieces[m.block == b0].max()] |= any_[:, j, None]
+                # a row also asks where it lies: there it isn't sent again
+                all_, here = np.arange(len(x)), near * 31 % tasks
+                own = np.where(asked[all_, mine], mine * tasks + here, -1)
+                asked[all_, mine] = False
                 rows, block = np.nonzero(asked)
-                out.append((rows, block * tasks + near[rows] * 31 % tasks if tasks > 1 else block, 1))
+                out = [(np.repeat(all_, tasks), np.repeat(mine, tasks) * tasks + np.tile(np.arange(tasks), len(x)), 0), (rows, block * tasks + here[rows], 1)]
                 for rows, task, role in out:
                     for lo in range(0, len(rows), 16_384):
                         r = rows[lo : lo + 16_384]
-                        t, none = pa.array(r), pa.nulls(len(r), pa.binary())
+                        t, none, at = pa.array(r), pa.nulls(len(r), pa.binary()), task[lo : lo + 16_384]
                         yield pa.RecordBatch.from_arrays([
-                            pa.array((first[c] + task[lo : lo + 16_384]).astype(np.int32)), pa.array(np.full(len(r), role, np.int32)), pa.array((near if role else cell)[r].astype(np.int32)),
+                            pa.array((first[c] + at).astype(np.int32)), pa.array(np.full(len(r), role, np.int32)), pa.array((near if role else cell)[r].astype(np.int32)), pa.array(own[r] == at),
                             *[part.column(i).take(t) for i in (1, 2, 3, 4, 5)], none if role else pa.array([code[i].tobytes() for i in r], pa.binary()), pa.array(middle[r])],
-                            names=["task", "role", "cell", "id", "n", "vec", "h1", "h2", "code", "middle"])
+                            names=["task", "role", "cell", "asks", "id", "n", "vec", "h1", "h2", "code", "middle"])
 
     names = [c for c in sorted(models) for _ in range(models[c].blocks * parts[c])]
 
@@ -242,10 +249,13 @@ def class_neighbors(reps: DataFrame, known: dict[str, Shape], k: int, within: di
             m = models[names[now[0]]]
             col = {name: t.column(name).chunk(0) for name in t.column_names}
             x, h1, h2 = matrix(col["vec"], m.dim), col["h1"].to_numpy(), col["h2"].to_numpy()
+            asks = slice(None)
             if now[1] == 0:
                 block = _Block(m, k, keep, exact, {"cell": col["cell"].to_numpy(), "x": x, "id": col["id"], "n": col["n"].to_numpy(), "h1": h1, "h2": h2, "code": np.frombuffer(b"".join(col["code"].to_pylist()), dtype=np.uint8).reshape(len(x), -1), "middle": col["middle"].to_numpy()})
-            elif block is not None:
-                yield block.result(names[now[0]], col["id"], col["n"], *block.answer(x, h1, h2))
+                asks = np.flatnonzero(col["asks"].to_numpy(zero_copy_only=False))
+            if block is not None:
+                t = pa.array(np.arange(len(x))[asks])
+                yield block.result(names[now[0]], col["id"].take(t), col["n"].take(t), *block.answer(x[asks], h1[asks], h2[asks]), limit.get(m.metric, np.inf))
 
         for b in batches:
             key = b.column(0).to_numpy().astype(np.int64) * 2 + b.column(1).to_numpy()
@@ -262,7 +272,7 @@ def class_neighbors(reps: DataFrame, known: dict[str, Shape], k: int, within: di
                 held.append(b.slice(lo, hi - lo))
         yield from flush()
 
-    rows = reps.select("collection", "id", "n", "vec", "h1", "h2").mapInArrow(index, "task int, role int, cell int, id string, n long, vec binary, h1 long, h2 long, code binary, middle float")
+    rows = reps.select("collection", "id", "n", "vec", "h1", "h2").mapInArrow(index, "task int, role int, cell int, asks boolean, id string, n long, vec binary, h1 long, h2 long, code binary, middle float")
     found = rows.repartitionById(total, F.col("task")).sortWithinPartitions("task", "role", "cell", "id").mapInArrow(search, _RESULT)
     if len(gids) == len(models):
         return found
