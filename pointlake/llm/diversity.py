@@ -4,8 +4,11 @@ A row's features are its vector and, if a payload field shall vary too, indicato
 value. They are held sparse, numbered anew in each set of rows that is pivoted: only whether two rows' values are equal
 matters, so no dictionary of the whole field is needed. Pivoted QR takes, again and again, the row with the greatest part
 outside the span of those taken: rows similar to a taken one have little left, however many they are. In a tournament every batch and partition nominates its pivots, and nominees meet
-in a tree, FAN at a time, where they are pivoted anew. One such round gives at most as many rows as there are independent
-features; the next round runs on deflated rows, each scaled by its distance to what has been taken, until all are chosen.
+in a tree, FAN at a time, where they are pivoted anew. One round of pivots gives at most as many rows as there are independent
+features; the next runs on deflated rows, each scaled by its distance to what has been taken. Every batch, partition and meeting goes on with
+rounds until it has as many nominees as are wanted, so that one pass over the points gives up to MOST_PIVOTS picks.
+
+`cover` tells of each point which pick stands for it and how far it is: what a subset leaves out.
 """
 from __future__ import annotations
 
@@ -19,12 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointlake.llm.ivfpq import flat
 from pointlake.llm.vectors import Shape, matrix, shapes, usable
+from pointlake.session import stage
 
 VALUE_WEIGHT = 0.5  # length of a row's value indicators, against that of its vector
 FAN = 8
-MOST_PIVOTS = 2048  # rows that one round takes; more take several rounds
-MOST_ROWS = 12_288  # rows pivoted at once
+MOST_PIVOTS = 2048  # picks of one pass; more take several passes
+MOST_ROWS = 8192  # rows pivoted at once
+PICK_BYTES = 32 << 20  # of the vectors of picks that are broadcast at once, about
 MAX_REQUESTS = 10_000
 EPS = 1e-6
 
@@ -124,6 +130,22 @@ def pivots(a: np.ndarray, ids: np.ndarray, most: int, values: Indicators | None
     return [int(order[i]) for i in out]
 
 
+def rounds(x: np.ndarray, ids: np.ndarray, most: int, values: Indicators | None, taken: np.ndarray) -> list[int]:
+    """Rows in the order of choice, at most `most`: pivots of rows deflated by what is taken, round after round. Rows equal to what is
+    taken are never chosen."""
+    out: list[int] = []
+    by, free = nearness(x, taken), np.ones(len(x), dtype=bool)
+    while len(out) < most:
+        scale = np.where(free, by, 0)
+        best = pivots(x * scale[:, None], ids, most - len(out), values and values.scaled(scale))
+        if not best:
+            break
+        out += best
+        free[best] = False
+        by = np.minimum(by, nearness(x, x[best]))
+    return out
+
+
 class _Pool:
     """Nominees of one request."""
 
@@ -140,17 +162,18 @@ class _Pool:
 
     def add(self, rows: list[tuple[str, bytes, list | None]]) -> None:
         rows = [r for r in rows if r[0] not in self.gone]
-        step = max(1, MOST_ROWS - self.most)
-        for lo in range(0, len(rows), step):
-            self.rows += rows[lo : lo + step]
-            x, values = self._features([r[1] for r in self.rows], [r[2] for r in self.rows])
-            by = nearness(x, self.taken)
-            best = pivots(x * by[:, None], np.array([r[0] for r in self.rows], dtype=object), self.most, values and values.scaled(by))
-            self.rows = [self.rows[i] for i in best]
+        for lo in range(0, len(rows), MOST_ROWS):
+            self.rows += rows[lo : lo + MOST_ROWS]
+            if len(self.rows) > max(self.most, MOST_ROWS):
+                self.choose()
+
+    def choose(self) -> None:
+        x, values = self._features([r[1] for r in self.rows], [r[2] for r in self.rows])
+        self.rows = [self.rows[i] for i in rounds(x, np.array([r[0] for r in self.rows], dtype=object), self.most, values, self.taken)]
 
 
 def _round(p: DataFrame, requests: dict[int, Request], known: dict[str, Shape], taken: dict[int, list]) -> list:
-    """The nominees that win one tournament, in the order of their pivots."""
+    """The nominees that win one tournament, in the order of choice."""
     spark = p.sparkSession
     open_ = {r: q for r, q in requests.items() if len(taken[r]) < q.size}
     shared = spark.sparkContext.broadcast({r: taken[r] for r in open_})
@@ -170,12 +193,14 @@ def _round(p: DataFrame, requests: dict[int, Request], known: dict[str, Shape],
                     part = b.take(pa.array(at))
                     pools.setdefault(r, pool(r)).add(list(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist())))
         for r, x in pools.items():
+            x.choose()
             if x.rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r] * len(x.rows), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(x.rows), pa.int32()), pa.array([t[0] for t in x.rows]), pa.array([t[1] for t in x.rows], pa.binary()), pa.array([t[2] for t in x.rows], pa.list_(pa.list_(pa.string())))], names=["request", "bucket", "id", "vec", "carry"])
 
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pool(key[0])
         x.add([(i, v, None if c is None else [None if y is None else list(y) for y in c]) for i, v, c in zip(pdf.id, pdf.vec, pdf.carry)])
+        x.choose()
         return pd.DataFrame({"request": pd.Series([key[0]] * len(x.rows), dtype="int32"), "bucket": pd.Series([key[1]] * len(x.rows), dtype="int32"), "id": [t[0] for t in x.rows], "vec": [t[1] for t in x.rows], "carry": [t[2] for t in x.rows]})
 
     source = p.select("collection", "id", "vec", "carry")
@@ -227,6 +252,48 @@ def varied(points: DataFrame, configs: DataFrame, requests: DataFrame) -> DataFr
     return chosen.unionByName(rest.select("request_id", "collection", "id", (F.col("have") + F.col("i")).cast("int").alias("pick")))
 
 
+def cover(points: DataFrame, configs: DataFrame, picks: DataFrame) -> DataFrame:
+    """request_id, collection, id, pick_id, distance: of each usable point the nearest pick of each request of its collection.
+
+    picks: request_id, collection, id, as varied() gives them. Defined cases: of picks at an equal distance (to nine places) the smallest id
+    stands; picks without a usable vector cover nothing; a request without usable picks gives no rows; points loaded again are one.
+    """
+    known = shapes(configs)
+    p = usable(points, known)
+    chosen = stage(picks.select("request_id", "collection", "id").distinct().join(p.select("collection", "id", "vec"), ["collection", "id"]), "picks")
+    total = chosen.agg(F.sum(F.length("vec") + 64).alias("bytes")).first()["bytes"] or 0
+    parts, kind, out = max(1, -(-total // PICK_BYTES)), picks.schema["request_id"].dataType.simpleString(), None
+    for i in range(parts):
+        by: dict[tuple, list] = {}
+        for r in chosen.where(F.pmod(F.xxhash64("collection", "id"), F.lit(parts)) == i).collect():
+            by.setdefault((r["collection"], r["request_id"]), []).append((r["id"], bytes(r["vec"])))
+        shared = p.sparkSession.sparkContext.broadcast({k: ([x[0] for x in sorted(v)], np.frombuffer(b"".join(x[1] for x in sorted(v)), dtype="<f4").reshape(-1, known[k[0]].dim)) for k, v in by.items()})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                coll = np.array(b.column(0).to_pylist(), dtype=object)
+                for (c, request), (ids, q) in shared.value.items():
+                    at = np.flatnonzero(coll == c)
+                    for lo in range(0, len(at), 4096):
+                        t = pa.array(at[lo : lo + 4096])
+                        d = np.round(flat(known[c].metric, matrix(b.column(2).take(t), known[c].dim), q), 9)
+                        best = d.argmin(1)  # the first: the smallest id
+                        yield pa.RecordBatch.from_arrays([pa.array([request] * len(t)).cast(request_type), b.column(0).take(t), b.column(1).take(t), pa.array([ids[j] for j in best]), pa.array(d[np.arange(len(t)), best] + 0.0)], names=["request_id", "collection", "id", "pick_id", "distance"])
+
+        request_type = pa.int64() if kind == "bigint" else pa.int32()
+        hit = p.select("collection", "id", "vec").mapInArrow(run, f"request_id {kind}, collection string, id string, pick_id string, distance double")
+        out = hit if out is None else out.unionByName(hit)
+    if parts == 1:
+        return out
+    return out.groupBy("request_id", "collection", "id").agg(F.min(F.struct("distance", "pick_id")).alias("m")).select("request_id", "collection", "id", "m.pick_id", "m.distance")
+
+
+def covered(points: DataFrame, configs: DataFrame, picks: DataFrame) -> DataFrame:
+    """request_id, collection, pick_id, members, radius (of the farthest), mean (distance): what each usable pick stands for."""
+    c = cover(points, configs, picks)
+    return c.groupBy("request_id", "collection", "pick_id").agg(F.count(F.lit(1)).alias("members"), F.max("distance").alias("radius"), F.avg("distance").alias("mean"))
+
+
 def _values(at: Column) -> Column:
     """The values of a payload field as tagged strings; missing fields and nulls have none."""
     one = F.coalesce(at["b"].cast("string"), at["i"].cast("string"), at["d"].cast("string"), at["s"])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointlake.llm import clusters, diversity, mixing, neighbors, residue, tokens
-from pointlake.session import table
+from pointlake.session import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -106,3 +106,31 @@ def p4_members(spark: SparkSession, d: str) -> DataFrame:
 @query("p2_subset")
 def p2_subset(spark: SparkSession, d: str) -> DataFrame:
     return diversity.varied(table(spark, d, "points"), table(spark, d, "collection_configs"), table(spark, d, "subset_requests"))
+
+
+@query("p2_coverage")
+def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
+    points, configs = table(spark, d, "points"), table(spark, d, "collection_configs")
+    return diversity.cover(points, configs, p2_subset(spark, d))
+
+
+@query("p2_covered", """WITH u AS (SELECT DISTINCT p.collection, p.id FROM points p JOIN collection_configs c ON c.name = p.collection
+      WHERE len(p.vector) = c.dimension AND list_bool_and(list_transform(p.vector, lambda x: coalesce(isfinite(x), false))) AND list_bool_or(list_transform(p.vector, lambda x: x <> 0))),
+    n AS (SELECT collection, count(*) AS n FROM u GROUP BY ALL), a AS (SELECT collection, count(DISTINCT id) AS n FROM points GROUP BY ALL)
+    SELECT request_id, r.collection, n.n AS points, least(subset_size, a.n) AS picks FROM subset_requests r JOIN n ON n.collection = r.collection JOIN a ON a.collection = r.collection""")
+def p2_covered(spark: SparkSession, d: str) -> DataFrame:
+    """Of each request: how many points its picks cover (all usable ones), and how many picks there are (as many as asked for)."""
+    picks = stage(p2_subset(spark, d), "picks")
+    cover = diversity.cover(table(spark, d, "points"), table(spark, d, "collection_configs"), picks)
+    points = cover.groupBy("request_id", "collection").agg(F.countDistinct("id").alias("points"))
+    return points.join(picks.groupBy("request_id").agg(F.countDistinct("id").alias("picks")), "request_id")
+
+
+@query("p2_nearest_pick", f"""WITH {_USABLE},
+    k AS (SELECT collection, a AS id, b AS pick_id, round(distance, 9) AS distance FROM d WHERE try_cast(b[-6:] AS BIGINT) % 50 = 0)
+    SELECT 1 AS request_id, collection, id, arg_min(pick_id, (distance, pick_id)) AS pick_id, round(min(distance), 6) + 0.0 AS distance FROM k GROUP BY collection, id""")
+def p2_nearest_pick(spark: SparkSession, d: str) -> DataFrame:
+    """The covering of all points by a stated set, those whose number is divisible by 50."""
+    points = table(spark, d, "points")
+    picks = points.where(F.expr("try_cast(right(id, 6) as bigint) % 50 = 0")).select(F.lit(1).alias("request_id"), "collection", "id")
+    return diversity.cover(points, table(spark, d, "collection_configs"), picks).withColumn("distance", F.round("distance", 6) + F.lit(0.0))

@@ -277,3 +277,85 @@ def test_pivots_of_sparse_values_are_those_of_indicator_columns():
     ids = rng.permutation(np.array([f"{i:02d}" for i in range(60)], dtype=object))
     assert D.pivots(z, ids, 60, sparse) == D.pivots(np.concatenate([z, wide], axis=1), ids, 60)
     assert len(D.pivots(z, ids, 60, sparse)) > 10
+
+
+def test_a_large_subset_takes_few_passes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, DIM)).astype(np.float32)
+    points, configs = spark.createDataFrame([("c", f"p{i:04d}", v.tolist(), None, None) for i, v in enumerate(x)], POINTS), spark.createDataFrame([("c", DIM, "cosine")], CONFIGS)
+    calls, true = [], D._round
+    monkeypatch.setattr(D, "_round", lambda *a: calls.append(1) or true(*a))
+    got = D.varied(points, configs, spark.createDataFrame([(1, "c", 2500, None)], "request_id int, collection string, subset_size int, payload_key string")).collect()
+    assert len({r["id"] for r in got}) == 2500 and len(calls) == 2
+
+
+def test_subset_covers_better_than_chance_and_large_groups_take_no_more_than_their_due(spark):
+    rng = np.random.default_rng(6)
+    x = groups(rng, [900, 500, *[8] * 60], 200)
+    points, configs = spark.createDataFrame([("c", f"p{i:04d}", v.tolist(), None, None) for i, v in enumerate(x)], POINTS), spark.createDataFrame([("c", DIM, "cosine")], CONFIGS)
+    requests = spark.createDataFrame([(1, "c", 150, None)], "request_id int, collection string, subset_size int, payload_key string")
+    picks = D.varied(points, configs, requests).cache()
+    by_chance = spark.createDataFrame([(1, "c", f"p{i:04d}") for i in rng.choice(len(x), 150, replace=False)], "request_id int, collection string, id string")
+    of = {}
+    for name, p in (("varied", picks), ("chance", by_chance)):
+        c = D.cover(points, configs, p).toPandas()
+        assert len(c) == len(x) and (c[c.id == c.pick_id].distance.abs() < 1e-6).all()
+        of[name] = (c.distance.max(), (c.distance > 0.05).sum())
+    assert of["varied"][0] < of["chance"][0] and of["varied"][1] < 0.6 * of["chance"][1]
+    ids = [int(r["id"][1:]) for r in picks.collect()]
+    assert sum(i < 900 for i in ids) <= 15 and len({(i - 1400) // 8 for i in ids if 1400 <= i < 1880}) >= 30  # 900 of 2,080 rows are one group, 60 of 8 and 200 single ones share the rest
+    sizes = D.covered(points, configs, picks).collect()
+    assert sum(r["members"] for r in sizes) == len(x) and max(r["members"] for r in sizes) >= 300
+
+
+def test_cover_in_blocks_and_edge_cases(spark, tables, monkeypatch):
+    picks = spark.createDataFrame([(1, "l2", f"l2{i:04d}") for i in range(0, 392, 10)] + [(2, "cosine", "bad1"), (3, "gone", "x"), (4, "copies", "c007"), (4, "copies", "c003")], "request_id int, collection string, id string")
+    whole = sorted(map(tuple, D.cover(*tables, picks).collect()))
+    assert {r[0] for r in whole} == {1, 4} and {r[3] for r in whole if r[0] == 4} == {"c003"} and sum(r[0] == 1 for r in whole) == 392
+    monkeypatch.setattr(D, "PICK_BYTES", 1000)
+    assert sorted(map(tuple, D.cover(*tables, picks).collect())) == whole
+    assert D.cover(*tables, picks.limit(0)).count() == 0
+
+
+def test_small_clusters_in_a_leaf_that_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(C, "WANTED_ROWS", 10**9)  # one leaf
+    monkeypatch.setattr(C, "plant", lambda reps, known, within, plant=C.plant: cut_in_ten(plant(reps, known, within), reps, known))
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.concatenate([np.repeat(unit(rng.normal(size=(60, 64))), 12, axis=0) + 0.02 * rng.normal(size=(720, 64)), unit(rng.normal(size=(4000, 64)))]).astype(np.float32)
+    points, configs = spark.createDataFrame([("c", f"p{i:04d}", v.tolist(), None, None) for i, v in enumerate(x)], POINTS), spark.createDataFrame([("c", 64, "cosine")], CONFIGS)
+    got = {}
+    for r in C.isolated(points, configs, {"cosine": 0.1}).collect():
+        got.setdefault(r["cluster_id"], set()).add(r["id"])
+    assert len(got) == 60 and all(len(g) == 12 for g in got.values())
+
+
+def cut_in_ten(planted, reps, known):
+    trees, pieces = planted
+    t = trees["c"]
+    z = t.features(np.array([np.frombuffer(r["vec"], dtype="<f4") for r in reps.select("vec").collect()]))
+    pieces["c", ""] = C.Cut.of(z.mean(0), z.var(0), 10)
+    assert len(np.unique(pieces["c", ""](z))) >= 10
+    return trees, pieces
+
+
+def test_exact_neighbors(tables, plain):
+    known, data = plain
+    got = {}
+    for r in N.neighbors(*tables, k=5, exact=True, block_rows=90).where("collection <> 'copies'").collect():
+        got.setdefault((r["collection"], r["id"]), []).append(r["distance"])
+    for c, (ids, x) in data.items():
+        if c != "copies" and len(ids) > 5:
+            d = C.metric_distances(x, x, known[c].metric)
+            np.fill_diagonal(d, np.inf)
+            for i, pid in enumerate(ids):
+                assert np.allclose(sorted(got[c, pid]), np.sort(d[i])[:5], atol=2e-6)
+
+
+def test_a_third_of_the_rows_in_one_cell(spark):
+    rng = np.random.default_rng(12)
+    x = groups(rng, [3000], 6000)
+    points, configs = spark.createDataFrame([("c", f"p{i:04d}", v.tolist(), None, None) for i, v in enumerate(x)], POINTS), spark.createDataFrame([("c", DIM, "l2")], CONFIGS)
+    near = {"l2": 0.1}
+    small, whole = (N.near_pairs(points, configs, near, **how) for how in ({"block_rows": 300, "query_rows": 300}, {"exact": True}))
+    assert small.exceptAll(whole).count() <= 0.02 * whole.count() and whole.exceptAll(small).count() <= 0.02 * whole.count() and whole.count() > 3000
