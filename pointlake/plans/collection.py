@@ -1,27 +1,27 @@
 """A collection: immutable Parquet segments and a mutation log, seen through one last-write-wins plan.
 
 Every stored row is (seq, ord, op, id, vector, payload); the live view is the row of the highest (seq, ord) of each id, if it is
-an upsert. Nothing is loaded on open, and reads are ordinary DataFrame plans over all files at once.
+an upsert. Nothing is loaded on open, and reads are ordinary DataFrame plans over all files at once. Segments whose ranges of ids meet no
+other's are read without any comparison.
 """
 from __future__ import annotations
 
 import json
-import shutil
 import threading
 import warnings
 from dataclasses import asdict
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointlake.functions import vectors as V
 from pointlake.functions.filters import compile_filter
 from pointlake.operators import search as S
-from pointlake.operators.changes import compose
+from pointlake.operators.changes import compose, hits
+from pointlake.session import stage
 from pointlake.sources.commitlog import ARROW_SCHEMA, CommitLog, replay_start
-from pointlake.sources.files import Layout, SyncStats, folder_fingerprint, read_json, remove_leftovers, sync_file, verify, write_json
+from pointlake.sources.files import Layout, Place, SyncStats, fingerprints, read_json, remove_leftovers, require_checksums, require_sizes, sync_file, write_json
 from pointlake.types import (
     FORMAT_VERSION, LOG_SCHEMA, MAX_DELETE_IDS, MAX_DIMENSION, BalancedPolicy, Closed, CollectionConfig, Corrupted, HNSWParams,
     InvalidArgument, InvalidPointId, Metric, Point, ScoredPoint, SearchRequest, StoreError, ZeroVectorNotAllowed, canonical_id, normalized,
@@ -41,17 +41,20 @@ def repaired_next_segment_id(persisted: int, published: list[int]) -> int:
     return max(persisted, max(published, default=0) + 1)
 
 
-def remove_unlisted_segments(folder: Path, listed: set[int]) -> list[int]:
+def remove_unlisted_segments(folder: Place, listed: set[int]) -> list[int]:
     """Delete segment folders with a numeric name that no manifest names; others stay, as does what can't be deleted."""
-    gone = []
-    for p in folder.iterdir() if folder.is_dir() else ():
-        if p.is_dir() and p.name.isascii() and p.name.isdigit() and int(p.name) not in listed:
-            try:
-                shutil.rmtree(p)
-                gone.append(int(p.name))
-            except OSError:
-                continue
-    return sorted(gone)
+    return sorted(int(p.name) for p in list(Place(folder).iterdir()) if p.name.isascii() and p.name.isdigit() and int(p.name) not in listed and p.is_dir() and p.delete())
+
+
+def apart(ranges: dict[int, tuple[str, str] | None]) -> set[int]:
+    """The segments whose range of ids (bytes compared; None: no rows) meets no other's."""
+    known = sorted((lo.encode(), hi.encode(), s) for s, r in ranges.items() if r for lo, hi in [r])
+    out, high = {s for s, r in ranges.items() if r is None}, None
+    for i, (lo, hi, s) in enumerate(known):
+        if (high is None or lo > high) and (i + 1 == len(known) or known[i + 1][0] > hi):
+            out.add(s)
+        high = hi if high is None else max(high, hi)
+    return out
 
 
 class Collection:
@@ -70,14 +73,14 @@ class Collection:
         self._accepting = True
         self._seq = 0
         self._memory: list[pa.Table | DataFrame] = []
-        self._cached: DataFrame | None = None
+        self._ranges: dict[int, tuple[str, str] | None] = {}
         self._removed_before = 0  # deletes that hit a live id, sealed in this session
         self._ops = self._bytes = 0
         self.generation, self.segment_ids, self.wal_epoch = 0, [], 0
         self.log: CommitLog | None = None
         self._after = 0
         if layout is not None:
-            self._load(CommitLog(layout.log(config.name), durability, policy or BalancedPolicy(), self.lock, stats))
+            self._load(CommitLog(spark, layout.log(config.name), durability, policy or BalancedPolicy(), self.lock, stats))
 
     # ---- opening
 
@@ -96,7 +99,8 @@ class Collection:
             meta = read_json(self.layout.segment_meta(name, s))
             if meta["segmentId"] != s or meta["dimension"] != self.config.dimension:
                 raise Corrupted(folder, "its meta document describes another segment")
-            verify(folder, meta["files"])
+            require_sizes(folder, meta["files"])
+            self._note(s, meta)
         repaired = repaired_next_segment_id(self.next_segment_id, self.segment_ids)
         if repaired != self.next_segment_id:
             self.next_segment_id = repaired
@@ -108,6 +112,16 @@ class Collection:
         replayed = [m for m in log.markers[self._after:] if m.kind == "changes"]
         self._ops, self._bytes = sum(m.ops for m in replayed), sum(m.vector_bytes for m in replayed)
 
+    def _note(self, segment_id: int, meta: dict) -> None:
+        if "idRange" in meta:
+            self._ranges[segment_id] = tuple(meta["idRange"]) if meta["idRange"] else None
+
+    def verify(self) -> None:
+        """Raise Corrupted unless all segment files have the checksums that were recorded; they are read by tasks."""
+        if self.layout is not None:
+            name = self.config.name
+            require_checksums(self.spark, [(self.layout.segment(name, s), read_json(self.layout.segment_meta(name, s))["files"]) for s in dict.fromkeys(self.segment_ids)])
+
     def write_meta(self) -> None:
         write_json(self.layout.collection_meta(self.config.name), {"formatVersion": FORMAT_VERSION, "config": config_document(self.config), "nextSegmentId": self.next_segment_id})
 
@@ -125,25 +139,27 @@ class Collection:
             out = out if isinstance(t, pa.Table) else out.unionByName(t)
         return out
 
-    def _sealed(self) -> DataFrame:
-        paths = [str(self.layout.segment(self.config.name, s)) for s in dict.fromkeys(self.segment_ids)] if self.layout else []
+    def _sealed(self, segment_ids: list[int] | None = None) -> DataFrame:
+        ids = dict.fromkeys(self.segment_ids if segment_ids is None else segment_ids)
+        paths = [str(self.layout.segment(self.config.name, s)) for s in ids] if self.layout else []
         return self.spark.read.schema(LOG_SCHEMA).option("pathGlobFilter", "*.parquet").parquet(*paths) if paths else self.spark.createDataFrame([], LOG_SCHEMA)
 
     def _state(self, rows: DataFrame) -> DataFrame:
         return compose(rows.select("id", F.struct("seq", "ord").alias("order"), "op", F.struct("vector", "payload").alias("value")), ("id",))
 
     def live(self) -> DataFrame:
-        """id, vector, payload of the live points. Kept in memory between changes."""
+        """id, vector, payload of the live points: a plan over the files; nothing is kept in memory."""
         with self.lock:
-            if self._cached is None:
-                state = self._state(self._sealed().unionByName(self._unsealed())).where("op = 'upsert'")
-                self._cached = state.select("id", "value.vector", "value.payload").persist()
-            return self._cached
-
-    def _changed(self) -> None:
-        if self._cached is not None:
-            self._cached.unpersist()
-            self._cached = None
+            alone: list[int] = []
+            if self.layout is not None and not self._ops and all(s in self._ranges for s in self.segment_ids):
+                free = apart({s: self._ranges[s] for s in self.segment_ids})
+                alone = [s for s in dict.fromkeys(self.segment_ids) if s in free]
+            others = [s for s in self.segment_ids if s not in alone]
+            out = self._sealed(alone).where("op = 'upsert'").select("id", "vector", "payload") if alone else None
+            if alone and not others:
+                return out
+            state = self._state(self._sealed(others).unionByName(self._unsealed())).where("op = 'upsert'").select("id", "value.vector", "value.payload")
+            return state if out is None else out.unionByName(state)
 
     # ---- changes
 
@@ -171,32 +187,59 @@ class Collection:
             self._append(rows, 4 * self.config.dimension * len(rows))
 
     def _upsert_frame(self, df: DataFrame) -> None:
-        if "ord" not in df.columns:
-            df = df.withColumn("ord", F.lit(0))
-        if "payload" not in df.columns:
-            df = df.withColumn("payload", F.lit(None).cast(LOG_SCHEMA["payload"].dataType))
-        df = df.select(F.lit(None).cast("long").alias("seq"), F.col("ord").cast("int").alias("ord"), F.lit("upsert").alias("op"), V.nfc(F.col("id")).alias("id"), F.col("vector").cast("array<float>").alias("vector"), "payload")
-        vector = F.col("vector")
-        check = df.groupBy("id", "ord").agg(F.count(F.lit(1)).alias("c"), F.count_if(~V.valid_id(F.col("id"))).alias("ids"), F.count_if(F.coalesce(F.size(vector) != self.config.dimension, F.lit(True))).alias("dims"), F.count_if(V.norm(vector) == 0).alias("zeros"))
-        r = check.agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.sum("ids").alias("ids"), F.sum("dims").alias("dims"), F.sum("zeros").alias("zeros")).first()
-        if not r["n"]:
-            return
-        self._ensure_writable()
+        self.apply(df.withColumn("op", F.lit("upsert")))
+
+    def apply(self, changes: DataFrame) -> None:
+        """One batch of changes (id, op 'upsert' or 'delete', and for upserts vector and payload; ids unique, or ordered by a column ord), all
+        or nothing. It is written once and validated as written."""
+        with self.lock:
+            df = changes
+            if "ord" not in df.columns:
+                df = df.withColumn("ord", F.lit(0))
+            if "payload" not in df.columns:
+                df = df.withColumn("payload", F.lit(None).cast(LOG_SCHEMA["payload"].dataType))
+            if "vector" not in df.columns:
+                df = df.withColumn("vector", F.lit(None).cast("array<float>"))
+            self._ensure_writable()
+            up, vector = F.col("op") == "upsert", F.col("vector").cast("array<float>")
+            if self.config.normalize_vectors:
+                n = V.norm(vector)
+                vector = F.when(n > 0, F.transform(vector, lambda x: (x / n).cast("float"))).otherwise(vector)
+            seq = self._seq + 1
+            df = df.select(F.lit(seq).cast("long").alias("seq"), F.col("ord").cast("int").alias("ord"), "op", V.nfc(F.col("id")).alias("id"), F.when(up, vector).alias("vector"), F.when(up, F.col("payload")).alias("payload"))
+            batch = self.log.stage(seq, df) if self.log is not None else stage(df, "batch")
+            try:
+                n = self._validated(batch)
+            except StoreError:
+                if self.log is not None:
+                    self.log.data(seq).delete()
+                raise
+            if n["n"]:
+                self._append_batch(batch, n["n"], 4 * self.config.dimension * n["upserts"])
+            elif self.log is not None:
+                self.log.data(seq).delete()
+
+    def _validated(self, batch: DataFrame) -> dict:
+        up, vector = F.col("op") == "upsert", F.col("vector")
+        r = batch.agg(F.count(F.lit(1)).alias("n"), F.count_if(up).alias("upserts"), F.count_if(F.coalesce(~F.col("op").isin("upsert", "delete"), F.lit(True))).alias("ops"), F.count_if(~V.valid_id(F.col("id"))).alias("ids"),
+                      F.count_if(up & F.coalesce(F.size(vector) != self.config.dimension, F.lit(True))).alias("dims"), F.count_if(up & (V.norm(vector) == 0)).alias("zeros")).first().asDict()
         if r["ids"]:
             raise InvalidPointId(f"{r['ids']} ids are empty, NULL or too long")
+        if r["ops"]:
+            raise InvalidArgument(f"{r['ops']} changes are neither upserts nor deletes")
         if r["dims"]:
             raise InvalidArgument(f"{r['dims']} vectors don't have {self.config.dimension} dimensions")
-        if r["most"] > 1:
+        if not batch.groupBy("id", "ord").count().where("count > 1").isEmpty():
             raise InvalidArgument("ids of a batch must be unique, or ordered by a column ord")
-        if self.config.normalize_vectors:
-            if r["zeros"]:
-                raise ZeroVectorNotAllowed(f"{r['zeros']} vectors have norm 0")
-            df = df.withColumn("vector", V.normalized(vector))
-        self._append_batch(df, r["n"], 4 * self.config.dimension * r["n"])
+        if self.config.normalize_vectors and r["zeros"]:
+            raise ZeroVectorNotAllowed(f"{r['zeros']} vectors have norm 0")
+        return r
 
-    def delete(self, ids: list[str]) -> None:
-        """Unknown ids are ignored."""
+    def delete(self, ids: list[str] | DataFrame) -> None:
+        """Unknown ids are ignored. A DataFrame has the column id; repeated ones are one."""
         with self.lock:
+            if isinstance(ids, DataFrame):
+                return self.apply(ids.select("id").distinct().withColumn("op", F.lit("delete")))
             if not ids:
                 return
             self._ensure_writable()
@@ -210,16 +253,13 @@ class Collection:
 
     def _append_batch(self, batch: pa.Table | DataFrame, ops: int, vector_bytes: int) -> None:
         seq = self._seq + 1
-        if isinstance(batch, DataFrame):
-            batch = batch.withColumn("seq", F.lit(seq))
         if self.log is not None:
-            self.log.append(seq, batch, ops, vector_bytes)
+            self.log.append(seq, None if isinstance(batch, DataFrame) else batch, ops, vector_bytes)
         else:
             self._memory.append(batch)
         self._seq = seq
         self._ops += ops
         self._bytes += vector_bytes
-        self._changed()
         if self.log is not None and (self._ops >= self.max_points or self._bytes >= self.max_bytes):
             self._seal()
 
@@ -237,15 +277,18 @@ class Collection:
         rows = self.get_frame(ids, with_vector).collect()
         return [Point(r["id"], list(r["vector"]), payload_python(r["payload"])) for r in sorted(rows, key=lambda r: r["ord"])]
 
-    def search_frame(self, request: SearchRequest) -> DataFrame | None:
-        """id, distance and what the request asks for; None if the collection is empty."""
+    def search_frame(self, request: SearchRequest) -> DataFrame:
+        """id, distance and what the request asks for; no rows if the collection is empty."""
         require_dimension(request.vector, self.config.dimension)
         if request.k < 1:
             raise InvalidArgument(f"k must be at least 1, got {request.k}")
-        live = self.live()
-        if live.isEmpty():
-            return None
-        query = normalized(request.vector) if self.config.normalize_vectors else request.vector
+        live, query = self.live(), request.vector
+        if self.config.normalize_vectors:
+            try:
+                query = normalized(request.vector)
+            except ZeroVectorNotAllowed:
+                if not live.isEmpty():  # an empty collection answers any query
+                    raise
         if request.filter is not None:
             if request.apply_filter:
                 live = live.where(compile_filter(request.filter))
@@ -262,8 +305,7 @@ class Collection:
         return live.select("id", *keep).join(hits, "id").select("id", "distance", *keep).orderBy("distance", "id")
 
     def search(self, request: SearchRequest) -> list[ScoredPoint]:
-        df = self.search_frame(request)
-        rows = df.collect() if df is not None else []
+        rows = self.search_frame(request).collect()
         return [ScoredPoint(r["id"], r["distance"], payload_python(r["payload"]) if request.with_payload else None, list(r["vector"]) if request.with_vector else None) for r in rows]
 
     def count(self, include_tombstones: bool = False) -> int:
@@ -271,10 +313,9 @@ class Collection:
         return self.live().count() + (self._removed_before + self._removed() if include_tombstones else 0)
 
     def _removed(self) -> int:
-        before = self._state(self._sealed()).where("op = 'upsert'").select("id", F.struct(F.lit(0).cast("long").alias("seq"), F.lit(0).alias("ord")).alias("order"), "op", F.lit(True).alias("old"))
-        now = self._unsealed().select("id", F.struct("seq", "ord").alias("order"), "op", F.lit(False).alias("old"))
-        w = Window.partitionBy("id").orderBy("order")
-        return before.unionByName(now).withColumn("was", F.lag("op").over(w)).where("not old and op = 'delete' and was = 'upsert'").count()
+        before = self._state(self._sealed()).where("op = 'upsert'").select("id", F.struct(F.lit(0).cast("long").alias("seq"), F.lit(0).alias("ord")).alias("order"), "op")
+        now = self._unsealed().select("id", F.struct("seq", "ord").alias("order"), "op")
+        return hits(before.unionByName(now), ("id",), F.col("order.seq")).agg(F.sum("hits")).first()[0] or 0
 
     # ---- sealing
 
@@ -310,19 +351,8 @@ class Collection:
         except StoreError:
             self.next_segment_id = segment_id
             raise
-        folder = self.layout.segment(name, segment_id)
-        tmp = folder.with_name(folder.name + ".tmp")
-        shutil.rmtree(tmp, ignore_errors=True)
-        rows.write.parquet(f"file://{tmp}")
-        files = folder_fingerprint(tmp)
-        counts = {r["op"]: r["count"] for r in self.spark.read.schema(LOG_SCHEMA).parquet(str(tmp)).groupBy("op").count().collect()}
-        if not counts:
-            shutil.rmtree(tmp)
+        if not self._write_segment(segment_id, rows):
             return False
-        for f in files:
-            sync_file(tmp / f)
-        tmp.rename(folder)
-        write_json(self.layout.segment_meta(name, segment_id), {"formatVersion": FORMAT_VERSION, "segmentId": segment_id, "dimension": self.config.dimension, "rowCount": counts.get("upsert", 0), "tombstoneCount": counts.get("delete", 0), "index": self.config.index, "files": files})
         self._seq += 1
         self.log.mark(self._seq, "seal", segment_id)
         self._publish([*self.segment_ids, segment_id])
@@ -330,7 +360,26 @@ class Collection:
         self._after = 0
         self._removed_before += removed
         self._ops = self._bytes = 0
-        self._changed()
+        return True
+
+    def _write_segment(self, segment_id: int, rows: DataFrame) -> bool:
+        """Whether there were rows; the segment is there as a whole, with its meta document last, or not at all."""
+        folder = self.layout.segment(self.config.name, segment_id)
+        tmp = folder.with_name(folder.name + ".tmp")
+        tmp.delete()
+        rows.write.parquet(str(tmp))
+        written = self.spark.read.schema(LOG_SCHEMA).option("pathGlobFilter", "*.parquet").parquet(str(tmp))
+        n = written.agg(F.count_if(F.col("op") == "upsert").alias("rows"), F.count_if(F.col("op") == "delete").alias("gone"), F.min("id").alias("lo"), F.max("id").alias("hi")).first()
+        if not n["rows"] + n["gone"]:
+            tmp.delete()
+            return False
+        files = fingerprints(self.spark, tmp)
+        for f in files:
+            sync_file(tmp / f)
+        tmp.rename(folder)
+        meta = {"formatVersion": FORMAT_VERSION, "segmentId": segment_id, "dimension": self.config.dimension, "rowCount": n["rows"], "tombstoneCount": n["gone"], "index": self.config.index, "idRange": [n["lo"], n["hi"]], "files": files}
+        write_json(self.layout.segment_meta(self.config.name, segment_id), meta)
+        self._note(segment_id, meta)
         return True
 
     def _publish(self, segment_ids: list[int]) -> None:
@@ -346,17 +395,11 @@ class Collection:
             name, segment_id = self.config.name, self.next_segment_id
             self.next_segment_id += 1
             self.write_meta()
-            folder = self.layout.segment(name, segment_id)
             state = self._state(self._sealed()).where("op = 'upsert'").select("order.seq", "order.ord", "op", "id", "value.vector", "value.payload")
-            tmp = folder.with_name(folder.name + ".tmp")
-            state.write.parquet(f"file://{tmp}")
-            files = folder_fingerprint(tmp)
-            rows = self.spark.read.schema(LOG_SCHEMA).parquet(str(tmp)).count()
-            tmp.rename(folder)
-            write_json(self.layout.segment_meta(name, segment_id), {"formatVersion": FORMAT_VERSION, "segmentId": segment_id, "dimension": self.config.dimension, "rowCount": rows, "tombstoneCount": 0, "index": self.config.index, "files": files})
+            if not self._write_segment(segment_id, state):
+                return
             self._publish([segment_id])
             remove_unlisted_segments(self.layout.segments(name), {segment_id})
-            self._changed()
 
     def prepare_for_close(self, sync: bool) -> None:
         with self.lock:

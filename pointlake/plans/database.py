@@ -1,7 +1,6 @@
 """A catalog of collections over a folder, or in memory."""
 from __future__ import annotations
 
-import shutil
 from dataclasses import asdict
 from pathlib import Path
 
@@ -37,13 +36,15 @@ class Database:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str | None = None, config: DatabaseConfig | None = None) -> "Database":
-        """Without a path in memory. On an existing folder its own configuration holds, whatever is passed."""
+        """Without a path in memory; a path is local, or an address of any file system that Hadoop reaches. On an existing folder its own
+        configuration holds, whatever is passed. Segments are checked by the sizes of their files, without reading them: see
+        Collection.verify()."""
         config = config or DatabaseConfig()
         choose_compute(config.compute)
         if path is None:
             return cls(spark, None, config)
-        layout = Layout(Path(path).resolve())
-        layout.collections.mkdir(parents=True, exist_ok=True)
+        layout = Layout(path)
+        layout.collections.mkdir()
         if not layout.db_meta.exists():
             write_json(layout.db_meta, _document(config))
             write_json(layout.catalog, {"formatVersion": FORMAT_VERSION, "collections": {}})
@@ -66,8 +67,9 @@ class Database:
             raise Closed("the database is closed")
 
     @property
-    def storage_path(self) -> Path | None:
-        return self.layout.root if self.layout else None
+    def storage_path(self) -> Path | str | None:
+        """A Path where it is local, else the address."""
+        return (self.layout.root.local or self.layout.root.uri) if self.layout else None
 
     def create_collection(self, config: CollectionConfig) -> Collection:
         """What a crashed drop has left of the name is removed first."""
@@ -76,7 +78,7 @@ class Database:
         if config.name in self._collections:
             raise CollectionExists(config.name)
         if self.layout:
-            shutil.rmtree(self.layout.collection(config.name), ignore_errors=True)
+            self.layout.collection(config.name).delete()
         c = self._make(config)
         if self.layout:
             c.write_meta()
@@ -91,7 +93,7 @@ class Database:
         self._collections.pop(name).prepare_for_close(sync=False)
         if self.layout:
             self._catalog(remove=name)
-            shutil.rmtree(self.layout.collection(name), ignore_errors=True)
+            self.layout.collection(name).delete()
 
     def _catalog(self, add: str | None = None, remove: str | None = None) -> None:
         d = read_json(self.layout.catalog)

@@ -1,44 +1,27 @@
 """Streams into collections: micro-batches become commit batches, once each."""
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from pointlake.operators.changes import compose
 from pointlake.plans.collection import Collection
-from pointlake.sources.files import read_json, write_json
+from pointlake.sources.files import Place, read_json, write_json
 from pointlake.types import FORMAT_VERSION
 
 
 def _apply(collection: Collection, batch: DataFrame) -> None:
-    """The last change of each id in the batch (id, order, op, vector, payload) goes into the collection."""
-    last = compose(batch.select("id", "order", "op", F.struct("vector", "payload").alias("value")), ("id",)).persist()
-    try:
-        collection.upsert(last.where("op = 'upsert'").select("id", "value.vector", "value.payload"))
-        for part in _chunks(last.where("op = 'delete'").select("id")):
-            collection.delete(part)
-    finally:
-        last.unpersist()
-
-
-def _chunks(ids: DataFrame, size: int = 10_000):
-    block: list[str] = []
-    for r in ids.toLocalIterator():
-        block.append(r["id"])
-        if len(block) == size:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
-def foreach_batch(collection: Collection, ledger: Path | None = None) -> Callable[[DataFrame, int], None]:
+    """The last change of each id in the batch (id, order, op, vector, payload) goes into the collection, as one commit."""
+    last = compose(batch.select("id", "order", "op", F.struct("vector", "payload").alias("value")), ("id",))
+    collection.apply(last.select("id", "op", "value.vector", "value.payload"))
+
+
+def foreach_batch(collection: Collection, ledger: str | os.PathLike | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function. With a ledger file, a batch that is delivered again after a restart is left out."""
-    done = [read_json(ledger)["batch"] if ledger and ledger.exists() else -1]
+    done = [read_json(ledger)["batch"] if ledger and Place(ledger).exists() else -1]
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if batch_id <= done[0]:
@@ -51,7 +34,7 @@ def foreach_batch(collection: Collection, ledger: Path | None = None) -> Callabl
     return run
 
 
-def ingest(changes: DataFrame, collection: Collection, checkpoint: str, ledger: Path | None = None, available_now: bool = False) -> StreamingQuery:
+def ingest(changes: DataFrame, collection: Collection, checkpoint: str, ledger: str | os.PathLike | None = None, available_now: bool = False) -> StreamingQuery:
     """Start a stream of changes (id, order, op, vector, payload) into the collection.
 
     Changes of one id must arrive in order across batches; within a batch, order decides.

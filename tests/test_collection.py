@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointlake.functions.filters import Eq
-from pointlake.plans.collection import Collection, remove_unlisted_segments, repaired_next_segment_id
+from pointlake.plans.collection import Collection, apart, remove_unlisted_segments, repaired_next_segment_id
 from pointlake.plans.database import Database
 from pointlake.sources.commitlog import Marker, replay_start
 from pointlake.sources.files import Layout, SyncStats
@@ -174,6 +174,7 @@ def test_crashes(spark, tmp_path):
     data = bytearray(marker.read_bytes())
     data[len(data) // 2] ^= 1
     marker.write_bytes(bytes(data))
+    (marker.parent / f".{marker.name}.crc").unlink(missing_ok=True)
     with pytest.raises(Corrupted):
         at(spark, tmp_path)
     marker.unlink()
@@ -192,7 +193,12 @@ def test_damaged_segments_and_manifests(spark, tmp_path):
     f = next((base / "segments/1").glob("*.parquet"))
     data = bytearray(f.read_bytes())
     data[10] ^= 1
+    at(spark, tmp_path / "data").verify()
     f.write_bytes(bytes(data))
+    (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Corrupted):
+        at(spark, tmp_path / "data").verify()
+    f.write_bytes(bytes(data[:-1]))  # sizes are looked at on opening
     with pytest.raises(Corrupted):
         at(spark, tmp_path / "data")
     for name, path, change in (("gone", "segments/1/SEGMENT_META.json", None), ("json", "MANIFEST.json", "{"), ("version", "MANIFEST.json", {"formatVersion": 2}), ("id", "segments/1/SEGMENT_META.json", {"segmentId": 8}), ("dim", "segments/1/SEGMENT_META.json", {"dimension": 3})):
@@ -205,7 +211,7 @@ def test_damaged_segments_and_manifests(spark, tmp_path):
             at(spark, tmp_path / name)
 
 
-def test_helpers(tmp_path):
+def test_helpers(spark, tmp_path):
     m = [Marker(1, "changes"), Marker(2, "seal", segment_id=1), Marker(3, "changes"), Marker(4, "seal", segment_id=9), Marker(5, "checkpoint")]
     assert [replay_start(m, s) for s in (set(), {1}, {9}, {1, 9})] == [0, 2, 4, 4] and replay_start([], {1}) == 0
     assert repaired_next_segment_id(1, []) == 1 and repaired_next_segment_id(2, [5, 3]) == 6 and repaired_next_segment_id(9, [5]) == 9
@@ -295,6 +301,50 @@ def test_database(spark, tmp_path):
     memory.close()
 
 
+def test_store_at_an_address(spark, monkeypatch):
+    from pointlake.session import shared_dir
+    from pointlake.sources import files
+
+    root = f"{shared_dir(spark)}/stores/one"
+    db = Database.open(spark, root)
+    c = db.create_collection(config())
+    c.upsert(spark.createDataFrame([(f"p{i:03d}", [float(i), 0.0]) for i in range(100)], "id string, vector array<float>"))
+    c.seal()
+    c.delete(spark.createDataFrame([(f"p{i:03d}",) for i in (0, 0, 7, 500)], "id string"))
+    c.checkpoint()
+    db.close()
+    monkeypatch.setattr(files.Place, "read_bytes", lambda self, true=files.Place.read_bytes: pytest.fail("data is read") if self.name.endswith(".parquet") else true(self))
+    c = Database.open(spark, root).collection("c")
+    assert ids(c, 0, 0, k=2) == ["p001", "p002"] and c.count() == 98 and len(c.segment_ids) == 2
+    monkeypatch.setattr(files, "DRIVER_BYTES", 0)  # by tasks
+    c.verify()
+
+
+def test_segments_apart_are_read_without_a_comparison(spark, tmp_path):
+    assert apart({1: ("a", "c"), 2: ("d", "f"), 3: ("e", "g"), 4: None, 5: ("x", "x")}) == {1, 4, 5} and apart({}) == set() and apart({1: ("a", "z"), 2: ("b", "c"), 3: ("d", "e")}) == set()
+    c = at(spark, tmp_path)
+    for a in "abc":
+        c.upsert([p(f"{a}{i}", i, 0) for i in range(3)])
+        c.seal()
+    plan = c.live()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and c.count() == 9 and "Exchange" not in at(spark, tmp_path).live()._jdf.queryExecution().executedPlan().toString()
+    c.delete(["b1"])
+    assert c.count() == 8
+    c.seal()
+    assert c.count() == 8 and sorted(ids(at(spark, tmp_path), 0, 0)) == ["a0", "a1", "a2", "b0", "b2", "c0", "c1", "c2"]
+
+
+def test_a_bad_frame_leaves_nothing(spark, tmp_path):
+    c = at(spark, tmp_path, config=config(normalize_vectors=True))
+    frame = lambda *rows: spark.createDataFrame(list(rows), "id string, op string, vector array<float>")
+    for bad, error in ((("a", "upsert", [1.0]), InvalidArgument), (("a", "upsert", [0.0, 0.0]), ZeroVectorNotAllowed), (("", "delete", None), InvalidPointId), (("a", "drop", None), InvalidArgument), ((None, "delete", None), InvalidPointId)):
+        with pytest.raises(error):
+            c.apply(frame(("ok", "upsert", [3.0, 4.0]), bad))
+    assert c.count() == 0 and not list((tmp_path / "collections/c/log").glob("0*"))
+    c.apply(frame(("ok", "upsert", [3.0, 4.0]), ("gone", "delete", None)))
+    assert c.get(["ok"], True)[0].vector == pytest.approx([0.6, 0.8]) and at(spark, tmp_path, config=config(normalize_vectors=True)).count() == 1
+
+
 def test_quick_start(spark):
     db = Database.open(spark)
     c = db.create_collection(config(dimension=3, metric=Metric.COSINE, normalize_vectors=True))
