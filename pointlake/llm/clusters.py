@@ -461,10 +461,10 @@ def read(vecs: pd.Series, dim: int) -> np.ndarray:
 
 
 def agreeing(met: DataFrame, known: dict[str, Shape], within: dict[str, float]) -> DataFrame:
-    """collection, rid, size (rows), sum, far: of the sets met (collection, rid, id, vec) those of which any two rows are within reach.
+    """collection, rid, size (rows), sum, far: of the sets met (collection, rid, id, vec, parts) those of which any two rows are within reach.
 
     sum is that of the rows as metric_rows() has them, far the greatest distance of one to their mean. Sets of more than CHUNK rows
-    are taken in parts of that many: first each part by itself, which refuses most, then parts with each other, unless all rows are
+    are taken in parts of about that many: first each part by itself, which refuses most, then parts with each other, unless all rows are
     so near to the mean that any two are near.
     """
     def within_part(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -491,8 +491,7 @@ def agreeing(met: DataFrame, known: dict[str, Shape], within: dict[str, float])
         return pd.DataFrame({"collection": [key[0]], "rid": [key[1]], "wrong": [wrong]})
 
     kind = "collection string, rid string, size long, sum binary, far double"
-    sizes = met.groupBy("collection", "rid").agg(F.count(F.lit(1)).alias("all"))
-    cut = met.join(sizes.withColumn("parts", F.ceil(F.col("all") / CHUNK).cast("int")), ["collection", "rid"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    cut = met.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     first = stage(cut.groupBy("collection", "rid", "part").applyInPandas(within_part, f"{kind}, ok boolean"), "parts")
     refused = first.where("not ok").select("collection", "rid").distinct()
     good = first.join(refused, ["collection", "rid"], "left_anti").drop("ok")
@@ -575,8 +574,8 @@ def isolated(points: DataFrame, configs: DataFrame, within: dict[str, float], le
     for block in blocks(asking):  # staged one by one, so that one block is broadcast at a time
         h = stage(hits(reps, block, known, within), "hits")
         met = h if met is None else met.unionByName(h)
-    sizes = met.groupBy("collection", "rid").agg(F.sum("n").alias("weight")).where(F.col("weight") >= least)
-    met = stage(met.join(sizes.select("collection", "rid"), ["collection", "rid"], "left_semi"), "sets")
+    sizes = met.groupBy("collection", "rid").agg(F.sum("n").alias("weight"), F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts")).where(F.col("weight") >= least)
+    met = stage(met.join(small(sizes.select("collection", "rid", "parts"), "sizes"), ["collection", "rid"]), "sets")
 
     sets = stage(agreeing(met, known, within).join(asking.select("collection", F.col("id").alias("rid"), "vec"), ["collection", "rid"]), "agreeing")
 
@@ -589,8 +588,8 @@ def isolated(points: DataFrame, configs: DataFrame, within: dict[str, float], le
         h = stage(strangers(reps, block, known, within), "strangers")
         others = h if others is None else others.unionByName(h)
     # a set's members, and the rows that could be near to them, in parts of CHUNK rows
-    count = lambda df, name: df.groupBy("collection", "rid").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias(name))
-    both = count(others, "b").join(count(met, "a"), ["collection", "rid"])
+    theirs = small(others.groupBy("collection", "rid").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("b")), "touched")
+    both = small(met.select("collection", "rid", F.col("parts").alias("a")).distinct().join(theirs, ["collection", "rid"]), "both")
     mine, theirs = met.join(both, ["collection", "rid"]), others.join(both, ["collection", "rid"])
     left = mine.select("collection", "rid", F.pmod(F.xxhash64("id"), "a").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("j"), F.lit(True).alias("left"), "vec")
     right = theirs.select("collection", "rid", F.explode(F.sequence(F.lit(0), F.col("a") - 1)).alias("i"), F.pmod(F.xxhash64("id"), "b").cast("int").alias("j"), F.lit(False).alias("left"), "vec")

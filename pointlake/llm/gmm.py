@@ -7,7 +7,7 @@ import numpy as np
 
 Array = np.ndarray
 FLOOR = 0.02  # least variance of a standardised feature within a component
-ROUNDS = 8
+ROUNDS, TRIAL_ROUNDS = 8, 3  # in all, and before numbers of components are compared
 
 
 @dataclass
@@ -116,15 +116,17 @@ def fit_local(z: Array, w: Array, reach: float, least: float, rounds: int = ROUN
     peaks = density_peaks(z, w, reach, least)
     tried: dict[int, tuple[float, Mixture]] = {}
 
-    def score(k: int) -> float:
+    def improved(m: Mixture, k: int, rounds: int) -> tuple[float, Mixture]:
+        """(criterion before the last round, mixture)"""
+        ll = 0.0
+        for _ in range(rounds):
+            m, ll = maximised(statistics(m, z, w), k + 1)
+            m = spherical(m)
+        return (k * (d + 2) + 2 * d) * np.log(max(total, 2)) - 2 * ll, m
+
+    def score(k: int) -> None:
         if k not in tried:
-            m = Mixture(np.full(k + 1, 1 / (k + 1)), np.concatenate([z[peaks[:k]], mu[None]]), np.concatenate([np.full((k, d), reach / (2 * d) + FLOOR), broad_var[None]]))
-            for _ in range(rounds if k else 1):
-                m, _ = maximised(statistics(m, z, w), k + 1)
-                m = spherical(m)
-            ll = float((posteriors(m.log_joint(z))[1] * w).sum())
-            tried[k] = (k * (d + 2) + 2 * d) * np.log(max(total, 2)) - 2 * ll, m
-        return tried[k][0]
+            tried[k] = improved(Mixture(np.full(k + 1, 1 / (k + 1)), np.concatenate([z[peaks[:k]], mu[None]]), np.concatenate([np.full((k, d), reach / (2 * d) + FLOOR), broad_var[None]])), k, TRIAL_ROUNDS)
 
     for k in {0, len(peaks) // 2, len(peaks)}:
         score(k)
@@ -135,7 +137,8 @@ def fit_local(z: Array, w: Array, reach: float, least: float, rounds: int = ROUN
             if 0 <= k <= len(peaks):
                 score(k)
         step //= 2
-    best = tried[min(tried, key=lambda k: (tried[k][0], k))]
+    k = min(tried, key=lambda k: (tried[k][0], k))
+    best = improved(tried[k][1], k, rounds - TRIAL_ROUNDS)
     joint = best[1].log_joint(z)
     at = joint.argmax(1)
     return best[1], at, joint[np.arange(len(z)), at], peaks
