@@ -74,6 +74,21 @@ def published_segments(manifests: DataFrame) -> DataFrame:
     return listed.where(F.col("segment_id").isNotNull()).groupBy("db_id", "collection", "segment_id").agg(F.max("pos").alias("pos"))
 
 
+def orphans(segments: DataFrame, manifests: DataFrame) -> DataFrame:
+    """db_id, collection, segment_id of the segments that no current manifest names, once each."""
+    key = ["db_id", "collection", "segment_id"]
+    return segments.select(*key).join(published_segments(manifests), key, "left_anti").distinct()
+
+
+def next_segment_ids(manifests: DataFrame, persisted: DataFrame | None = None) -> DataFrame:
+    """db_id, collection, next_id: the id after all published ones, or the persisted one (db_id, collection, next_id) if that is higher.
+    A collection whose current manifest lists nothing starts with 1."""
+    m = current_manifests(manifests).select("db_id", "collection", (F.coalesce(F.array_max("segment_ids"), F.lit(0)) + 1).alias("next_id"))
+    if persisted is None:
+        return m
+    return m.unionByName(persisted.select("db_id", "collection", "next_id")).groupBy("db_id", "collection").agg(F.max("next_id").alias("next_id"))
+
+
 def complete(segments: DataFrame) -> DataFrame:
     """Only segments that were written to their end: arrays as long as row_count says."""
     return segments.where((F.size("ids") == F.col("row_count")) & (F.size("payloads") == F.col("row_count")))

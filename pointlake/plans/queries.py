@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pointlake.functions import filters as P
 from pointlake.functions import vectors as V
 from pointlake.operators import changes, compaction, search
+from pointlake.plans import lifecycle
 from pointlake.plans.collection import Collection
 from pointlake.session import table
 from pointlake.types import CollectionConfig, Metric, SearchRequest
@@ -175,11 +176,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return search.get_by_ids(points(spark, d).select("id", "vector"), ["7", "missing", "3", "7", "0"]).select("ord", "id", "vector")
 
 
-@query("list_collections", "SELECT DISTINCT name FROM collection_configs ORDER BY name")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "collection_configs").select("name").distinct().orderBy("name")
-
-
 # ---- A1, L1, L2, P3: last write wins over the events, seen as a log
 
 _LOG = "(SELECT CAST(user_id AS VARCHAR) AS id, event_id AS seq, CASE WHEN event_type = '{gone}' THEN 'delete' ELSE 'upsert' END AS op, value FROM events)"
@@ -283,15 +279,39 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("next_segment_id", "SELECT db_id, collection, list_max(arg_max(segment_ids, generation)) + 1 AS next_id FROM manifests WHERE format_version = 1 GROUP BY ALL")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    m = changes.current_manifests(table(spark, d, "manifests"))
-    return m.select("db_id", "collection", (F.array_max("segment_ids") + 1).alias("next_id"))
+    return changes.next_segment_ids(table(spark, d, "manifests"))
 
 
 @query("orphan_segments", f"WITH {_PUBLISHED} SELECT DISTINCT s.db_id, s.collection, s.segment_id FROM segments s ANTI JOIN pub USING (db_id, collection, segment_id)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     _, segments, manifests = _three(spark, d)
-    key = ["db_id", "collection", "segment_id"]
-    return segments.select(*key).join(changes.published_segments(manifests), key, "left_anti").distinct()
+    return changes.orphans(segments, manifests)
+
+
+@query("repaired_segment_id", """
+    WITH m AS (SELECT db_id, collection, list_max(arg_max(segment_ids, generation)) + 1 AS next_id FROM manifests WHERE format_version = 1 GROUP BY ALL),
+    k AS (SELECT db_id, collection, max(segment_id) + 1 AS next_id FROM segments GROUP BY ALL)
+    SELECT db_id, collection, max(next_id) AS next_id FROM (SELECT * FROM m UNION ALL SELECT * FROM k) GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The ids persisted here are those after every segment on disk, published or not."""
+    _, segments, manifests = _three(spark, d)
+    return changes.next_segment_ids(manifests, segments.groupBy("db_id", "collection").agg((F.max("segment_id") + 1).alias("next_id")))
+
+
+_MEMBERS = ("stamp", "votes")
+_WHOLE = f"""{_PUBLISHED.replace("ids, payloads, tombstones, pos", "row_count, vectors, ids, payloads, tombstones, pos")},
+    ev AS (
+      SELECT db_id, collection, nfc_normalize(ids[i]) AS id, 0::BIGINT AS ph, pos::BIGINT AS a, 0::BIGINT AS b, vectors[(i - 1) * (len(vectors) // row_count) + 1 : i * (len(vectors) // row_count)] AS vector, payloads[i] AS payload, 'upsert' AS op
+        FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS i FROM seg)
+      UNION ALL SELECT db_id, collection, nfc_normalize(unnest(tombstones)), 0, pos, 1, NULL, NULL, 'delete' FROM seg
+      UNION ALL SELECT w.db_id, w.collection, nfc_normalize(id), 1, seq, ord, vector, payload, op FROM wal_records w LEFT JOIN start USING (db_id, collection) WHERE op IN ('upsert', 'delete') AND (s IS NULL OR (seq, ord) > s)),
+    live AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY db_id, collection, id ORDER BY ph DESC, a DESC, b DESC) AS rn FROM ev) WHERE rn = 1 AND op = 'upsert')"""
+
+
+@query("p1_live_values", f"WITH {_WHOLE} SELECT db_id, collection, id, vector, cardinality(payload) AS members, {', '.join(f'payload[{chr(39)}{m}{chr(39)}].i AS {m}' for m in _MEMBERS)}, payload['title'].s AS title FROM live")
+def p1_live_values(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("payload")
+    return changes.live_points(*_three(spark, d)).select("db_id", "collection", "id", "vector", F.size(p).cast("bigint").alias("members"), *(p[m]["i"].alias(m) for m in _MEMBERS), p["title"]["s"].alias("title"))
 
 
 # ---- P4-P11: the filter tree on payloads
@@ -329,7 +349,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "points").join(F.broadcast(c), "collection").select("collection", "id", V.usable(F.col("vector"), F.col("dimension")).alias("usable"))
 
 
-@query("crc32_ids")
+def s_crc(hexes: str) -> str:
+    """CRC-32 of bytes given as hexadecimal digits, bit by bit."""
+    bit = "list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, {})"
+    step = bit.format("xor(c, b)")
+    return f"xor(list_reduce(list_transform(range(len({hexes}) // 2), lambda i: ('0x' || {hexes}[2 * i + 1 : 2 * i + 2])::BIGINT), lambda c, b: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+@query("crc32_ids", f"SELECT collection, id, {s_crc('h')} AS crc FROM (SELECT collection, id, hex(encode(id)) AS h FROM points)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "points").select("collection", "id", V.crc32(F.col("id")).alias("crc"))
 
@@ -357,6 +384,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return changes.verify_segments(table(spark, d, "segments")).select("db_id", "collection", "segment_id", "complete")
 
 
+@query("segment_id_checksums", f"""SELECT db_id, collection, segment_id, CASE WHEN len(ids) = 0 THEN ids_crc32 = 0 ELSE {s_crc('h')} = ids_crc32 END AS ids_ok
+    FROM (SELECT *, hex(encode(array_to_string(ids, chr(0)))) AS h FROM segments)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return changes.verify_segments(table(spark, d, "segments")).select("db_id", "collection", "segment_id", "ids_ok")
+
+
 @query("segment_checksums")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return changes.verify_segments(table(spark, d, "segments"))
@@ -365,3 +398,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("manifest_generations", "SELECT db_id, collection, max(generation) AS generation, arg_max(segment_ids, generation) AS segment_ids FROM manifests WHERE format_version = 1 GROUP BY ALL")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return changes.current_manifests(table(spark, d, "manifests")).select("db_id", "collection", "generation", "segment_ids")
+
+
+QUERIES |= lifecycle.QUERIES
+SQL |= lifecycle.SQL

@@ -15,6 +15,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -287,43 +288,39 @@ def read_segments(spark: SparkSession, root: str, collections: str = "*") -> Dat
     f = spark.read.format("binaryFile").load(f"{root}/collections/{collections}/segments/*/*")
     part = lambda i: F.element_at(F.split("path", "/"), i)
     f = f.select(part(-4).alias("collection"), part(-2).alias("segment"), "path", "content").where("segment rlike '^[0-9]+$' and not endswith(path, '.tmp')")
-    return f.groupBy("collection", "segment").applyInPandas(_decode_segment, _SEGMENT)
+    return decode_segments(f)
 
 
-_LOG = "collection string, seq bigint, ord int, op string, id string, vector array<float>, payload " + PAYLOAD.simpleString() + ", segment_id bigint, row_count bigint"
+def decode_segments(files: DataFrame) -> DataFrame:
+    """Segments of files (collection, segment, path, content), verified; a segment's files are decoded by one task."""
+    return files.groupBy("collection", "segment").applyInPandas(_decode_segment, _SEGMENT)
 
 
-def read_log(spark: SparkSession, root: str, collections: str = "*") -> DataFrame:
-    """The records of root/collections/<name>/wal/wal.log as log rows; seq counts a log's records from 1."""
-    names = {UPSERT: "upsert", DELETE: "delete", CHECKPOINT: "checkpoint", SEAL_V1: "seal", SEAL_V2: "seal"}
+def segment_blobs(segments: DataFrame) -> DataFrame:
+    """collection, segment, path, content of the files of each segment (collection, segment_id, row_count, ids, vectors, payloads, tombstones)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                m = np.asarray(r["vectors"], dtype="<f4").reshape(r["row_count"], -1) if r["row_count"] else np.empty((0, 1), "<f4")
+                files, _ = segment_files(r["segment_id"], m, r["ids"], [dict(p or ()) for p in r["payloads"]], r["tombstones"] or [])
+                n, s = len(files), str(r["segment_id"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["collection"]] * n), pa.array([s] * n), pa.array([f"{s}/{name}" for name in files]), pa.array(list(files.values()), pa.binary())], names=["collection", "segment", "path", "content"])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for path, content in zip(pdf.path, pdf.content):
-                rows = []
-                for seq, r in enumerate(decode_log(bytes(content), path)[0], 1):
-                    for o, pid in enumerate(r.ids or (None,)):
-                        rows.append([path.split("/")[-3], seq, o, names[r.kind], pid, list(r.vector) if r.kind == UPSERT else None, r.payload, r.segment_id, r.row_count])
-                yield pd.DataFrame(rows, columns=["collection", "seq", "ord", "op", "id", "vector", "payload", "segment_id", "row_count"]).astype({"segment_id": "Int64", "row_count": "Int64"})
+    return segments.select("collection", "segment_id", "row_count", "ids", "vectors", "payloads", "tombstones").mapInArrow(run, "collection string, segment string, path string, content binary")
 
-    return spark.read.format("binaryFile").load(f"{root}/collections/{collections}/wal/wal.log").select("path", "content").mapInPandas(run, _LOG)
 
-
-def read_manifests(spark: SparkSession, root: str, collections: str = "*") -> DataFrame:
-    """collection, format_version, generation, segment_ids, wal_epoch of each MANIFEST.json."""
-    m = spark.read.schema("formatVersion int, generation bigint, segmentIds array<bigint>, walEpoch bigint").json(f"{root}/collections/{collections}/MANIFEST.json", multiLine=True, mode="FAILFAST")
-    name = F.element_at(F.split(F.input_file_name(), "/"), -2)
-    return m.select(name.alias("collection"), F.col("formatVersion").alias("format_version"), "generation", F.col("segmentIds").alias("segment_ids"), F.col("walEpoch").alias("wal_epoch"))
+def segment_files(segment_id: int, m: np.ndarray, ids: list[str], payloads: list[dict], tombstones: list[str]) -> tuple[dict[str, bytes], dict[str, Any]]:
+    """The files of a segment by name, its meta document last, and that document."""
+    files = {"VECTORS.bin": encode_vectors(m), "IDS.bin": encode_ids(ids), "PAYLOAD.bin": encode_payloads(payloads), "TOMBSTONES.bin": encode_ids(tombstones)}
+    crcs = {k: trailer(files[f]) for k, f in (("vectorsCrc32", "VECTORS.bin"), ("idsCrc32", "IDS.bin"), ("payloadsCrc32", "PAYLOAD.bin"), ("tombstonesCrc32", "TOMBSTONES.bin"))}
+    meta = {"formatVersion": FORMAT_VERSION, "segmentId": segment_id, "dimension": m.shape[1], "rowCount": len(ids), "index": "flat", **crcs}
+    return files | {"SEGMENT_META.json": json.dumps(meta, sort_keys=True).encode()}, meta
 
 
 def write_segment(folder: Path, segment_id: int, dimension: int, rows: list[tuple[str, list[float], dict]], tombstones: list[str] = ()) -> dict[str, Any]:
     """One segment folder; its meta document comes last."""
     folder.mkdir(parents=True, exist_ok=True)
-    m = np.array([r[1] for r in rows], dtype="<f4").reshape(-1, dimension)
-    files = {"VECTORS.bin": encode_vectors(m), "IDS.bin": encode_ids([r[0] for r in rows]), "PAYLOAD.bin": encode_payloads([r[2] for r in rows]), "TOMBSTONES.bin": encode_ids(list(tombstones))}
+    files, meta = segment_files(segment_id, np.array([r[1] for r in rows], dtype="<f4").reshape(-1, dimension), [r[0] for r in rows], [r[2] for r in rows], list(tombstones))
     for name, data in files.items():
         (folder / name).write_bytes(data)
-    crcs = {k: trailer(files[f]) for k, f in (("vectorsCrc32", "VECTORS.bin"), ("idsCrc32", "IDS.bin"), ("payloadsCrc32", "PAYLOAD.bin"), ("tombstonesCrc32", "TOMBSTONES.bin"))}
-    meta = {"formatVersion": FORMAT_VERSION, "segmentId": segment_id, "dimension": dimension, "rowCount": len(rows), "index": "flat", **crcs}
-    (folder / "SEGMENT_META.json").write_text(json.dumps(meta, sort_keys=True))
     return meta

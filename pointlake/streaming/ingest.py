@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StructType
 
 from pointlake.operators.changes import compose
 from pointlake.plans.collection import Collection
@@ -53,5 +54,5 @@ def latest_by_key(changes: DataFrame, watermark: str | None = None) -> DataFrame
     return compose(changes, ("id",)).where("op = 'upsert'").select("id", "value", "order")
 
 
-def change_stream(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1) -> DataFrame:
+def change_stream(spark: SparkSession, folder: str, schema: str | StructType, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)

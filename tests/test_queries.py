@@ -13,8 +13,8 @@ def test_as_sql(spark, name):
 
 
 def test_without_sql(spark):
-    assert {n for n in QUERIES if n not in SQL} == {"p1_live_points", "crc32_ids", "segment_checksums"}
-    for name in ("p1_live_points", "crc32_ids", "segment_checksums"):
+    assert {n for n in QUERIES if n not in SQL} == {"p1_live_points", "segment_checksums"}
+    for name in ("p1_live_points", "segment_checksums"):
         assert QUERIES[name](spark, str(DATA)).count() > 0
 
 
