@@ -97,16 +97,25 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, max_repeats: int,
     return int(passes), extra
 
 
+def wanted(targets: DataFrame, total: int) -> DataFrame:
+    """mix, source (as source_key), target_share, max_repeats, total_factor, budget: one row a source of a mix. Targets that name a source
+    twice, or in two spellings, add up; the greater repeats and factor count."""
+    t = targets.where("mix is not null and source is not null and target_share > 0").select("mix", source_key(F.col("source")).alias("source"), "target_share", "max_repeats", "total_factor").where("source is not null")
+    t = t.groupBy("mix", "source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"), F.max("total_factor").alias("total_factor"))
+    return t.withColumn("budget", F.round(F.col("target_share") * F.col("total_factor") * F.lit(float(total))).cast("bigint"))
+
+
+def total_tokens(sizes: DataFrame) -> int:
+    return sizes.agg(F.sum("n_tokens")).first()[0] or 0
+
+
 def plan(docs: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     """mix, source, n_tokens, n, passes, extra for each token length of each source of each mix; docs as sized().
 
     One task handles the length histogram of one source of one mix; its rows are bounded by the longest document, not by
     the number of documents.
     """
-    total = docs.agg(F.sum("n_tokens")).first()[0] or 0
-    t = targets.where("mix is not null and source is not null and target_share > 0").select("mix", source_key(F.col("source")).alias("source"), "target_share", "max_repeats", "total_factor")
-    t = t.groupBy("mix", "source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"), F.max("total_factor").alias("total_factor"))
-    t = t.withColumn("budget", F.round(F.col("target_share") * F.col("total_factor") * F.lit(float(total))).cast("bigint"))
+    t = wanted(targets, total_tokens(docs))
     lengths = docs.where("source is not null and n_tokens > 0").groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -125,7 +134,11 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, path: str | None = N
     max_repeats NULL or 0 gives nothing; empty tables give none. Equal lengths of any number are split into hash buckets,
     of which only the one at the border is ranked, so a group that holds a third of all rows is never in one task.
     """
-    d = stage(sized(docs, path), "sized")
+    return mix_sized(stage(sized(docs, path), "sized"), targets, seed)
+
+
+def mix_sized(d: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
+    """mix() of documents whose sizes are known: d as sized() gives it, staged."""
     p = small(plan(d, targets, seed).where("passes > 0 or extra > 0"), "mixplan")
     j = d.join(p, ["source", "n_tokens"]).withColumn("h", F.xxhash64(F.lit(seed), "mix", "doc_id"))
     whole = (F.col("extra") <= 0) | (F.col("extra") >= F.col("n"))
@@ -143,10 +156,10 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, path: str | None = N
     return done.select(*out).unionByName(taken.select(*out)).unionByName(rest.select(*out)).where("copies > 0")
 
 
-def shares(mixed: DataFrame, docs_total: DataFrame, targets: DataFrame) -> DataFrame:
-    """mix, source, target_share, budget, tokens, share: what mix() reached; docs_total has the one column total."""
+def shares(mixed: DataFrame, total: int, targets: DataFrame) -> DataFrame:
+    """mix, source, target_share, budget, tokens, share, documents, most_copies, max_repeats: what mix() reached of the targets, one row
+    a source of a mix; total: tokens of the whole corpus. A mix that used nothing has NULL shares."""
     used = mixed.groupBy("mix", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.sum("copies").alias("documents"), F.max("copies").alias("most_copies"))
-    t = targets.select("mix", source_key(F.col("source")).alias("source"), "target_share", "max_repeats", "total_factor").crossJoin(F.broadcast(docs_total))
-    out = t.join(used, ["mix", "source"], "left").fillna(0, ["tokens", "documents", "most_copies"])
+    out = wanted(targets, total).join(used, ["mix", "source"], "left").fillna(0, ["tokens", "documents", "most_copies"])
     w = Window.partitionBy("mix")
-    return out.select("mix", "source", "target_share", F.round(F.col("target_share") * F.col("total_factor") * F.col("total")).cast("bigint").alias("budget"), "tokens", (F.col("tokens") / F.sum("tokens").over(w)).alias("share"), "documents", "most_copies", "max_repeats")
+    return out.select("mix", "source", "target_share", "budget", "tokens", F.try_divide(F.col("tokens"), F.sum("tokens").over(w)).alias("share"), "documents", "most_copies", "max_repeats")

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointlake.llm import clusters, diversity, mixing, neighbors, residue, tokens
+from pointlake.llm.sources import source_key
+from pointlake.operators import search
 from pointlake.session import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +40,14 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return tokens.count(table(spark, d, "documents"))
 
 
+@query("p6_bounds", "SELECT doc_id, coalesce(text, '') = '' AS none, true AS within_bytes FROM documents")
+def p6_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Only null and empty texts have no tokens, and no text has more tokens than bytes."""
+    docs = table(spark, d, "documents")
+    n = tokens.count(docs).join(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")), "doc_id")
+    return n.select("doc_id", (F.col("n_tokens") == 0).alias("none"), (F.col("n_tokens") <= F.col("bytes")).alias("within_bytes"))
+
+
 @query("p8_found")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find(table(spark, d, "documents"))
@@ -50,9 +60,22 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p7_shares")
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    sizes = stage(mixing.sized(table(spark, d, "documents")), "sized")
+    return mixing.shares(mixing.mix_sized(sizes, targets), mixing.total_tokens(sizes), targets)
+
+
+@query("p7_holds", r"""WITH d AS (SELECT doc_id, nullif(lower(regexp_replace(source, '^[\s\x{A0}\x{200B}\x{3000}]+|[\s\x{A0}\x{200B}\x{3000}]+$', '', 'g')), '') AS source, coalesce(text, '') <> '' AS has_text FROM documents),
+    t AS (SELECT DISTINCT mix, lower(trim(source)) AS source FROM mix_targets WHERE target_share > 0)
+    SELECT mix, source, true AS within_budget, true AS within_repeats, true AS of_source, (SELECT count(*) FROM d WHERE d.source = t.source AND has_text) > 0 AS used FROM t""")
+def p7_holds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source of each mix keeps to its budget and repeats, holds documents of that source only, and is used at all."""
     docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
-    total = tokens.count(docs).agg(F.sum("n_tokens").alias("total"))
-    return mixing.shares(mixing.mix(docs, targets), total, targets)
+    sizes = stage(mixing.sized(docs), "sized")
+    mixed = stage(mixing.mix_sized(sizes, targets), "mixed")
+    own = mixed.join(docs.select("doc_id", source_key(F.col("source")).alias("true")).distinct(), "doc_id").groupBy("mix", "source").agg(F.bool_and(F.col("true") == F.col("source")).alias("own"))
+    s = mixing.shares(mixed, mixing.total_tokens(sizes), targets).join(own, ["mix", "source"], "left")
+    return s.select("mix", "source", (F.col("tokens") <= F.col("budget")).alias("within_budget"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"), F.coalesce("own", F.lit(True)).alias("of_source"), (F.col("tokens") > 0).alias("used"))
 
 
 # Distances up to which two points are near in the stated cases.
@@ -93,6 +116,23 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return clusters.isolated(table(spark, d, "points"), table(spark, d, "collection_configs"), TOGETHER)
 
 
+@query("p3_neighbor_counts", f"""WITH {_USABLE}, size AS (SELECT collection, count(*) AS n FROM u GROUP BY ALL)
+    SELECT collection, id, least(10, size.n - 1) AS neighbors FROM u JOIN size USING (collection) WHERE size.n > 1""")
+def p3_neighbor_counts(spark: SparkSession, d: str) -> DataFrame:
+    return p3_neighbors(spark, d).groupBy("collection", "id").agg(F.countDistinct("neighbor").alias("neighbors"))
+
+
+@query("p3_recall", "SELECT true AS enough, 10::BIGINT AS k")
+def p3_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether at least 0.9 of the ten nearest of every fiftieth point, by an exact search over all points, are found."""
+    points, configs = table(spark, d, "points"), table(spark, d, "collection_configs")
+    true = search.collection_knn(points, configs, 11, F.expr("try_cast(right(id, 6) as bigint) % 50 = 0")).where("qid <> id").select("collection", "qid", "distance", "rank")
+    limit = true.groupBy("collection", "qid").agg(F.max(F.when(F.col("rank") <= 11, F.col("distance"))).alias("limit"), F.least(F.count(F.lit(1)), F.lit(10)).alias("n"))
+    found = neighbors.neighbors(points, configs).select("collection", F.col("id").alias("qid"), F.col("distance").alias("d"))
+    hits = limit.join(found, ["collection", "qid"], "left").groupBy("collection", "qid").agg(F.max("n").alias("n"), F.count_if(F.col("d") <= F.col("limit") + 1e-5).alias("hits"))
+    return hits.agg((F.sum(F.least("hits", "n")) >= 0.9 * F.sum("n")).alias("enough")).select("enough", F.lit(10).cast("long").alias("k"))
+
+
 @query("p4_components")
 def p4_components(spark: SparkSession, d: str) -> DataFrame:
     return clusters.describe(table(spark, d, "points"), table(spark, d, "collection_configs"), TOGETHER)
@@ -103,6 +143,17 @@ def p4_members(spark: SparkSession, d: str) -> DataFrame:
     return clusters.members(table(spark, d, "points"), table(spark, d, "collection_configs"), TOGETHER)
 
 
+@query("p4_member_ids", f"WITH {_USABLE} SELECT collection, id, 1::BIGINT AS components FROM u")
+def p4_member_ids(spark: SparkSession, d: str) -> DataFrame:
+    """In how many components each usable point is: one."""
+    return p4_members(spark, d).groupBy("collection", "id").agg(F.countDistinct("component").alias("components"))
+
+
+@query("p4_component_sizes", f"WITH {_USABLE} SELECT collection, count(*) AS points FROM u GROUP BY collection")
+def p4_component_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return p4_components(spark, d).groupBy("collection").agg(F.sum("size").alias("points"))
+
+
 @query("p2_subset")
 def p2_subset(spark: SparkSession, d: str) -> DataFrame:
     return diversity.varied(table(spark, d, "points"), table(spark, d, "collection_configs"), table(spark, d, "subset_requests"))

@@ -59,7 +59,7 @@ def test_mix(spark):
             assert tokens[mix, source] == repeats * held[source]
     assert tokens["n", "a"] == 3 * held["a"] and {r["mix"] for r in got} == {"m", "n"}
     assert sorted(map(tuple, got)) == sorted(map(tuple, M.mix(d.repartition(7), targets).collect()))  # seeded
-    shares = {(r["mix"], r["source"]): r for r in M.shares(M.mix(d, targets), spark.createDataFrame([(total,)], "total bigint"), targets.where("mix = 'm'")).collect()}
+    shares = {(r["mix"], r["source"]): r for r in M.shares(M.mix(d, targets), total, targets.where("mix = 'm'")).collect()}
     assert abs(sum(r["share"] for r in shares.values()) - 1) < 1e-9 and shares["m", "a"]["tokens"] == tokens["m", "a"]
     assert M.mix(d.limit(0), targets).count() == 0 and M.mix(d, targets.limit(0)).count() == 0
 
@@ -71,3 +71,13 @@ def test_large_groups_are_cut_in_buckets(spark, monkeypatch):
     got = M.mix(d, t).collect()
     per = got[0]["n_tokens"]
     assert sum(r["copies"] for r in got) == (round(1.35 * 500 * per)) // per and {r["copies"] for r in got} == {1, 2}
+
+
+def test_targets_that_name_a_source_twice(spark):
+    d = spark.createDataFrame([(i, "a" if i % 2 else "b", "one two three four") for i in range(40)], "doc_id bigint, source string, text string")
+    t = spark.createDataFrame([("m", "a", 0.25, 2, 0.5), ("m", " A ", 0.25, 3, 0.5), ("m", "b", 0.5, 1, 0.5), ("m", None, 0.5, 1, 0.5), ("m", "  ", 0.5, 1, 0.5)], TARGETS)
+    sizes = M.sized(d)
+    got = {r["source"]: r for r in M.shares(M.mix(d, t), M.total_tokens(sizes), t).collect()}
+    assert set(got) == {"a", "b"} and all(abs(r["share"] - 0.5) < 1e-9 and r["target_share"] == 0.5 and r["tokens"] == r["budget"] for r in got.values()) and got["a"]["max_repeats"] == 3
+    none = M.shares(M.mix(d.limit(0), t), 0, t).collect()
+    assert len(none) == 2 and all(r["tokens"] == 0 and r["share"] is None for r in none)
