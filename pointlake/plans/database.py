@@ -5,9 +5,12 @@ from dataclasses import asdict
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from pointlake.plans.collection import Collection, config_from
-from pointlake.sources.files import Layout, read_json, write_json
+from pointlake.session import stage
+from pointlake.sources.files import Layout, Place, read_json, write_json
+from pointlake.sources.interop import read_documents, read_live
 from pointlake.types import (
     FORMAT_VERSION, BackendUnavailable, BalancedPolicy, Closed, CollectionConfig, CollectionExists, CollectionNotFound, Corrupted, DatabaseConfig,
     InvalidArgument, require_collection_name,
@@ -59,6 +62,20 @@ class Database:
             db._collections[name] = db._make(c, meta["nextSegmentId"])
         return db
 
+    @classmethod
+    def imported(cls, spark: SparkSession, binary: str, path: str | None = None, config: DatabaseConfig | None = None) -> "Database":
+        """A database with the collections and live points of a store in the binary format; fails closed on what doesn't verify."""
+        root = Place(binary)
+        known, live = read_documents(root), None
+        db = cls.open(spark, path, config)
+        for name, c in known.items():
+            made = db.create_collection(config_from(c))
+            live = live if live is not None else stage(read_live(spark, root), "imported")
+            mine = live.where(F.col("collection") == name).drop("collection")
+            if not mine.isEmpty():
+                made.apply(mine.withColumn("op", F.lit("upsert")))
+        return db
+
     def _make(self, c: CollectionConfig, next_segment_id: int = 1) -> Collection:
         return Collection(self.spark, c, self.layout, self.config.durability, self.config.balanced, self._compute, self.config.mutable_segment_max_points, self.config.mutable_segment_max_bytes, next_segment_id)
 

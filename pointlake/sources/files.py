@@ -157,6 +157,25 @@ class Place:
         self._call("write", run)
 
 
+    def append_bytes(self, data: bytes, at: int) -> None:
+        """Cut the file to `at` bytes and write on from there, synced; a missing file is made."""
+        if not self.exists():
+            return self.write_bytes(data)
+
+        def run() -> None:
+            fs = self._fs()
+            if fs.getFileStatus(self._path()).getLen() > at:
+                fs.truncate(self._path(), at)
+            out = fs.append(self._path())
+            try:
+                out.write(bytearray(data))
+                out.hsync()
+            finally:
+                out.close()
+
+        self._call("append to", run)
+
+
 @dataclass
 class SyncStats:
     """Counts syncs; a test may set fail_next to make the next one fail."""

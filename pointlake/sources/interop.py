@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointlake.operators.changes import live_points
+from pointlake.sources.files import Place, read_json
 from pointlake.types import FORMAT_VERSION, MAX_DELETE_IDS, MAX_DIMENSION, MAX_FRAME_BYTES, PAYLOAD, Corrupted, InvalidPointId, StoreError, require_point_id
 
 # Fixed values of the format: magic numbers as stored, record types, and the names of payload kinds.
@@ -249,6 +251,15 @@ def decode_log(data: bytes, what: str = "log") -> tuple[list[Record], int]:
     return records, at
 
 
+def append_log(log: Place, records: list[Record]) -> int:
+    """Write records after the whole ones of a log, over an unfinished tail; gives the records that the log then has. What could not be read
+    again is refused before anything is written."""
+    frames = b"".join(map(encode_record, records))
+    before, at = decode_log(log.read_bytes(), str(log)) if log.exists() else ([], 0)
+    log.append_bytes(frames, at)
+    return len(before) + len(records)
+
+
 # ---- tables
 
 _SEGMENT = "collection string, segment_id bigint, dimension int, row_count bigint, ids array<string>, vectors array<float>, payloads array<" + PAYLOAD.simpleString() + ">, tombstones array<string>, vectors_crc32 bigint, ids_crc32 bigint, payloads_crc32 bigint, tombstones_crc32 bigint"
@@ -291,6 +302,32 @@ def read_segments(spark: SparkSession, root: str, collections: str = "*") -> Dat
     return decode_segments(f)
 
 
+def read_documents(root: Place) -> dict[str, dict[str, Any]]:
+    """The configuration of each collection of a store, from DB_META, CATALOG and COLL_META, which must agree."""
+    read_json(root / "DB_META.json")
+    out = {}
+    for name, path in read_json(root / "CATALOG.json").get("collections", {}).items():
+        meta = read_json(root / path / "COLL_META.json")
+        config = meta.get("config", {})
+        if path != f"collections/{name}" or config.get("name") != name:
+            raise _fail(f"{root}/{path}", "the catalog and the collection's meta document differ")
+        out[name] = config | {"nextSegmentId": meta.get("nextSegmentId", 1)}
+    return out
+
+
+def read_live(spark: SparkSession, root: Place) -> DataFrame:
+    """collection, id, vector, payload of all live points of a store: its published segments, then its log."""
+    db = lambda df: df.withColumn("db_id", F.lit(""))
+    folder = str(root)
+    names = [p for p in (root / "collections").iterdir() if p.is_dir()]
+    segments = [s for c in names for s in (c / "segments").iterdir() if s.is_dir()]
+    empty = lambda schema: spark.createDataFrame([], schema)
+    s = read_segments(spark, folder) if segments else empty(_SEGMENT)
+    w = read_log(spark, folder) if any((c / "wal/wal.log").exists() for c in names) else empty(_LOG)
+    m = read_manifests(spark, folder) if any((c / "MANIFEST.json").exists() for c in names) else empty("collection string, format_version int, generation bigint, segment_ids array<bigint>, wal_epoch bigint")
+    return live_points(db(w), db(s), db(m)).drop("db_id")
+
+
 def decode_segments(files: DataFrame) -> DataFrame:
     """Segments of files (collection, segment, path, content), verified; a segment's files are decoded by one task."""
     return files.groupBy("collection", "segment").applyInPandas(_decode_segment, _SEGMENT)
@@ -309,6 +346,32 @@ def segment_blobs(segments: DataFrame) -> DataFrame:
     return segments.select("collection", "segment_id", "row_count", "ids", "vectors", "payloads", "tombstones").mapInArrow(run, "collection string, segment string, path string, content binary")
 
 
+_LOG = "collection string, seq bigint, ord int, op string, id string, vector array<float>, payload " + PAYLOAD.simpleString() + ", segment_id bigint, row_count bigint"
+
+
+def read_log(spark: SparkSession, root: str, collections: str = "*") -> DataFrame:
+    """The records of root/collections/<name>/wal/wal.log as log rows; seq counts a log's records from 1."""
+    names = {UPSERT: "upsert", DELETE: "delete", CHECKPOINT: "checkpoint", SEAL_V1: "seal", SEAL_V2: "seal"}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for path, content in zip(pdf.path, pdf.content):
+                rows = []
+                for seq, r in enumerate(decode_log(bytes(content), path)[0], 1):
+                    for o, pid in enumerate(r.ids or (None,)):
+                        rows.append([path.split("/")[-3], seq, o, names[r.kind], pid, list(r.vector) if r.kind == UPSERT else None, r.payload, r.segment_id, r.row_count])
+                yield pd.DataFrame(rows, columns=["collection", "seq", "ord", "op", "id", "vector", "payload", "segment_id", "row_count"]).astype({"segment_id": "Int64", "row_count": "Int64"})
+
+    return spark.read.format("binaryFile").load(f"{root}/collections/{collections}/wal/wal.log").select("path", "content").mapInPandas(run, _LOG)
+
+
+def read_manifests(spark: SparkSession, root: str, collections: str = "*") -> DataFrame:
+    """collection, format_version, generation, segment_ids, wal_epoch of each MANIFEST.json."""
+    m = spark.read.schema("formatVersion int, generation bigint, segmentIds array<bigint>, walEpoch bigint").json(f"{root}/collections/{collections}/MANIFEST.json", multiLine=True, mode="FAILFAST")
+    name = F.element_at(F.split(F.input_file_name(), "/"), -2)
+    return m.select(name.alias("collection"), F.col("formatVersion").alias("format_version"), "generation", F.col("segmentIds").alias("segment_ids"), F.col("walEpoch").alias("wal_epoch"))
+
+
 def segment_files(segment_id: int, m: np.ndarray, ids: list[str], payloads: list[dict], tombstones: list[str]) -> tuple[dict[str, bytes], dict[str, Any]]:
     """The files of a segment by name, its meta document last, and that document."""
     files = {"VECTORS.bin": encode_vectors(m), "IDS.bin": encode_ids(ids), "PAYLOAD.bin": encode_payloads(payloads), "TOMBSTONES.bin": encode_ids(tombstones)}

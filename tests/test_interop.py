@@ -109,3 +109,44 @@ def test_a_store_as_tables(spark, tmp_path):
     (base / "segments/1/IDS.bin").write_bytes(bytes(data))
     with pytest.raises(Exception, match="checksum"):
         I.read_segments(spark, root).collect()
+
+
+def binary_store(path):
+    from pointlake.types import Metric
+
+    (path / "collections/notes").mkdir(parents=True)
+    I.write_segment(path / "collections/notes/segments/1", 1, 2, [("a", [1.0, 0.0], PAYLOAD), ("b", [2.0, 0.0], {}), ("c", [3.0, 0.0], {})])
+    I.write_segment(path / "collections/notes/segments/2", 2, 2, [("b", [5.0, 0.0], {})], ["c"])
+    I.write_segment(path / "collections/notes/segments/9", 9, 2, [("orphan", [5.0, 0.0], {})])
+    docs = {"DB_META.json": {"config": {}}, "CATALOG.json": {"collections": {"notes": "collections/notes", "none": "collections/none"}},
+            "collections/notes/COLL_META.json": {"config": {"name": "notes", "dimension": 2, "metric": Metric.L2.value, "index": "flat", "normalizeVectors": False}, "nextSegmentId": 10},
+            "collections/none/COLL_META.json": {"config": {"name": "none", "dimension": 3, "metric": "cosine", "index": "flat", "normalizeVectors": True}, "nextSegmentId": 1},
+            "collections/notes/MANIFEST.json": {"generation": 4, "segmentIds": [1, 2], "walEpoch": 2}}
+    for name, d in docs.items():
+        (path / name).parent.mkdir(parents=True, exist_ok=True)
+        (path / name).write_text(json.dumps({"formatVersion": 1} | d))
+    (path / "collections/notes/wal").mkdir()
+    return path
+
+
+def test_a_whole_store_is_imported(spark, tmp_path):
+    from pointlake.plans.database import Database
+    from pointlake.sources.files import Place
+    from pointlake.types import SearchRequest
+
+    root = binary_store(tmp_path / "binary")
+    log = Place(root / "collections/notes/wal/wal.log")
+    assert I.append_log(log, [I.Record(I.UPSERT, ("d",), (9.0, 0.0), {}), I.Record(I.DELETE, ("a",))]) == 2
+    with open(root / "collections/notes/wal/wal.log", "ab") as f:
+        f.write(b"\x40\0\0\0\1torn")
+    assert I.append_log(log, [I.Record(I.CHECKPOINT)]) == 3 and len(I.decode_log(log.read_bytes())[0]) == 3  # over the torn tail
+    db = Database.imported(spark, str(root), str(tmp_path / "own"))
+    assert db.list_collections() == ["none", "notes"] and db.collection("none").count() == 0
+    for c in (db.collection("notes"), Database.open(spark, str(tmp_path / "own")).collection("notes")):
+        assert [(s.id, s.distance) for s in c.search(SearchRequest([0.0, 0.0], 9))] == [("b", 5), ("d", 9)]
+    for name, change in (("CATALOG.json", {"collections": {"notes": "collections/none"}}), ("DB_META.json", {"formatVersion": 7})):
+        bad = binary_store(tmp_path / name)
+        d = json.loads((bad / name).read_text())
+        (bad / name).write_text(json.dumps(d | change))
+        with pytest.raises(Corrupted):
+            Database.imported(spark, str(bad))
