@@ -460,11 +460,11 @@ def read(vecs: pd.Series, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(vecs), dtype="<f4").reshape(-1, dim)
 
 
-def agreeing(met: DataFrame, known: dict[str, Shape], within: dict[str, float]) -> DataFrame:
+def agreeing(met: DataFrame, known: dict[str, Shape], within: dict[str, float], most_parts: int) -> DataFrame:
     """collection, rid, size (rows), sum, far: of the sets met (collection, rid, id, vec, parts) those of which any two rows are within reach.
 
     sum is that of the rows as metric_rows() has them, far the greatest distance of one to their mean. Sets of more than CHUNK rows
-    are taken in parts of about that many: first each part by itself, which refuses most, then parts with each other, unless all rows are
+    are taken in parts of about that many (most_parts: of the largest set): first each part by itself, which refuses most, then parts with each other, unless all rows are
     so near to the mean that any two are near.
     """
     def within_part(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -492,7 +492,10 @@ def agreeing(met: DataFrame, known: dict[str, Shape], within: dict[str, float])
 
     kind = "collection string, rid string, size long, sum binary, far double"
     cut = met.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-    first = stage(cut.groupBy("collection", "rid", "part").applyInPandas(within_part, f"{kind}, ok boolean"), "parts")
+    first = cut.groupBy("collection", "rid", "part").applyInPandas(within_part, f"{kind}, ok boolean")
+    if most_parts <= 1:
+        return first.where("ok").drop("ok")
+    first = stage(first, "parts")
     refused = first.where("not ok").select("collection", "rid").distinct()
     good = first.join(refused, ["collection", "rid"], "left_anti").drop("ok")
     n = good.groupBy("collection", "rid").agg(F.count(F.lit(1)).alias("parts"))
@@ -575,9 +578,11 @@ def isolated(points: DataFrame, configs: DataFrame, within: dict[str, float], le
         h = stage(hits(reps, block, known, within), "hits")
         met = h if met is None else met.unionByName(h)
     sizes = met.groupBy("collection", "rid").agg(F.sum("n").alias("weight"), F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts")).where(F.col("weight") >= least)
-    met = stage(met.join(small(sizes.select("collection", "rid", "parts"), "sizes"), ["collection", "rid"]), "sets")
+    sizes = small(sizes.select("collection", "rid", "parts"), "sizes")
+    most_parts = sizes.agg(F.max("parts")).first()[0] or 0
+    met = stage(met.join(sizes, ["collection", "rid"]), "sets")
 
-    sets = stage(agreeing(met, known, within).join(asking.select("collection", F.col("id").alias("rid"), "vec"), ["collection", "rid"]), "agreeing")
+    sets = stage(agreeing(met, known, within, most_parts).join(asking.select("collection", F.col("id").alias("rid"), "vec"), ["collection", "rid"]), "agreeing")
 
     @F.pandas_udf("binary")
     def mean(s: pd.Series, n: pd.Series) -> pd.Series:

@@ -61,6 +61,7 @@ _DATE = re.compile(r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}(?:[ t]\d{1,2}:\d{2}(?::\d{2
 _MAIL = std.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
 _NETWORK = std.compile(r"\b\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?\b|\b(?:[0-9a-f]{0,4}:){3,7}[0-9a-f]{1,4}\b")
 _STREET = std.compile(r"\b\d+ (?:\w+ ){1,3}(?:street|st\.|road|rd\.|avenue|ave\.|lane|drive|boulevard|blvd\.)(?!\w)|\b\d+,? (?:rue|avenue|boulevard|calle|rua) (?:\w+ ?){1,4}|(?<=[a-zß])(?:straße|strasse|weg|platz) \d+\b")
+_STREETS = ("street", " st.", "road", " rd.", "avenue", " ave.", "lane", "drive", "boulevard", " blvd.", "rue ", "calle ", "rua ", "straße", "strasse", "weg ", "platz ")  # what _STREET needs
 _FILE = std.compile(r"(?<![\w</])/(?:[\w.-]+/)+[\w.-]*|(?<![\w</.])[\w-]+(?:/[\w.-]+)+\.[a-z]{1,5}\b|(?<!\w)[a-z]:\\[\w\\.-]+")
 _NAME = std.compile(r"\$[a-z_]\w*|\w+\(\)|(?<!\w)[a-z][^\W_]*_\w+")
 _NUMBER = std.compile(r"\d+")
@@ -80,7 +81,15 @@ _HIDDEN = re.compile(r"[\u00ad\u200b-\u200d\u2060\ufeff]")
 
 # ---- rules; they see masked units in lower case
 # What authors say of themselves, ask or explain: such units are talk, not messages.
-TALK = re.compile(r"[?？]$|[?？]\s|¿|\b(?:i|i'm|i've|i'd|i'll|my|mine|anyone|somebody|someone|why|how (?:do|does|can|could|to|would)|which|although|because|have you|let me|used to|fix|handler|instead|on purpose|mock-up)\b|\b(?:ich|mein\w*|mir|warum|wieso|weil|obwohl|damals)\b|\b(?:je|mon|ma|mes|pourquoi|parce)\b|\bj['’]|\b(?:yo|mi|por qué|porque|aunque)\b|\b(?:eu|meu|minha|por que)\b|(?<!\w)(?:я|мой|моя|мне|почему|потому)(?!\w)|なぜ|どうして|でしょうか|ますか")
+TALK_WORDS = frozenset("i i'm i've i'd i'll my mine anyone somebody someone why which although because fix handler instead mock-up ich mein meine meinen meinem meiner mir warum wieso weil obwohl damals je mon ma mes pourquoi parce yo mi porque aunque eu meu minha я мой моя мне почему потому".split())
+TALK_PHRASES = ("have you", "let me", "used to", "on purpose", "how do", "how does", "how can", "how could", "how to", "how would", "por qué", "por que", " j'", " j’", "なぜ", "どうして", "でしょうか", "ますか", "?", "？", "¿")
+
+
+def talk(key: str) -> bool:
+    """Whether a unit is talk of authors, not a message."""
+    return not TALK_WORDS.isdisjoint(key.replace(",", " ").replace(";", " ").split()) or any(p in key for p in TALK_PHRASES) or key.startswith(("j'", "j’"))
+
+
 _ON = r"(?:enabled?|enabling|required?|requires|needs?|needed|turn(?:ed)? on|switch(?:ed)? on|allow(?:ed)?|activated?|must be|disabled|blocked|turned off|seems? to be off|is off|are off|does not support|doesn't support|not supported|not running|without|works? only|only works?|not available|cannot be|benötigt|erforderlich|aktivieren|aktiviert|deaktiviert|einschalten|schalten|erlauben|nécessite|nécessaire|requis|activer|activez|autoriser|autorisez|désactivé|requiere|necesita|habilitar?|habilite|activar?|active|desactivado|precisa|necessário|ativar|ative|permitir|permita|desativado|requer|включит[ье]|разреши(?:те|ть)|требуется|необходим\w*|нужн\w*|отключ\w*)"
 SCRIPT = re.compile(rf"<js>.*?(?<!\w){_ON}(?!\w)|(?<!\w){_ON}(?!\w).*?<js>|<js>.{{0,12}}(?:有効|オン|必要|無効|許可)|<js> ein(?:schalten|,|\.|$)|^noscript: ")
 SCRIPT_TALK = re.compile(r"\b(?:you can|they|test browser|switched off|turn .{1,20} off|programming|language)\b")
@@ -147,7 +156,9 @@ def masked(x: str) -> str:
     if "_" in x or "$" in x or "()" in x:
         x = _NAME.sub(" <a> ", x)
     if _NUMBER.search(x):
-        x = _NUMBER.sub("0", _HEX.sub("0", _DATE.sub("0:0", _STREET.sub(" <a> ", _NETWORK.sub(" <a> ", x)))))
+        if any(w in x for w in _STREETS):
+            x = _STREET.sub(" <a> ", x)
+        x = _NUMBER.sub("0", _HEX.sub("0", _DATE.sub("0:0", _NETWORK.sub(" <a> ", x))))
     if "script" in x or "js" in x or "скрипт" in x or "スクリプト" in x:
         x = _SCRIPTS.sub("<js>", x)
     return _THING.sub("<x>", x)
@@ -220,7 +231,7 @@ def keys(text: str) -> dict[str, list[str] | None]:
             else:
                 out[key] = words
         if len(parts := _CUT.split(key)) > 1:
-            if not TALK.search(key):
+            if not talk(key):
                 for p in parts:
                     if len(p) >= 4:
                         out.setdefault(p, None)
@@ -235,7 +246,7 @@ def classify(key: str) -> str | None:
         return {FIELD: "field", PAGE: "error"}.get(key, "filler")
     if FIELD in key:
         return None if ABOUT.search(key) else "field"
-    if TALK.search(key):
+    if talk(key):
         return None
     if UNFILLED.search(key) or PROMPT.search(key):
         return "field"
