@@ -123,13 +123,19 @@ def replay_start(wal: DataFrame, published: DataFrame) -> DataFrame:
     return seals.join(published, ["db_id", "collection", "segment_id"]).groupBy("db_id", "collection").agg(F.max(F.struct("seq", "ord")).alias("start"))
 
 
+def replayed(wal: DataFrame, published: DataFrame, value: Column) -> DataFrame:
+    """db_id, collection, id (NFC), op, seq, ord, value of the upserts and deletes that aren't in published segments yet."""
+    w = wal.where(F.col("op").isin("upsert", "delete") & F.col("seq").isNotNull() & F.col("id").isNotNull())
+    w = w.select("db_id", "collection", "id", "op", F.col("seq").cast("long").alias("seq"), F.coalesce("ord", F.lit(0)).cast("long").alias("ord"), value.alias("value"))
+    start = replay_start(wal, published).select("db_id", "collection", F.struct(F.col("start.seq").cast("long").alias("seq"), F.col("start.ord").cast("long").alias("ord")).alias("start"))
+    w = w.join(small(start, "replay"), ["db_id", "collection"], "left").where(F.col("start").isNull() | (F.struct("seq", "ord") > F.col("start")))
+    return w.select("db_id", "collection", nfc(F.col("id")).alias("id"), "op", "seq", "ord", "value")
+
+
 def log_changes(wal: DataFrame, published: DataFrame, value: Column) -> DataFrame:
     """The records to replay as changes, ordered (1, seq, ord, 0)."""
-    w = wal.where(F.col("op").isin("upsert", "delete") & F.col("seq").isNotNull() & F.col("id").isNotNull())
-    w = w.select("db_id", "collection", "id", "op", "seq", F.coalesce("ord", F.lit(0)).alias("ord"), value.alias("value"))
-    w = w.join(small(replay_start(wal, published), "replay"), ["db_id", "collection"], "left").where(F.col("start").isNull() | (F.struct("seq", "ord") > F.col("start")))
-    order = F.struct(F.lit(1).alias("phase"), F.col("seq").cast("long").alias("a"), F.col("ord").cast("long").alias("b"), F.lit(0).cast("long").alias("c"))
-    return w.select("db_id", "collection", nfc(F.col("id")).alias("id"), order.alias("order"), "op", "value")
+    order = F.struct(F.lit(1).alias("phase"), F.col("seq").alias("a"), F.col("ord").alias("b"), F.lit(0).cast("long").alias("c"))
+    return replayed(wal, published, value).select(*STORE_KEY, order.alias("order"), "op", "value")
 
 
 def live_rows(wal: DataFrame, segments: DataFrame, manifests: DataFrame, value: Column, values: Column, span: int = 1024) -> DataFrame:
@@ -189,7 +195,7 @@ def live_points(wal: DataFrame, segments: DataFrame, manifests: DataFrame) -> Da
     state = stage(apply_changes(segment_changes(s, published, row_places()), log, STORE_KEY, F.floor(F.col("order.a") / F.lit(1024))), "live")
     sealed = rows_at(s, state.where("order.phase = 0").select("db_id", "collection", "value.segment_id", "value.place", "value.row"))
     at = state.where("order.phase = 1").select(*STORE_KEY, F.col("order.a").alias("seq"), F.col("order.b").alias("ord"))
-    w = wal.where("op = 'upsert' and seq is not null and id is not null").select("db_id", "collection", nfc(F.col("id")).alias("id"), F.col("seq").cast("long").alias("seq"), F.coalesce("ord", F.lit(0)).cast("long").alias("ord"), F.struct("vector", "payload").alias("value"))
+    w = replayed(wal.where("op <> 'delete'"), published, F.struct("vector", "payload")).drop("op")
     by = [*STORE_KEY, "seq", "ord"]
     logged = w.join(at, by).groupBy(*by).agg(F.max_by("value", F.xxhash64(F.to_json(F.struct("value")))).alias("value"))
     return sealed.select(*STORE_KEY, "vector", "payload").unionByName(logged.select(*STORE_KEY, "value.vector", "value.payload"))
