@@ -82,12 +82,12 @@ _HIDDEN = re.compile(r"[\u00ad\u200b-\u200d\u2060\ufeff]")
 # ---- rules; they see masked units in lower case
 # What authors say of themselves, ask or explain: such units are talk, not messages.
 TALK_WORDS = frozenset("i i'm i've i'd i'll my mine anyone somebody someone why which although because fix handler instead mock-up ich mein meine meinen meinem meiner mir warum wieso weil obwohl damals je mon ma mes pourquoi parce yo mi porque aunque eu meu minha я мой моя мне почему потому".split())
-TALK_PHRASES = ("have you", "let me", "used to", "on purpose", "how do", "how does", "how can", "how could", "how to", "how would", "por qué", "por que", " j'", " j’", "なぜ", "どうして", "でしょうか", "ますか", "?", "？", "¿")
+TALK_PHRASES = ("have you", "let me", "used to", "on purpose", "how do", "how does", "how can", "how could", "how to", "how would", "por qué", "por que", " j'", " j’", "なぜ", "どうして", "でしょうか", "ますか", "? ", "¿")
 
 
 def talk(key: str) -> bool:
     """Whether a unit is talk of authors, not a message."""
-    return not TALK_WORDS.isdisjoint(key.replace(",", " ").replace(";", " ").split()) or any(p in key for p in TALK_PHRASES) or key.startswith(("j'", "j’"))
+    return not TALK_WORDS.isdisjoint(key.replace(",", " ").replace(";", " ").split()) or key.endswith("?") or any(p in key for p in TALK_PHRASES) or key.startswith(("j'", "j’"))
 
 
 _ON = r"(?:enabled?|enabling|required?|requires|needs?|needed|turn(?:ed)? on|switch(?:ed)? on|allow(?:ed)?|activated?|must be|disabled|blocked|turned off|seems? to be off|is off|are off|does not support|doesn't support|not supported|not running|without|works? only|only works?|not available|cannot be|benötigt|erforderlich|aktivieren|aktiviert|deaktiviert|einschalten|schalten|erlauben|nécessite|nécessaire|requis|activer|activez|autoriser|autorisez|désactivé|requiere|necesita|habilitar?|habilite|activar?|active|desactivado|precisa|necessário|ativar|ative|permitir|permita|desativado|requer|включит[ье]|разреши(?:те|ть)|требуется|необходим\w*|нужн\w*|отключ\w*)"
