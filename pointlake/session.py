@@ -72,6 +72,12 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if a scan gives fewer: for costly work on few bytes. Large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 #: A table is broadcast up to so many rows and stored (compressed) bytes; in memory it may take several times as much.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
 
