@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pointlake.llm import bpe
 from pointlake.llm.sources import source_key
-from pointlake.session import small, stage
+from pointlake.session import small, spread, stage
 
 #: Budget in tokens that the dynamic program takes on; what is above it is filled in seeded order of lengths first.
 KNAPSACK = 1 << 16
@@ -38,7 +38,7 @@ def sized(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(t.encode(x.as_py())) for x in b.column(2)], pa.int64())], names=["doc_id", "source", "n_tokens"])
 
     d = docs.where("doc_id is not null").select("doc_id", source_key(F.col("source")).alias("source"), "text")
-    d = d.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, source string, n_tokens bigint")
+    d = spread(d).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, source string, n_tokens bigint")
     return d.groupBy("doc_id").agg(F.max(F.struct("n_tokens", "source")).alias("m")).select("doc_id", "m.source", "m.n_tokens")
 
 

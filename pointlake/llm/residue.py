@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointlake.llm.sources import source_key
-from pointlake.session import small, stage
+from pointlake.session import small, spread, stage
 
 # ---- what only shows text
 _I = re.I | re.M
@@ -271,7 +271,7 @@ def messages(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([k.encode("utf-8", "replace") for k in out], pa.binary()).cast(pa.string()), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "source", "key", "words"])
 
     d = docs.select("doc_id", F.coalesce(source_key(F.col("source")), F.lit("")).alias("source"), "text").where("length(trim(text)) > 0")
-    return d.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, source string, key string, words array<string>").withColumn("h", F.xxhash64("key"))
+    return spread(d).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, source string, key string, words array<string>").withColumn("h", F.xxhash64("key"))
 
 
 def dummy(m: DataFrame, min_docs: int, min_sources: int) -> DataFrame:

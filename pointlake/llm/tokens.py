@@ -12,13 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pointlake.llm import bpe
+from pointlake.session import spread
 
 #: Ids after which an output batch is handed over.
 MAX_IDS = 1 << 22
 
 
 def _mapped(df: DataFrame, id_col: str, in_col: str, fn: object, out: str) -> DataFrame:
-    return df.select(df[id_col].alias("_id"), df[in_col].alias("_in")).mapInArrow(fn, f"_id {dict(df.dtypes)[id_col]}, {out}").withColumnRenamed("_id", id_col)
+    return spread(df.select(df[id_col].alias("_id"), df[in_col].alias("_in"))).mapInArrow(fn, f"_id {dict(df.dtypes)[id_col]}, {out}").withColumnRenamed("_id", id_col)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
