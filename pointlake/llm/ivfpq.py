@@ -78,6 +78,7 @@ class Model:
     blocks: int
     probe_share: float  # of the rows that a query is compared with; 0: cells within its radius
     radius: float  # Euclidean, in the index's space; for probe_share 0
+    near_cells: int  # of the cells within the radius, as many of the nearest are asked; 0: all
 
     def prepared(self, x: Array) -> Array:
         """Rows as the index sees them: dimensions padded to whole slices."""
@@ -97,12 +98,15 @@ class Model:
     def probes(self, q: Array, cells: slice = slice(None)) -> Array:
         """(queries, cells): whether a query (prepared) asks a cell. With a radius these are all cells that can hold a row within
         it: a row of cell b is on b's side of the plane between b and the query's nearest centroid a, so that plane is no further
-        from the query than the radius. Else the nearest cells that hold probe_share of the rows, four at least."""
+        from the query than the radius; of these the near_cells nearest are asked. Else the nearest cells that hold probe_share of the rows, four at least."""
         d = sq_distances(q, self.centroids)
         if not self.probe_share:
             a = d.argmin(1)
             apart = np.sqrt(sq_distances(self.centroids[np.unique(a)], self.centroids))[np.unique(a, return_inverse=True)[1]]
-            return ((d - d[np.arange(len(q)), a][:, None]) <= 2 * self.radius * apart + 1e-4)[:, cells]
+            asked = (d - d[np.arange(len(q)), a][:, None]) <= 2 * self.radius * apart + 1e-4
+            if 0 < self.near_cells < d.shape[1]:
+                asked &= d <= np.partition(d, self.near_cells - 1, axis=1)[:, self.near_cells - 1, None]
+            return asked[:, cells]
         if self.probe_share >= 1:
             return np.ones((len(q), len(self.centroids)), dtype=bool)[:, cells]
         order = np.argsort(d, axis=1)
@@ -140,7 +144,7 @@ def radius_of(metric: str, within: float, top_norm: float, norms: float) -> floa
     return float(np.sqrt(max({"l2": within**2, "l2Squared": within, "cosine": 2 * within, "innerProduct": norms**2 + top_norm**2 + 2 * within}[metric], 0))) * (1 + 1e-5)
 
 
-def train(x: Array, metric: str, total: int, top_norm: float, cells: int, slices: int, block_rows: int, within: float | None = None, seed: int = 7) -> Model:
+def train(x: Array, metric: str, total: int, top_norm: float, cells: int, slices: int, block_rows: int, within: float | None = None, near_cells: int = 0, seed: int = 7) -> Model:
     """A model from a sample x (rows as stored) of a collection with total rows; cells stand in the order of a tree and are put
     into blocks of about block_rows rows, a cell of more into several."""
     rng = np.random.default_rng(seed)
@@ -161,7 +165,7 @@ def train(x: Array, metric: str, total: int, top_norm: float, cells: int, slices
         if pieces[i] > 1:
             now, held = now + int(pieces[i]), 0.0
     blocks = int((block + pieces).max())
-    return Model(metric, x.shape[1], top_norm, c, np.stack([b[:entries] for b in books]), share, block, pieces, blocks, 1.0 if within is None else 0.0, 0.0 if within is None else radius_of(metric, within, top_norm, top_norm))
+    return Model(metric, x.shape[1], top_norm, c, np.stack([b[:entries] for b in books]), share, block, pieces, blocks, 1.0 if within is None else 0.0, 0.0 if within is None else radius_of(metric, within, top_norm, top_norm), near_cells)
 
 
 def exact(metric: str, q: Array, rows: Array) -> Array:

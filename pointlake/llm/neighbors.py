@@ -5,7 +5,7 @@ in proportion to the square root of its rows, put into blocks of neighbouring ce
 a query to each block that holds a cell it asks. In a block, the rows of the cells asked are compared by asymmetric distance
 tables and the best KEEP ranked by their vectors.
 
-Which cells a query asks: where only neighbours within a distance are wanted, all that can hold one, by geometry. Else the nearest
+Which cells a query asks: where only neighbours within a distance are wanted, the NEAR_CELLS nearest of those that can hold one, by geometry. Else the nearest
 cells with a share of the rows that is measured: a few queries of each collection are compared with all its rows, and
 the share is the least that gives RECALL of their true neighbours. Identical vectors are one class and asked once: members of a class share their
 neighbours.
@@ -30,6 +30,7 @@ CELLS = 6.0  # cells of a collection, times the square root of its rows
 SLICES = 16
 KEEP = 120  # candidates of each block that are ranked by their vectors
 RECALL, ASKED = 0.95, 64  # of the true neighbours of so many measured queries a collection, the part that lies in the cells asked
+NEAR_CELLS = 32  # of the cells that can hold a neighbour within the wanted distance, asked by a query; 0: all
 WHOLE = 4096  # rows up to which a collection is compared as a whole
 BLOCK_ROWS, MOST_BLOCK_ROWS = 8192, 65_536  # rows of a block: a 64th of the collection within these bounds
 QUERY_ROWS = 16_384  # queries of a block that one task answers, about
@@ -38,7 +39,7 @@ AT_ONCE = 64  # queries whose cells are asked together
 _RESULT = "collection string, id string, n long, nid array<string>, nd array<double>, nn array<long>"
 
 
-def _models(reps: DataFrame, known: dict[str, Shape], within: dict[str, float] | None, block_rows: int) -> dict[str, I.Model]:
+def _models(reps: DataFrame, known: dict[str, Shape], within: dict[str, float] | None, block_rows: int, near_cells: int) -> dict[str, I.Model]:
     stats = {r["collection"]: (r["rows"], r["top"]) for r in reps.groupBy("collection").agg(F.count(F.lit(1)).alias("rows"), F.max("norm").alias("top")).collect()}
     if not stats:
         return {}
@@ -51,7 +52,7 @@ def _models(reps: DataFrame, known: dict[str, Shape], within: dict[str, float] |
         pdf = pdf.sort_values(["h1", "h2"])
         x = np.frombuffer(b"".join(pdf.vec), dtype="<f4").reshape(-1, known[c].dim)
         size = int(min(max(block_rows, rows // 64), max(block_rows, MOST_BLOCK_ROWS)))
-        m = I.train(x, known[c].metric, rows, top, cells[c], SLICES, size, None if within is None else within[known[c].metric])
+        m = I.train(x, known[c].metric, rows, top, cells[c], SLICES, size, None if within is None else within[known[c].metric], near_cells)
         return pd.DataFrame({"collection": [c], "model": [pickle.dumps(m)]})
 
     spark = reps.sparkSession
@@ -171,15 +172,15 @@ class _Block:
         return pa.RecordBatch.from_arrays([pa.array([collection] * len(ids), pa.string()), ids, n, *lists], names=["collection", "id", "n", "nid", "nd", "nn"])
 
 
-def class_neighbors(reps: DataFrame, known: dict[str, Shape], k: int, within: dict[str, float] | None = None, probe_share: float | None = None, recall: float = RECALL, keep: int = KEEP, exact: bool = False, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def class_neighbors(reps: DataFrame, known: dict[str, Shape], k: int, within: dict[str, float] | None = None, probe_share: float | None = None, recall: float = RECALL, keep: int = KEEP, exact: bool = False, near_cells: int = NEAR_CELLS, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """collection, id, n and up to k nearest other representatives (nid, nd, nn) of each row of reps (collection, id, n, vec, h1, h2, norm)
     that has any.
 
-    within: by metric, a distance beyond which neighbours aren't wanted. probe_share: a share of the rows to ask instead of the
+    within: by metric, a distance beyond which neighbours aren't wanted; with near_cells=0 no cell that can hold one is left out. probe_share: a share of the rows to ask instead of the
     measured one. exact: every row is compared with all rows of its collection by vector.
     """
     spark = reps.sparkSession
-    models = _models(reps, known, None if exact or probe_share is not None else within, block_rows)
+    models = _models(reps, known, None if exact or probe_share is not None else within, block_rows, near_cells)
     if not models:
         return spark.createDataFrame([], _RESULT)
     sizes = {r["collection"]: r["count"] for r in reps.groupBy("collection").count().collect()}

@@ -352,6 +352,20 @@ def test_exact_neighbors(tables, plain):
                 assert np.allclose(sorted(got[c, pid]), np.sort(d[i])[:5], atol=2e-6)
 
 
+def test_cells_within_a_radius_hold_all_rows_within_it():
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(4000, 24)).astype(np.float32)
+    for metric, within in (("l2", 4.5), ("cosine", 0.4), ("innerProduct", -20.0)):
+        top = float(np.linalg.norm(x, axis=1).max())
+        m = ivfpq.train(x[::2], metric, len(x), top, 120, 8, 500, within)
+        cell = ivfpq.nearest(m.prepared(x), m.centroids)
+        asked = m.probes(m.as_query(x))
+        a, b = np.nonzero(ivfpq.flat(metric, x, x) <= within)
+        assert len(a) > 4500 and asked[a, cell[b]].all()
+        m.near_cells = 16
+        assert m.probes(m.as_query(x)).sum(1).max() <= 16
+
+
 def test_a_third_of_the_rows_in_one_cell(spark):
     rng = np.random.default_rng(12)
     x = groups(rng, [3000], 6000)
