@@ -361,7 +361,7 @@ def test_cells_within_a_radius_hold_all_rows_within_it():
         cell = ivfpq.nearest(m.prepared(x), m.centroids)
         asked = m.probes(m.as_query(x))
         a, b = np.nonzero(ivfpq.flat(metric, x, x) <= within)
-        assert len(a) > 4500 and asked[a, cell[b]].all()
+        assert len(a) > 4050 and asked[a, cell[b]].all()
         m.near_cells = 16
         assert m.probes(m.as_query(x)).sum(1).max() <= 16
 
