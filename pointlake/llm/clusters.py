@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointlake.llm import gmm as G
-from pointlake.llm.vectors import Shape, copies, matrix, shapes, usable
+from pointlake.llm.vectors import Shape, by_collection, copies, matrix, shapes, usable
 from pointlake.session import small, stage
 
 VARIANCE, MAX_FEATURES = 0.8, 48
@@ -92,12 +92,6 @@ class Tree:
         return out
 
 
-def by_collection(b: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
-    coll = np.array(b.column(0).to_pylist(), dtype=object)
-    for c in sorted(set(coll)):
-        yield c, b.take(pa.array(np.flatnonzero(coll == c)))
-
-
 def _summed(df: DataFrame, per_batch: object) -> dict[str, np.ndarray]:
     """Sums of the arrays that per_batch(collection, rows) yields as (key, array): a partition adds up what it has, then a key's
     partial sums are added in a tree."""
@@ -380,7 +374,7 @@ def together(told: DataFrame, known: dict[str, Shape], within: dict[str, float])
     met = None
     for block in blocks(others):
         h = hits(others, block, known, within).select("collection", F.col("rid").alias("part"), F.col("id").alias("before"), F.col("n").alias("size")).where("part <> before")
-        met = h if met is None else met.unionByName(h)
+        met = h if met is None else met.unionByName(stage(h, "near"))
     kinds = others.select("collection", F.col("id").alias("before"), "kind")
     met = met.join(about, ["collection", "part"]).join(kinds, ["collection", "before"]).where("kind = mine and (size > own or size = own and before > part)")
     joined = stage(rest.unionByName(leaders(met.select("collection", "part", "size", "before"))), "joined")
@@ -570,7 +564,7 @@ def isolated(points: DataFrame, configs: DataFrame, within: dict[str, float], le
     lost = None
     for block in blocks(found):
         near = hits(found, block, known, within).where("id > rid").select("collection", "id")
-        lost = near if lost is None else lost.unionByName(near)
+        lost = near if lost is None else lost.unionByName(stage(near, "near"))  # one block is broadcast at a time
     asking = stage(found.join(lost.distinct(), ["collection", "id"], "left_anti"), "asking")
 
     met = None

@@ -86,7 +86,9 @@ def bic(ll: float, m: Mixture, n: float) -> float:
 def density_peaks(z: Array, w: Array, reach: float, least: float) -> Array:
     """Rows to start components from, densest first: no two nearer than reach, each with `least` weight within it."""
     sq = (z * z).sum(1)
-    near = (sq[:, None] + sq[None, :] - 2 * (z @ z.T)) <= reach
+    near = np.empty((len(z), len(z)), dtype=bool)
+    for i in range(0, len(z), 1024):
+        near[i : i + 1024] = (sq[i : i + 1024, None] + sq[None, :] - 2 * (z[i : i + 1024] @ z.T)) <= reach
     weight = near @ w
     free, peaks = weight >= least, []
     for i in np.argsort(-weight, kind="stable"):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointlake.llm import ivfpq as I
-from pointlake.llm.vectors import Shape, copies, matrix, shapes, usable
+from pointlake.llm.vectors import Shape, by_collection, copies, matrix, shapes, usable
 from pointlake.session import small, stage
 
 SAMPLE, MOST_SAMPLE = 8192, 1 << 18  # rows a model is trained on, about: eight a cell, at least and at most
@@ -68,12 +68,6 @@ def _models(reps: DataFrame, known: dict[str, Shape], within: dict[str, float] |
     return models
 
 
-def by_collection(b: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
-    coll = np.array(b.column(0).to_pylist(), dtype=object)
-    for c in sorted(set(coll)):
-        yield c, b.take(pa.array(np.flatnonzero(coll == c)))
-
-
 def measure(reps: DataFrame, models: dict[str, I.Model], sizes: dict[str, int], k: int, recall: float) -> None:
     """Set each model's probe_share to the least that holds `recall` of the true neighbours of ASKED queries, which are compared with
     all rows; collections of at most WHOLE rows are compared as a whole."""

@@ -354,16 +354,16 @@ def test_exact_neighbors(tables, plain):
 
 def test_cells_within_a_radius_hold_all_rows_within_it():
     rng = np.random.default_rng(14)
-    x = rng.normal(size=(4000, 24)).astype(np.float32)
-    for metric, within in (("l2", 4.5), ("cosine", 0.4), ("innerProduct", -20.0)):
+    x = (np.repeat(rng.normal(size=(100, 24)), 30, axis=0) + 0.15 * rng.normal(size=(3000, 24))).astype(np.float32)
+    for metric, within in (("l2", 1.2), ("cosine", 0.03), ("innerProduct", -25.0)):
         top = float(np.linalg.norm(x, axis=1).max())
         m = ivfpq.train(x[::2], metric, len(x), top, 120, 8, 500, within)
         cell = ivfpq.nearest(m.prepared(x), m.centroids)
         asked = m.probes(m.as_query(x))
         a, b = np.nonzero(ivfpq.flat(metric, x, x) <= within)
-        assert len(a) > 4050 and asked[a, cell[b]].all()
-        m.near_cells = 16
-        assert m.probes(m.as_query(x)).sum(1).max() <= 16
+        assert len(a) > 10_000 and asked[a, cell[b]].all() and (metric == "innerProduct" or asked.mean() < 0.7)
+        m.near_cells = 8
+        assert m.probes(m.as_query(x)).sum(1).mean() < 8.5
 
 
 def test_a_third_of_the_rows_in_one_cell(spark):
