@@ -32,7 +32,7 @@ KEEP = 120  # candidates of each block that are ranked by their vectors
 RECALL, ASKED = 0.95, 64  # of the true neighbours of so many measured queries a collection, the part that lies in the cells asked
 NEAR_CELLS = 32  # of the cells that can hold a neighbour within the wanted distance, asked by a query; 0: all
 WHOLE = 4096  # rows up to which a collection is compared as a whole
-BLOCK_ROWS, MOST_BLOCK_ROWS = 8192, 65_536  # rows of a block: a 64th of the collection within these bounds
+BLOCK_ROWS, MOST_BLOCK_ROWS = 8192, 65_536  # rows of a block: a 64th of the collection within these bounds where queries ask few cells, else the most
 QUERY_ROWS = 16_384  # queries of a block that one task answers, about
 AT_ONCE = 64  # queries whose cells are asked together
 
@@ -166,7 +166,7 @@ class _Block:
         return pa.RecordBatch.from_arrays([pa.array([collection] * len(ids), pa.string()), ids, n, *lists], names=["collection", "id", "n", "nid", "nd", "nn"])
 
 
-def class_neighbors(reps: DataFrame, known: dict[str, Shape], k: int, within: dict[str, float] | None = None, probe_share: float | None = None, recall: float = RECALL, keep: int = KEEP, exact: bool = False, near_cells: int = NEAR_CELLS, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def class_neighbors(reps: DataFrame, known: dict[str, Shape], k: int, within: dict[str, float] | None = None, probe_share: float | None = None, recall: float = RECALL, keep: int = KEEP, exact: bool = False, near_cells: int = NEAR_CELLS, block_rows: int | None = None, query_rows: int = QUERY_ROWS) -> DataFrame:
     """collection, id, n and up to k nearest other representatives (nid, nd, nn) of each row of reps (collection, id, n, vec, h1, h2, norm)
     that has any.
 
@@ -174,7 +174,8 @@ def class_neighbors(reps: DataFrame, known: dict[str, Shape], k: int, within: di
     measured one. exact: every row is compared with all rows of its collection by vector.
     """
     spark = reps.sparkSession
-    models = _models(reps, known, None if exact or probe_share is not None else within, block_rows, near_cells)
+    near = None if exact or probe_share is not None else within
+    models = _models(reps, known, near, block_rows or (MOST_BLOCK_ROWS if near is None else BLOCK_ROWS), near_cells)
     if not models:
         return spark.createDataFrame([], _RESULT)
     sizes = {r["collection"]: r["count"] for r in reps.groupBy("collection").count().collect()}
